@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name: module of this folder.
 _MODULES = {
     "op2_decontamination": "decontamination",
+    "op3_ngram_jaccard": "ngram_jaccard",
     "op4_token_counts": "token_counts",
     "op5_ann": "ann",
     "op7_line_dedup": "line_dedup",
