@@ -13,6 +13,7 @@ _MODULES = {
     "op3_ngram_jaccard": "ngram_jaccard",
     "op4_token_counts": "token_counts",
     "op5_ann": "ann",
+    "op6_toxicity": "toxicity",
     "op7_line_dedup": "line_dedup",
     "op8_sharding": "sharding",
     "op10_mixing": "mixing",
