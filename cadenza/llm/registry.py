@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name: module of this folder.
 _MODULES = {
+    "op1_warc": "warc",
     "op2_decontamination": "decontamination",
     "op3_ngram_jaccard": "ngram_jaccard",
     "op4_token_counts": "token_counts",
