@@ -17,6 +17,7 @@ _MODULES = {
     "op6_toxicity": "toxicity",
     "op7_line_dedup": "line_dedup",
     "op8_sharding": "sharding",
+    "op9_pii": "pii",
     "op10_mixing": "mixing",
 }
 

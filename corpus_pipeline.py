@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import decontamination, mixing, sharding
+from cadenza.llm import decontamination, mixing, ngram_jaccard, sharding, toxicity
 from cadenza.llm.common import materialize, table
 
 
+def detoxify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not reject."""
+    return toxicity.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: five-word n-grams, similarity of 0.8 or more."""
+    return ngram_jaccard.deduplicate(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -23,7 +33,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.report(docs)
 
 
-STAGES = [("decontamination", decontaminate), ("mixing", mix), ("sharding", shard)]
+STAGES = [("toxicity", detoxify), ("ngram_jaccard", deduplicate), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shard)]
 #: The toxicity model is trained, so SQL cannot express the pipeline.
 ORACLE_SQL = None
 
