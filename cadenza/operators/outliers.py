@@ -90,7 +90,7 @@ def first_added(log: DataFrame) -> DataFrame:
     Within one commit a removed line and the first added line of the same rest are a replacement: the new
     id inherits the date of the old one.  Replacements form chains; they are followed to their start.
     """
-    turn = F.row_number().over(Window.partitionBy("commit", "sign", "rest").orderBy("line"))
+    turn = F.row_number().over(Window.partitionBy("commit", "sign", "rest").orderBy("line", "mbid"))
     lines = log.withColumn("turn", turn)
     added, removed = lines.where("sign = '+'"), lines.where("sign = '-'")
     pairs = removed.alias("r").join(added.alias("a"), ["commit", "rest", "turn"]).where("r.mbid <> a.mbid")
@@ -107,7 +107,7 @@ def first_added(log: DataFrame) -> DataFrame:
 
 
 def replacement_pairs(log: DataFrame) -> DataFrame:
-    turn = F.row_number().over(Window.partitionBy("commit", "sign", "rest").orderBy("line"))
+    turn = F.row_number().over(Window.partitionBy("commit", "sign", "rest").orderBy("line", "mbid"))
     lines = log.withColumn("turn", turn)
     pairs = lines.where("sign = '-'").alias("r").join(lines.where("sign = '+'").alias("a"), ["commit", "rest", "turn"]).where("r.mbid <> a.mbid")
     return pairs.select("commit", F.col("a.mbid").alias("mbid"), F.col("r.mbid").alias("inherited"))

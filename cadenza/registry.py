@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.queries import core
+from cadenza.queries import core, flows, text_values
 
-_MODULES = (core,)
+_MODULES = (core, text_values, flows)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
