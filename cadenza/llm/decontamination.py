@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import WORD, materialize, table, word_array
+from cadenza.llm.common import WORD, free_name, materialize, table, word_array
 
 WINDOW = 10
 MAX_BROADCAST_WINDOWS = 2_000_000
@@ -104,18 +104,20 @@ def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "documents",
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove: {remove!r}")
-    keys = {"k_id": F.col("doc_id"), "k_text": F.xxhash64("text")}
-    hits = find_hits(docs, bench, keys, window).where(F.size("spans") > 0).select("k_id", "k_text", "spans")
-    same = docs["doc_id"].eqNullSafe(F.col("k_id")) & (F.xxhash64(docs["text"]) == F.col("k_text"))
+    k_id, k_text, spans, gaps, kept = (free_name(docs, c) for c in ("k_id", "k_text", "spans", "gaps", "kept"))
+    hits = find_hits(docs, bench, {k_id: F.col("doc_id"), k_text: F.xxhash64("text")}, window).where(F.size("spans") > 0)
+    hits = hits.select(k_id, k_text, F.col("spans").alias(spans))
+    same = docs["doc_id"].eqNullSafe(F.col(k_id)) & (F.xxhash64(docs["text"]) == F.col(k_text))
     if remove == "documents":
         return docs.join(hits, same, "left_anti")
+    # What stands between the words stays; a hit word becomes nothing.
     cut = F.expr(
-        "array_join(zip_with(sequence(0, size(gaps) - 1), gaps, (i, gap) -> concat(gap, CASE WHEN i < size(kept)"
-        " AND NOT exists(spans, s -> i + 1 BETWEEN s.start AND s.start + s.len - 1) THEN kept[i] ELSE '' END)), '')"
+        f"array_join(zip_with(sequence(0, size({gaps}) - 1), {gaps}, (i, gap) -> concat(gap, CASE WHEN i < size({kept})"
+        f" AND NOT exists({spans}, s -> i + 1 BETWEEN s.start AND s.start + s.len - 1) THEN {kept}[i] ELSE '' END)), '')"
     )
     marked = docs.join(hits, same, "left")
-    marked = marked.withColumns({"gaps": F.split("text", _WORD_ANY_CASE), "kept": F.regexp_extract_all("text", F.lit(_WORD_ANY_CASE), F.lit(0))})
-    return marked.select(*[F.when(F.col("spans").isNull(), docs["text"]).otherwise(cut).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    marked = marked.withColumns({gaps: F.split("text", _WORD_ANY_CASE), kept: F.regexp_extract_all("text", F.lit(_WORD_ANY_CASE), F.lit(0))})
+    return marked.select(*[F.when(F.col(spans).isNull(), F.col("text")).otherwise(cut).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
