@@ -18,7 +18,7 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None, inputs: bool = True):
     def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(Inputs(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: f(Inputs.of(spark, sf_dir))
         if sql:
             ORACLES[name] = with_inputs(sql) if inputs else sql
         return f
@@ -232,6 +232,17 @@ query("graph_contract", f"{_COSINE} SELECT least(x.island, y.island) AS a, great
 query("graph_symmetric_closure", "SELECT artist_mbid, related_mbid FROM artist_link")(lambda i: i.artist_link)
 query("graph_one_hop", "SELECT artist_mbid FROM known")(lambda i: i.known)
 query("own_user_decision", "SELECT a.user_id AS own, CAST(floor(100 * a.n / (SELECT count(*) FROM declared)) AS BIGINT) AS coverage, coalesce(b.n, 0) AS runner_up FROM (SELECT * FROM top ORDER BY n DESC, user_id LIMIT 1) a LEFT JOIN (SELECT * FROM top ORDER BY n DESC, user_id LIMIT 1 OFFSET 1) b ON true")(lambda i: i.own)
+@query("index_build", "SELECT * FROM (SELECT 'library' AS part, count(*) AS n FROM library UNION ALL SELECT 'recording', count(*) FROM recording UNION ALL SELECT 'user_listen', count(*) FROM user_listen UNION ALL SELECT 'user_stat', count(*) FROM user_stat UNION ALL SELECT 'recording_listener', count(*) FROM recording_listener UNION ALL SELECT 'recording_artist', count(*) FROM recording_artist)")
+def _(i):
+    """All parts of the index from the raw tables, whatever the session has already."""
+    fresh = Inputs(i.spark, i.sf_dir)
+    counts = [getattr(fresh, p).agg(F.lit(p).alias("part"), F.count("*").alias("n")) for p in ("library", "recording", "user_listen", "user_stat", "recording_listener", "recording_artist")]
+    together = counts[0]
+    for more in counts[1:]:
+        together = together.unionByName(more)
+    return together
+
+
 query("recommend_all")(lambda i: _recommend(i))
 
 

@@ -22,7 +22,7 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(Inputs(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: f(Inputs.of(spark, sf_dir))
         if sql:
             ORACLES[name] = sql
         return f

@@ -5,7 +5,10 @@ All paths go through Hadoop's file system, so they may lie in any store that Spa
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +57,26 @@ def step(df_of, spark: SparkSession, path: str, **kw) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        own = tempfile.mkdtemp(prefix="cadenza-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = f"file://{own}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """The same rows behind a table of the shared folder: later plans start there, and so does recovery."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_buckets(plays: DataFrame, path: str) -> None:
     """The fact table by bucket of its user; one task per bucket and core writes, not one file per task and bucket."""
     rows = plays.withColumn("bucket", V.bucket(F.col("user_id")))
