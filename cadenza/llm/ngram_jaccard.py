@@ -48,6 +48,8 @@ RECALL = 0.995
 MAX_HASHES = 256
 SMALL = 128
 BLOCK = 768
+#: Two longs a row; more rows are joined by shuffling the texts.
+BROADCAST_ROWS = 500_000
 SEED = 11
 _WORDS = re.compile(WORD_BYTES)
 #: Words of one batch of texts whose n-grams are hashed together.
@@ -259,8 +261,11 @@ def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: flo
     wanted = visits.select("node").unionByName(large.select("node")).distinct()
     # The n-grams of the nodes that have company; one text stands for each node.
     marks = materialize(members.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("mark").alias("mark")), "marks")
-    grams = marked.select("mark", "text").join(marks, "mark").select("node", "text").mapInArrow(_grammer(n), "node long, grams binary")
-    grams = materialize(grams.groupBy("node").agg(F.first("grams").alias("grams")), "grams")
+    side = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
+    texts = marked.select("mark", "text").join(side, "mark").select("node", "text")
+    if not members.groupBy("mark").count().where("count > 1").isEmpty():  # rows that repeat id and text
+        texts = texts.groupBy("node").agg(F.first("text").alias("text"))
+    grams = materialize(texts.mapInArrow(_grammer(n), "node long, grams binary"), "grams")
 
     sent = visits.join(grams, "node").select("home", "node", "grams", F.lit(0).cast("long").alias("b"), F.lit(False).alias("is_pair"))
     sent = sent.unionByName(pairs.select("home", "node", F.lit(None).cast("binary").alias("grams"), "b", F.lit(True).alias("is_pair")))
