@@ -209,6 +209,30 @@ def test_failed_writes_leave_no_table(spark, tmp_path):
     assert sinks.read_cache(spark, f"{path}-none") is None
 
 
+def test_logs_lists_and_buckets_on_disk(spark, tmp_path):
+    ids = spark.createDataFrame([(UUID(2),), (UUID(1),), (UUID(2),)], "mbid string")
+    log_path, declined, playlist, buckets = (str(tmp_path / n) for n in ("log", "declined", "list", "buckets"))
+    for _ in range(2):
+        sinks.append_log(ids.limit(1), log_path)
+        sinks.append_declined(ids, declined)
+    assert spark.read.json(log_path).count() == 2
+    (tmp_path / "declined" / "more.txt").write_text("no id\n")
+    assert {r["mbid"] for r in sinks.read_declined(spark, declined).collect()} == {UUID(1), UUID(2)}
+    assert sinks.read_declined(spark, str(tmp_path / "none")).count() == 0
+    sinks.write_playlist(spark, ids, playlist)
+    assert [r["value"] for r in spark.read.text(playlist).collect()] == [f"{UUID(1)}.opus", f"{UUID(2)}.opus"]
+    assert {r["mbid"] for r in readers.m3u(spark.read.text(playlist)).collect()} == {UUID(1), UUID(2)}
+    assert readers.listing(spark, playlist, "part-*").count() >= 1
+    sinks.write_playlist(spark, ids.limit(0), playlist)
+    assert not sinks.exists(spark, playlist)
+    sinks.write_buckets(spark.createDataFrame([(u, 1, 1) for u in range(20)], "user_id long, recording_id long, plays int"), buckets)
+    assert {r["user_id"] for r in readers.bucket(spark, buckets, 3).collect()} == {3, 11, 19}
+    sinks.publish(spark, str(tmp_path), "v1", {"n": 1})
+    sinks.publish(spark, str(tmp_path), "v2", {"n": 2})
+    assert sinks.meta(spark, str(tmp_path)) == {"n": 2, "version": "v2"}
+    assert readers.digest(spark, str(tmp_path / "meta.json")).first()["sha256"]
+
+
 def listens(spark, rows):
     return spark.createDataFrame([(u, UUID(m), [f"artist{m % 9}"]) for u, m, n in rows for _ in range(n)], "user_id long, recording_mbid string, artist_credit_mbids array<string>")
 
