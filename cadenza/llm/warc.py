@@ -13,9 +13,9 @@ Bundles are written by tasks to a folder of the shared file system, under a name
 hash, first to a temporary name; a repeated or speculative attempt writes the same file again.  The index
 is written once all bundles are.
 
-Edge cases: null payloads are empty; empty and small payloads are always responses; repeated ids with
-equal payloads of that length are one response and revisits to the same id; records with null id or url
-have empty values in their headers and come back null; extra columns are ignored; an empty table gives
+Edge cases: null payloads are empty; empty and small payloads are always responses; repeated rows that
+share the largest id are all responses; records with null id or url have empty values in their headers
+and come back null, the former as responses; extra columns are ignored; an empty table gives
 no bundle and an empty result.
 """
 
