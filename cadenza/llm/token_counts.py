@@ -1,9 +1,10 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
-Texts are encoded in batches of about ``batch_bytes`` bytes, whatever their number, so memory is bounded
-by bytes and not by rows.  Texts longer than ``piece_bytes`` are split where no token can cross: before a
-single space that stands between two ASCII letters.  A byte-level pre-tokenizer always starts a new piece
-there, and added special strings hold no space, so the sum over the pieces is the count of the whole.
+Texts are split where no token can cross: before a single space that stands between two letters.  A
+byte-level pre-tokenizer always starts a new piece there, and added special strings hold no space, so the
+sum over the pieces is the count of the whole.  Pieces recur, so each task keeps the counts of short ones
+(at most ``KEPT`` of them) and encodes the others in batches of about ``batch_bytes`` bytes, each once a
+batch.  Batches are cut by bytes, not by rows or texts: memory does not depend on how long texts are.
 
 Edge cases: null and empty texts have no tokens; a text without any safe boundary stays whole; repeated
 rows are counted once per row; extra columns are ignored.
@@ -11,7 +12,6 @@ rows are counted once per row; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,8 +23,9 @@ from cadenza.llm.common import table
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
 BATCH_BYTES = 1 << 16
-PIECE_BYTES = 1 << 16
-_SAFE = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+KEPT, KEPT_LENGTH = 500_000, 48
+#: Letters of the Latin blocks, for which all versions of Unicode agree.
+_LETTERS = frozenset(c for c in map(chr, range(0x41, 0x180)) if c.isalpha())
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -33,13 +34,17 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def pieces(text: str, size: int = PIECE_BYTES) -> list[str]:
-    """Cut at the first safe boundary at or after each ``size`` characters."""
-    out, start = [], 0
-    while len(text) - start > size and (cut := _SAFE.search(text, start + size)):
-        out.append(text[start : cut.start()])
-        start = cut.start()
-    out.append(text[start:])
+def pieces(text: str) -> list[str]:
+    """The text cut at its safe boundaries; joined, the pieces are the text."""
+    first, *words = text.split(" ")
+    out, open_ = [], first
+    for word in words:
+        if open_ and word and open_[-1] in _LETTERS and word[0] in _LETTERS:
+            out.append(open_)
+            open_ = " " + word
+        else:
+            open_ += " " + word
+    out.append(open_)
     return out
 
 
@@ -61,48 +66,53 @@ def _encoder(path: str):
     return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
 
 
-def _counter(path: str, batch_bytes: int, piece_bytes: int, splits: bool):
+def _counter(path: str, batch_bytes: int, splits: bool):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path)
+        encode, known = _encoder(path), {}
         for batch in batches:
             totals = [0] * batch.num_rows
-            rows: list[int] = []
-            texts: list[str] = []
+            waiting: dict[str, list[int]] = {}  # pieces of the next batch and the rows that have them
             held = 0
 
             def settle() -> None:
-                for row, n in zip(rows, encode(texts), strict=True):
-                    totals[row] += n
-                rows.clear()
-                texts.clear()
+                for (piece, rows), n in zip(waiting.items(), encode(list(waiting)), strict=True):
+                    for row in rows:
+                        totals[row] += n
+                    if len(piece) <= KEPT_LENGTH and len(known) < KEPT:
+                        known[piece] = n
+                waiting.clear()
 
             for row, text in enumerate(batch.column("text")):
-                text = text.as_py()
-                if not text:
-                    continue
-                for piece in pieces(text, piece_bytes) if splits and len(text) > piece_bytes else (text,):
-                    rows.append(row)
-                    texts.append(piece)
-                    held += len(piece)
-                    if held >= batch_bytes:
-                        settle()
-                        held = 0
+                text, total = text.as_py(), 0
+                for piece in pieces(text) if splits else (text,):
+                    n = known.get(piece)
+                    if n is not None:
+                        total += n
+                    elif piece in waiting:
+                        waiting[piece].append(row)
+                    else:
+                        waiting[piece] = [row]
+                        held += len(piece)
+                        if held >= batch_bytes:
+                            settle()
+                            held = 0
+                totals[row] += total
             settle()
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(totals, pa.int64())], [*batch.schema.names[:-1], "n_tokens"])
 
     return count
 
 
-def count_tokens(docs: DataFrame, path: str | None = None, batch_bytes: int = BATCH_BYTES, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str | None = None, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Per document row: doc_id, n_bytes, n_tokens.
 
-    Long texts are split only for byte-level .json tokenizers, where the boundary is known to be safe.
+    Texts are split only for the byte-level .json tokenizer, where the boundary is known to be safe.
     """
     path = path or tokenizer_path()
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
     schema = rows.drop("text").schema.add("n_tokens", "long")
-    return rows.mapInArrow(_counter(path, batch_bytes, piece_bytes, path.endswith("byte_bpe_50k.json")), schema)
+    return rows.mapInArrow(_counter(path, batch_bytes, path.endswith(TOKENIZER)), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -226,8 +226,8 @@ def test_token_counts_equal_whole_texts(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(token_counts.tokenizer_path())
-    texts = ["Hello world", None, "", "  two  spaces\n\n<|endoftext|> it's", prose(20, 3000), "a" * 5000, "日本語 " * 500, "x <|endoftext|>y z" * 300, "don't won't 1234 5678" * 99]
-    got = token_counts.count_tokens(clashing(documents(spark, [*texts, texts[0]])), batch_bytes=700, piece_bytes=50)
+    texts = ["Hello world", None, "", "  two  spaces\n\n<|endoftext|> it's", prose(20, 3000), "a" * 5000, "日本語 " * 500, "x <|endoftext|>y z" * 300, "don't won't 1234 5678" * 99, "é à ßu  x\ty ñ ﬁ 한국 어 a", " lead", "trail ", "a  b"]
+    got = token_counts.count_tokens(clashing(documents(spark, [*texts, texts[0]])), batch_bytes=700)
     expected = [(len((t or "").encode()), len(tokenizer.encode(t or "", add_special_tokens=False))) for t in [*texts, texts[0]]]
     assert rows(got, "n_bytes", "n_tokens") == sorted(expected, key=repr)
     assert token_counts.count_tokens(documents(spark, texts).limit(0)).count() == 0
