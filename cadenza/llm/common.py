@@ -14,6 +14,9 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_BYTES = rb"[0-9a-z\x80-\xff]+"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bits of a sieve: 16 MB, whatever the input.
+SIEVE_BITS = 1 << 27
+_SIEVE_SEED = 5
 #: Characters that Java's lower() changes, A-Z apart.
 _OTHER_UPPER = r"[[\p{javaUpperCase}\p{javaTitleCase}]&&[^A-Z]]"
 
@@ -44,6 +47,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sieve(df: DataFrame, wanted: DataFrame, key: str, bits: int = SIEVE_BITS) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be among ``wanted``'s, to be joined by the caller.
+
+    One bit stands for each hash of a wanted key, in bitmaps of 4 KB that are broadcast: ``bits`` / 8 bytes at
+    most, however many keys there are.  No wanted row is lost; of the others a share of at most the wanted keys
+    over ``bits`` passes.  So a following shuffle carries little but what the join keeps.
+    """
+    place = F.pmod(F.xxhash64(F.col(key), F.lit(_SIEVE_SEED)), F.lit(bits))
+    maps = wanted.select(place.alias("place")).groupBy(F.shiftright("place", 15).alias("cell")).agg(F.bitmap_construct_agg(F.col("place") % 32768).alias("bitmap"))
+    cell, bitmap, spot = free_name(df, "cell"), free_name(df, "bitmap"), place % 32768
+    found = df.join(F.broadcast(maps.select(F.col("cell").alias(cell), F.col("bitmap").alias(bitmap))), F.shiftright(place, 15) == F.col(cell))
+    byte = F.substring(F.col(bitmap), (spot / 8).cast("int") + 1, F.lit(1))
+    return found.where(F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (spot % 8).cast("int")) == 1).drop(cell, bitmap)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else; null is the empty string.
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm.common import WORD_BYTES, free_name, materialize, table
+from cadenza.llm.common import WORD_BYTES, free_name, materialize, sieve, table
 from cadenza.llm.components import components
 
 N = 5
@@ -48,8 +48,6 @@ RECALL = 0.995
 MAX_HASHES = 256
 SMALL = 128
 BLOCK = 768
-#: Two longs a row; more rows are joined by shuffling the texts.
-BROADCAST_ROWS = 500_000
 SEED = 11
 _WORDS = re.compile(WORD_BYTES)
 #: Words of one batch of texts whose n-grams are hashed together.
@@ -250,7 +248,7 @@ def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: flo
     nodes = materialize(nodes, "nodes")
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     buckets = materialize(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
-    held = materialize(keyed.join(buckets, "key"), "held")
+    held = materialize(sieve(keyed, buckets, "key").join(buckets.hint("shuffle_hash"), "key"), "held")
 
     # Small buckets: distinct pairs, each at home in the smallest bucket that lists it.
     few = held.where(F.col("size") <= small).select("key", "node")
@@ -261,8 +259,7 @@ def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: flo
     wanted = visits.select("node").unionByName(large.select("node")).distinct()
     # The n-grams of the nodes that have company; one text stands for each node.
     marks = materialize(members.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("mark").alias("mark")), "marks")
-    side = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
-    texts = marked.select("mark", "text").join(side, "mark").select("node", "text")
+    texts = sieve(marked.select("mark", "text"), marks, "mark").join(marks.hint("shuffle_hash"), "mark").select("node", "text")
     if not members.groupBy("mark").count().where("count > 1").isEmpty():  # rows that repeat id and text
         texts = texts.groupBy("node").agg(F.first("text").alias("text"))
     grams = materialize(texts.mapInArrow(_grammer(n), "node long, grams binary"), "grams")

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.llm import ann, decontamination, line_dedup, mixing, ngram_jaccard, pii, sharding, token_counts, toxicity, warc
+from cadenza.llm.common import sieve
 from cadenza.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -213,6 +214,17 @@ def test_banding_reaches_its_recall():
     assert 1 - (1 - 0.8**rows_) ** bands >= 0.995
 
 
+@pytest.mark.parametrize("bits", [1 << 16, 1 << 27])
+def test_sieve_loses_no_wanted_row_and_drops_most_others(spark, bits):
+    df = clashing(spark.range(20_000).selectExpr("id AS doc_id", "xxhash64(id) AS mark").withColumns({"cell": F.lit(1), "bitmap": F.lit(2)}).drop("mark")).withColumn("mark", F.xxhash64("doc_id"))
+    wanted = df.where("doc_id % 10 = 0").select("mark")
+    passed = sieve(df, wanted, "mark", bits)
+    assert passed.columns == df.columns
+    ids = {r.doc_id for r in passed.select("doc_id").collect()}
+    assert ids >= set(range(0, 20_000, 10)) and len(ids) <= (2_000 + 18_000 * 2_000 / bits * 1.3 + 5)
+    assert sieve(df, wanted.limit(0), "mark", bits).isEmpty()
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)]
     got = components(spark.createDataFrame(edges, "a long, b long"))
