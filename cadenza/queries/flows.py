@@ -67,9 +67,9 @@ _VARIANT = "CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN concat(p_name, ' (
 _ARTIST = "CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN '' WHEN 2 THEN concat(p_brand, ' & Guest') ELSE 'Somebody' END"
 
 
-def _songs(i: Inputs) -> tuple[DataFrame, DataFrame]:
+def _songs(i: Inputs, declared: str = "p_partkey < 60") -> tuple[DataFrame, DataFrame]:
     part = i.table("part")
-    declared = part.where("p_partkey < 60").select(F.concat(F.lit("d"), F.col("p_partkey").cast("string")).alias("mbid"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist"))
+    declared = part.where(declared).select(F.concat(F.lit("d"), F.col("p_partkey").cast("string")).alias("mbid"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist"))
     listened = part.select(F.expr("CASE WHEN p_partkey < 10 THEN concat('d', p_partkey) ELSE concat('l', p_partkey) END").alias("mbid"), F.expr(_VARIANT).alias("title"), F.expr(_ARTIST).alias("artist"), F.col("p_partkey").alias("listen"))
     return O.songs(declared), O.songs(listened)
 
@@ -325,3 +325,65 @@ def _windowed(i: Inputs) -> DataFrame:
     from cadenza.streaming.absorb import plays_per_window
 
     return plays_per_window(i.table("events")).select(F.to_date("window.start").cast("string").alias("day"), "event_type", "n")
+
+
+# The same operators over whole tables.  The SQL of the queries above holds fixed ranges of ids, so these have
+# none; tests compare them with brute force.
+def _log(i: Inputs) -> DataFrame:
+    """Every order as a commit, its lines as added and removed entries."""
+    lines = i.table("lineitem").join(i.table("orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return lines.select(
+        F.col("o_orderkey").alias("commit"), (F.col("o_orderkey") * 1000).alias("at"), (F.col("l_linenumber").cast("long") * 100000 + F.col("l_partkey")).alias("line"), F.when(F.col("l_returnflag") == "R", "-").otherwise("+").alias("sign"),
+        F.concat(F.lit("m"), (F.col("l_partkey") % 50).cast("string")).alias("mbid"), F.concat(F.lit("q"), (F.col("l_suppkey") % 3).cast("string")).alias("rest"),
+    )
+
+
+def _all_songs(i: Inputs) -> tuple[DataFrame, DataFrame]:
+    return _songs(i, "true")
+
+
+def _all_folds(i: Inputs) -> DataFrame:
+    rows = i.table("orders").select(F.col("o_orderkey").cast("string").alias("name"), (F.col("o_orderkey") * 10 + F.col("o_custkey") % 17 - 8).alias("start"), (F.col("o_orderkey") * 10 + 10).alias("end"))
+    return Ix.fold_plan(rows, 35)
+
+
+def _counted(i: Inputs, pages: DataFrame) -> DataFrame:
+    """``pages`` with ``total``, the number of places in the feed: no page lies behind it."""
+    return pages.crossJoin(F.broadcast(i.table("part").agg((F.max("p_partkey") + 1).cast("int").alias("total"))))
+
+
+def _cf(i: Inputs) -> DataFrame:
+    item = F.struct(_uuid_or("?", 17).alias("recording_mbid"), F.col("p_retailprice").alias("score"), F.when(F.col("p_partkey") % 2 == 0, "2024-01-01T00:00:00Z").alias("latest_listened_at"))
+    payload = F.struct((F.col("page") * 50).cast("int").alias("offset"), F.lit(50).alias("count"), F.col("total").alias("total_mbid_count"), F.col("items").alias("mbids"))
+    pages = _counted(i, _paged(i, item)).select(F.to_json(F.struct(payload.alias("payload"))).alias("body"))
+    return Rd.json_cf(pages).select("position", "mbid", "score", F.coalesce("latest_listened_at", F.lit("")).alias("latest"))
+
+
+def _catalogue(i: Inputs) -> DataFrame:
+    item = F.struct(_uuid_or("x", 17).alias("id"), F.expr("CASE p_partkey % 3 WHEN 0 THEN '1999' WHEN 1 THEN '2001-05' ELSE 'soon' END").alias("first_release_date"))
+    page = F.struct((F.col("page") * 50).cast("int").alias("offset"), F.col("total").alias("count"), F.col("items").alias("recordings"))
+    return Rd.json_catalogue(_counted(i, _paged(i, item)).select(F.to_json(page).alias("body"))).select("mbid", F.col("released").cast("string").alias("released"))
+
+
+def _append_all(i: Inputs) -> DataFrame:
+    from cadenza.sources.sinks import append_entry
+
+    return append_entry(i.table("part").select(F.col("p_partkey").cast("string").alias("s")), i.table("supplier").select((F.col("s_suppkey") + 95).cast("string").alias("s")))
+
+
+query("join_fuzzy_song_whole")(lambda i: O.assign(*_all_songs(i)))
+query("song_exact_match_whole")(lambda i: (lambda d, l: O._title_pairs(d, l.join(d, "mbid", "left_anti")).where("level = 2 AND agree").select("entry", "mbid"))(*_all_songs(i)))  # noqa: E741
+query("song_stripped_match_whole")(lambda i: (lambda d, l: O._title_pairs(d, l.join(d, "mbid", "left_anti")).where("level = 1 AND agree").select("entry", "mbid"))(*_all_songs(i)))  # noqa: E741
+query("song_unique_title_whole")(lambda i: O.assign(*_all_songs(i)).where("step = 2").select("entry", "mbid"))
+query("set_undeclared_whole")(lambda i: (lambda d, l: O.undeclared(l, O.assign(d, l)).select("mbid", "listen"))(*_all_songs(i)))  # noqa: E741
+query("sort_undeclared_whole")(
+    lambda i: (lambda d, l: O.undeclared(l, O.assign(d, l)).select("mbid", F.row_number().over(Window.orderBy(F.desc("listen"), "mbid")).alias("rank")))(*_all_songs(i))  # noqa: E741
+)
+query("join_replace_pairing_whole")(lambda i: O.replacement_pairs(_log(i)))
+query("report_truncate_whole")(lambda i: Sy.report(_tier_diff(i), "tier"))
+query("sink_declaration_append_whole")(lambda i: _append_all(i))
+query("scan_json_cf_whole")(_cf)
+query("scan_catalogue_whole")(_catalogue)
+query("stream_fold_once_whole")(lambda i: _all_folds(i).select("name", "covered", "folded"))
+query("stream_late_data_whole")(lambda i: _all_folds(i).where("NOT folded").select("name", "start", "covered"))
+query("stream_gap_repair_whole")(lambda i: _all_folds(i).where("gap_to IS NOT NULL").select("name", "gap_from", "gap_to"))
