@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cadenza import schema as S
 from cadenza.functions import text as X
 from cadenza.functions import values as V
+from cadenza.sources.sinks import staged
 
 EXACT, STRIPPED = 2, 1
 
@@ -87,23 +88,32 @@ def undeclared(listened: DataFrame, assigned: DataFrame) -> DataFrame:
 def first_added(log: DataFrame) -> DataFrame:
     """(mbid, at): when each entry was first added, from diff lines (commit, at, line, sign, mbid, rest).
 
-    Within one commit a removed line and the first added line of the same rest are a replacement: the new
-    id inherits the date of the old one.  Replacements form chains; they are followed to their start.
+    Lines count in the order of commit and line, at equal lines removed ones first.  An added line takes the
+    place of the earliest removed line above it in its commit that has the same rest and is not taken yet.  If an
+    id's first addition does so, it inherits the date of the removed id, if that was added before; later
+    additions change nothing.  So links lead back in the log, never in a circle, and are followed to their start.
     """
-    turn = F.row_number().over(Window.partitionBy("commit", "sign", "rest").orderBy("line", "mbid"))
-    lines = log.withColumn("turn", turn)
-    added, removed = lines.where("sign = '+'"), lines.where("sign = '-'")
-    pairs = removed.alias("r").join(added.alias("a"), ["commit", "rest", "turn"]).where("r.mbid <> a.mbid")
-    swaps = pairs.groupBy(F.col("a.mbid").alias("mbid")).agg(F.min_by("r.mbid", "r.at").alias("parent"))
-    date = added.groupBy("mbid").agg(F.min("at").alias("at"))
-    while True:  # pointer jumping: chains of length n take log n rounds
+    upto = Window.partitionBy("commit", "rest").orderBy("line", F.desc("sign"), "mbid").rowsBetween(Window.unboundedPreceding, 0)
+    removals, additions = F.count_if(F.col("sign") == "-").over(upto), F.count_if(F.col("sign") == "+").over(upto)
+    counted = log.where("sign IN ('+', '-')").withColumns({"removals": removals, "additions": additions})
+    # ``bare`` counts the additions so far that found no removed line left.
+    lines = counted.withColumn("bare", F.greatest(F.max(F.col("additions") - F.col("removals")).over(upto), F.lit(0)))
+    before = F.coalesce(F.lag("bare").over(Window.partitionBy("commit", "rest").orderBy("line", F.desc("sign"), "mbid")), F.lit(0))
+    lines = lines.withColumn("turn", F.when(F.col("sign") == "-", F.col("removals")).when(F.col("bare") == before, F.col("additions") - F.col("bare")))
+    place = F.struct("commit", "line", "mbid").alias("place")
+    first = lines.where("sign = '+'").select("mbid", place, "at", "commit", "rest", "turn").groupBy("mbid").agg(F.min_by(F.struct("place", "at", "commit", "rest", "turn"), "place").alias("f")).select("mbid", "f.*")
+    first = staged(first, "first-added")
+    old = lines.where("sign = '-'").select("commit", "rest", "turn", F.col("mbid").alias("parent"))
+    earlier = first.select(F.col("mbid").alias("parent"), F.col("place").alias("parent_place"))
+    swaps = staged(first.join(old, ["commit", "rest", "turn"]).join(earlier, "parent").where("parent_place < place").select("mbid", "parent"), "swaps")
+    while True:  # pointer jumping: chains of length n take log n rounds, each from a table
         up = swaps.select(F.col("mbid").alias("parent"), F.col("parent").alias("grand"))
-        jumped = swaps.join(up, "parent", "left").withColumn("next", F.coalesce("grand", "parent"))
-        if jumped.where("grand IS NOT NULL AND grand <> parent AND grand <> mbid").isEmpty():
+        jumped = staged(swaps.join(up, "parent", "left").select("mbid", "parent", "grand"), "swaps")
+        swaps = jumped.select("mbid", F.coalesce("grand", "parent").alias("parent"))
+        if jumped.where("grand IS NOT NULL").isEmpty():
             break
-        swaps = jumped.where("next <> mbid").select("mbid", F.col("next").alias("parent"))
-    root = date.withColumnRenamed("mbid", "parent").withColumnRenamed("at", "root_at")
-    return date.join(swaps, "mbid", "left").join(root, "parent", "left").select("mbid", F.least("at", "root_at").alias("at"))
+    root = first.select(F.col("mbid").alias("parent"), F.col("at").alias("root_at"))
+    return first.select("mbid", "at").join(swaps, "mbid", "left").join(root, "parent", "left").select("mbid", F.coalesce("root_at", "at").alias("at"))
 
 
 def replacement_pairs(log: DataFrame) -> DataFrame:

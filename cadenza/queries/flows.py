@@ -329,12 +329,13 @@ def _windowed(i: Inputs) -> DataFrame:
 
 # The same operators over whole tables.  The SQL of the queries above holds fixed ranges of ids, so these have
 # none; tests compare them with brute force.
-def _log(i: Inputs) -> DataFrame:
-    """Every order as a commit, its lines as added and removed entries."""
+def _log(i: Inputs, entry=None) -> DataFrame:
+    """Every order as a commit, its lines as added and removed entries; ``entry`` is another id for them."""
+    entry = F.concat(F.lit("m"), (F.col("l_partkey") % 50).cast("string")) if entry is None else entry
     lines = i.table("lineitem").join(i.table("orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return lines.select(
         F.col("o_orderkey").alias("commit"), (F.col("o_orderkey") * 1000).alias("at"), (F.col("l_linenumber").cast("long") * 100000 + F.col("l_partkey")).alias("line"), F.when(F.col("l_returnflag") == "R", "-").otherwise("+").alias("sign"),
-        F.concat(F.lit("m"), (F.col("l_partkey") % 50).cast("string")).alias("mbid"), F.concat(F.lit("q"), (F.col("l_suppkey") % 3).cast("string")).alias("rest"),
+        entry.alias("mbid"), F.concat(F.lit("q"), (F.col("l_suppkey") % 3).cast("string")).alias("rest"),
     )
 
 
@@ -380,6 +381,7 @@ query("sort_undeclared_whole")(
     lambda i: (lambda d, l: O.undeclared(l, O.assign(d, l)).select("mbid", F.row_number().over(Window.orderBy(F.desc("listen"), "mbid")).alias("rank")))(*_all_songs(i))  # noqa: E741
 )
 query("join_replace_pairing_whole")(lambda i: O.replacement_pairs(_log(i)))
+query("win_first_added_whole")(lambda i: O.first_added(_log(i, F.concat(F.lit("e"), F.col("l_partkey").cast("string")))))
 query("report_truncate_whole")(lambda i: Sy.report(_tier_diff(i), "tier"))
 query("sink_declaration_append_whole")(lambda i: _append_all(i))
 query("scan_json_cf_whole")(_cf)
