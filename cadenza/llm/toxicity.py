@@ -1,13 +1,17 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
 Training rows are labelled documents outside the held-out fifth, at most about ``MAX_TRAIN`` of them, taken
-by a hash of their id.  They are dealt by another hash into three parts, so that no step is fitted on
+by a hash of their id, class by class: each class may fill half of them and what the other leaves, and weights
+restore the classes' shares.  They are dealt by another hash into three parts, so that no step is fitted on
 what the step before has seen:
 
 1.  a lexicon: words and word stems whose document frequency in toxic rows is far above that in others;
 2.  boosted trees over the features of ``FEATURES``;
 3.  an isotonic map from the trees' probability to the share of toxic rows.
 
+Where a part has fewer than ``MIN_CLASS`` // 5 rows of a class, no lexicon is learned: the fixed one stands
+alone, the trees are fitted on all training rows and the isotonic map on what trees of the other folds say.
+
 Features of a text: densities of the learned and of a fixed lexicon, nearness of hits to second-person
 pronouns, capitals, punctuation and obfuscation (signs or digits inside words, letters set apart,
 stretched letters).  They are computed from whole texts in Arrow batches; ids, labels, lang and source
@@ -15,8 +19,8 @@ are never inputs.
 
 Edge cases: null and empty texts have zero features and are scored like any text; repeated label rows
 count once, as toxic if any says so; rows with null doc_id count as held out and are never learned;
-without labels, or with fewer than ``MIN_CLASS`` rows of a class, every score is the share of toxic
-training rows (0 without any).
+without labels, or with training rows of one class only, every score is the share of toxic training rows
+(0 without any).
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import free_name, materialize, table
@@ -38,6 +42,7 @@ from cadenza.llm.common import free_name, materialize, table
 MAX_TRAIN = 20_000
 MIN_CLASS = 20
 HELD_OUT = 5
+FOLDS = 2
 LEXICON_TERMS = 600
 MIN_RATIO = 8.0
 STEMS = (4, 5, 6)
@@ -103,12 +108,12 @@ def learn_lexicon(rows: DataFrame, sizes: dict[int, int], terms: int = LEXICON_T
     return {r["term"]: math.log(r["ratio"]) for r in best.collect()}
 
 
-def features(text: str | None, lexicon: dict[str, float], known: dict[str, tuple[float, bool, bool, bool]]) -> list[float]:
+def features(text: str | None, lexicon: dict[str, float], known: dict[str, tuple[float, bool, bool, bool, int]]) -> list[float]:
     """One value per name of FEATURES.  ``known`` remembers what tokens are worth."""
     text = text or ""
     tokens = text.split()
     n = max(1, len(tokens))
-    hits = fixed = you = hidden = capital = 0
+    hits = fixed = you = hidden = capital = capitals = 0
     best = total = 0.0
     marks: set[str] = set()
     yours: set[str] = set()
@@ -117,10 +122,10 @@ def features(text: str | None, lexicon: dict[str, float], known: dict[str, tuple
         if facts is None:
             word, masked = plain(token)
             weight = max([lexicon.get(word, 0.0), *(lexicon.get(word[:c] + "-", 0.0) for c in STEMS if len(word) > c)])
-            facts = weight, word in INSULTS, word in YOU, masked
+            facts = weight, word in INSULTS, word in YOU, masked, sum(map(str.isupper, token))
             if len(known) < 500_000:
                 known[token] = facts
-        weight, insult, second, masked = facts
+        weight, insult, second, masked, upper = facts
         if weight or insult:
             hits += k
             best = max(best, weight)
@@ -132,6 +137,7 @@ def features(text: str | None, lexicon: dict[str, float], known: dict[str, tuple
             yours.add(token)
         hidden += k * masked
         capital += k * (token.isupper() and len(token) > 1)
+        capitals += k * upper
     near = 0
     if marks and yours:
         last = -99
@@ -147,7 +153,7 @@ def features(text: str | None, lexicon: dict[str, float], known: dict[str, tuple
                     open_.append(i)
     letters = max(1, len(text))
     return [
-        float(hits), hits / n, best, total / n, fixed / n, near / n, you / n, capital / n, sum(map(str.isupper, text)) / letters if capital else 0.0,
+        float(hits), hits / n, best, total / n, fixed / n, near / n, you / n, capital / n, capitals / letters,
         text.count("!") / n, len(_PUNCTUATION.findall(text)) / n, hidden / n, len(_SPACED.findall(text)) / n, len(_STRETCHED.findall(text)) / n, math.log1p(len(tokens)),
     ]
 
@@ -172,7 +178,7 @@ def with_features(rows: DataFrame, lexicon: dict[str, float]) -> DataFrame:
 
 
 class Model:
-    """A lexicon, trees and a calibration, or a constant where labels were too few."""
+    """A lexicon, trees and a calibration, or a constant where a class has no labels."""
 
     def __init__(self, lexicon: dict[str, float], trees=None, calibration=None, constant: float = 0.0):
         self.lexicon, self.trees, self.calibration, self.constant = lexicon, trees, calibration, constant
@@ -194,24 +200,51 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, seed:
     """Fit on at most about ``max_train`` labelled rows that are not held out."""
     truth = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("l_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     steps = 1_000_000
-    share = min(steps, int(steps * max_train / max(1, truth.count())))
-    truth = truth.where(F.pmod(F.xxhash64("l_id", F.lit(seed)), F.lit(steps)) < share)
-    rows = docs.select("doc_id", "text").join(truth, F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(20)).alias("part"))
+    size = {0: 0, 1: 0} | {r["toxic"]: r["n"] for r in truth.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    bound = {y: max(max_train // 2, max_train - size[1 - y]) for y in (0, 1)}
+    share = {y: max(1, min(steps, int(steps * bound[y] / max(1, size[y])))) for y in (0, 1)}
+    of_class = lambda x: F.when(F.col("toxic") == 1, F.lit(x[1])).otherwise(F.lit(x[0]))
+    truth = truth.where(F.pmod(F.xxhash64("l_id", F.lit(seed)), F.lit(steps)) < of_class(share)).withColumn("weight", of_class({y: steps / share[y] for y in (0, 1)}))
+    # About ``max_train`` ids at most, whatever the input: broadcast, so that no text is shuffled.
+    rows = docs.select("doc_id", "text").join(F.broadcast(truth), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "toxic", "weight", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(20)).alias("part"))
     rows = materialize(rows, "toxic-train")
     parts = {"lexicon": F.col("part") < 9, "trees": F.col("part").between(9, 15), "scale": F.col("part") > 15}
-    found = {(r["name"], r["toxic"]): r["n"] for r in rows.groupBy(F.expr("CASE WHEN part < 9 THEN 'lexicon' WHEN part < 16 THEN 'trees' ELSE 'scale' END").alias("name"), "toxic").agg(F.count("*").alias("n")).collect()}
+    tally = rows.groupBy(F.expr("CASE WHEN part < 9 THEN 'lexicon' WHEN part < 16 THEN 'trees' ELSE 'scale' END").alias("name"), "toxic").agg(F.count("*").alias("n")).collect()
+    found = {(r["name"], r["toxic"]): r["n"] for r in tally}
+    n = {y: sum(v for k, v in found.items() if k[1] == y) for y in (0, 1)}
+    if not min(n.values()):
+        return Model({}, constant=float(n[1] > 0))
     if min(found.get((p, y), 0) for p in parts for y in (0, 1)) < MIN_CLASS // 5:
-        n = {y: sum(v for k, v in found.items() if k[1] == y) for y in (0, 1)}
-        return Model({}, constant=n[1] / max(1, n[0] + n[1]))
+        return _train_in_folds(rows, min(n.values()), seed)
     lexicon = learn_lexicon(rows.where(parts["lexicon"]), {y: found["lexicon", y] for y in (0, 1)})
     valued = materialize(with_features(rows.where(~parts["lexicon"]), lexicon), "toxic-values").withColumn("vector", array_to_vector("values"))
+    trees = _fit_trees(valued.where(parts["trees"]), seed)
+    return Model(lexicon, trees, _fit_scale(_raw(trees, valued.where(parts["scale"]))))
+
+
+def _fit_trees(rows: DataFrame, seed: int, leaf: int = 10):
     # The sample is bounded, so a few partitions hold it.
-    learnt = valued.where(parts["trees"]).coalesce(4).cache()
-    trees = GBTClassifier(featuresCol="vector", labelCol="toxic", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, minInstancesPerNode=10, seed=seed).fit(learnt)
+    learnt = rows.coalesce(4).cache()
+    trees = GBTClassifier(featuresCol="vector", labelCol="toxic", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, minInstancesPerNode=leaf, seed=seed).fit(learnt)
     learnt.unpersist()
-    scale = _raw(trees, valued.where(parts["scale"])).withColumn("label", F.col("toxic").cast("double"))
-    calibration = IsotonicRegression(featuresCol="raw", labelCol="label").fit(scale.select("raw", "label"))
-    return Model(lexicon, trees, calibration)
+    return trees
+
+
+def _fit_scale(raw: DataFrame):
+    return IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight").fit(raw.select("raw", F.col("toxic").cast("double").alias("label"), "weight"))
+
+
+def _train_in_folds(rows: DataFrame, fewest: int, seed: int) -> Model:
+    """The fixed lexicon alone; every row trains the trees, and its fold's other trees say what scales them."""
+    # The sample is bounded, so one task can number a class; classes start at different folds, so that none is left without rows.
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(seed + 2)), "doc_id"))
+    valued = materialize(with_features(rows.withColumn("fold", (place + F.col("toxic")) % FOLDS), {}), "toxic-values").withColumn("vector", array_to_vector("values"))
+    leaf = max(1, min(10, fewest // 4))
+    raw = None
+    for k in range(FOLDS):
+        told = _raw(_fit_trees(valued.where(F.col("fold") != k), seed, leaf), valued.where(F.col("fold") == k)).select("raw", "toxic", "weight")
+        raw = told if raw is None else raw.unionByName(told)
+    return Model({}, _fit_trees(valued, seed, leaf), _fit_scale(raw))
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
