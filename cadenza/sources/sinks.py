@@ -58,9 +58,14 @@ def step(df_of, spark: SparkSession, path: str, **kw) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only where that is unset and the session runs on one machine (tests), a folder of our own is made and set.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="cadenza-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         folder = f"file://{own}"
@@ -69,12 +74,32 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one, for what only its own later plans read."""
+    return f"{shared_dir(spark)}/cadenza-{spark.sparkContext.applicationId}"
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """The same rows behind a table of the shared folder: later plans start there, and so does recovery."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.staged_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
+    for table in tables:
+        fs, path = _hadoop(table.sparkSession, table.staged_at)
+        fs.delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete everything that this application has staged, once its results are written elsewhere."""
+    fs, path = _hadoop(spark, run_dir(spark))
+    fs.delete(path, True)
 
 
 def write_buckets(plays: DataFrame, path: str) -> None:
@@ -84,14 +109,14 @@ def write_buckets(plays: DataFrame, path: str) -> None:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file, written under a temporary name first."""
+    """A small new file, written under a temporary name first: it is whole or absent."""
     fs, target = _hadoop(spark, path)
     _, part = _hadoop(spark, f"{path}.writing")
     out = fs.create(part, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(target, False)
-    fs.rename(part, target)
+    if not fs.rename(part, target):
+        raise OSError(f"cannot write {path}")
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
@@ -100,13 +125,33 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     return "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())  # one small file
 
 
+def _pointers(spark: SparkSession, index: str) -> list[int]:
+    """The numbers of an index's pointers, oldest first."""
+    fs, folder = _hadoop(spark, index)
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(int(n[len("meta-") : -len(".json")]) for n in names if n.startswith("meta-") and n.endswith(".json"))
+
+
+def _pointer(index: str, number: int) -> str:
+    return f"{index}/meta-{number:012d}.json"
+
+
 def publish(spark: SparkSession, index: str, version: str, meta: dict) -> None:
-    """Point the index at a version whose tables are complete; the pointer is written last."""
-    write_text(spark, f"{index}/meta.json", json.dumps(meta | {"version": version}, sort_keys=True))
+    """Point the index at a version whose tables are complete.
+
+    Each pointer is a new file with the next number, and readers take the highest: there is one at every
+    moment, before and after a crash.  The pointer before stays for readers that have just listed it.
+    """
+    numbers = _pointers(spark, index)
+    write_text(spark, _pointer(index, numbers[-1] + 1 if numbers else 0), json.dumps(meta | {"version": version}, sort_keys=True))
+    for number in numbers[:-1]:
+        fs, old = _hadoop(spark, _pointer(index, number))
+        fs.delete(old, False)
 
 
 def meta(spark: SparkSession, index: str) -> dict | None:
-    text = read_text(spark, f"{index}/meta.json")
+    numbers = _pointers(spark, index)
+    text = read_text(spark, _pointer(index, numbers[-1])) if numbers else None
     return json.loads(text) if text else None
 
 
