@@ -1,8 +1,10 @@
 """Connected components of an edge table, by minimum labels with pointer jumping.
 
-Each round takes the smallest label among a node's neighbours and then the label of that label.  Sums and
-minima are pre-aggregated before every shuffle, so a node with very many edges costs one row per task.
-Each round's labels are written to the shared folder; nothing is collected but one count per round.
+Each round takes the smallest label among a node's neighbours and then the label of that label.  Minima are
+pre-aggregated before every shuffle.  A hub, or a label that most nodes share, is one key of a join whose other
+side has one row for it; such a partition is cut into several tasks by adaptive execution's skew join, and its
+rows are two numbers each.  Each round's labels are written to the shared folder and the round's before are
+deleted; nothing is collected but whether a label moved.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import materialize
+from cadenza.llm.common import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,11 +20,15 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
     both = materialize(both.where("node <> other").distinct(), "edges")
     labels = materialize(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("label")), "labels")
+    held = labels
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.least("label", "near").alias("lower"), F.col("label").alias("old"))
         jump = labels.select(F.col("node").alias("lower"), F.col("label").alias("jump"))
         moved = materialize(lower.join(jump, "lower", "left").select("node", F.least("lower", F.coalesce("jump", "lower")).alias("label"), "old"), "labels")
-        labels = moved.select("node", "label")
-        if moved.where("label <> old").isEmpty():
+        settled = moved.where("label <> old").isEmpty()
+        discard(held)
+        labels, held = moved.select("node", "label"), moved
+        if settled:
+            discard(both)
             return labels

@@ -6,8 +6,9 @@ hashed window by window inside generated code, probed against it, and a probe th
 by word before it counts.  All hits of a document are gathered in the task that read it (partial
 aggregation), so only one row per document is shuffled, however common a passage is.
 
-The broadcast is bounded by ``max_broadcast_windows``; a larger benchmark is dealt into as many hash
-classes as needed, and each class is probed in a pass of its own.
+A broadcast is bounded by ``max_broadcast_bytes``; a larger benchmark is dealt into as many hash classes as
+needed, and each class is probed in a pass of its own.  A window that very many items share is several rows of
+at most ``ITEMS_A_ROW`` items, so that classes are of even size.
 
 Edge cases: null and empty texts have no words and no hits; repeated rows are reported once per row;
 benchmark rows with null item_id or without words take no part; an empty benchmark contaminates
@@ -19,22 +20,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import WORD, free_name, materialize, table, word_array
+from cadenza.llm.common import WORD_ANY_CASE, columns, free_name, marks, materialize, split, table, word_array
 
 WINDOW = 10
-MAX_BROADCAST_WINDOWS = 2_000_000
+MAX_BROADCAST_BYTES = 64 << 20
+ITEMS_A_ROW = 1000
+#: Bytes of a row and of a string beside its characters, in a broadcast hash table.
+_ROW_COST, _STRING_COST = 64, 24
 #: A position code holds the window's length above this factor and its start below.
 _BASE = 1 << 32
-#: Words of a text whose capitals are kept.
-_WORD_ANY_CASE = WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
 
 
 def benchmark_windows(bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(len, key, gram, items): each distinct window once, with the ids of the items that have it."""
+    """(len, key, gram, items): each distinct window, with the ids of the items that have it, ``ITEMS_A_ROW`` a row."""
     words = bench.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), word_array(F.col("text")).alias("words"))
     sized = words.where(F.size("words") > 0).withColumn("len", F.least(F.size("words"), F.lit(window)))
     grams = sized.select("item_id", "len", F.explode(F.expr("transform(sequence(1, size(words) - len + 1), i -> slice(words, i, len))")).alias("gram"))
-    return grams.groupBy("len", "gram").agg(F.collect_set("item_id").alias("items")).select("len", F.xxhash64("gram").alias("key"), "gram", "items")
+    dealt = grams.withColumn("item_class", F.pmod(F.xxhash64("item_id"), F.lit(1 << 16)))
+    # Items of a window are counted first; few windows have more than one row.
+    parts = F.ceil(F.col("n") / ITEMS_A_ROW)
+    counted = dealt.groupBy("len", "gram").agg(F.count("*").alias("n")).where(F.col("n") > ITEMS_A_ROW).select(F.col("len").alias("c_len"), F.col("gram").alias("c_gram"), parts.alias("parts"))
+    dealt = dealt.join(counted, (F.col("len") == F.col("c_len")) & (F.col("gram") == F.col("c_gram")), "left").withColumn("part", F.pmod("item_class", F.coalesce("parts", F.lit(1))))
+    return dealt.groupBy("len", "gram", "part").agg(F.collect_set("item_id").alias("items")).select("len", F.xxhash64("gram").alias("key"), "gram", "items")
 
 
 def _position_codes(lengths: list[int]) -> Column:
@@ -58,17 +65,18 @@ def _hits(words: DataFrame, keys: list[str], windows: DataFrame, lengths: list[i
     return found.groupBy(*keys).agg(F.max("n_words").alias("n_words"), F.collect_set(span).alias("spans"), F.array_distinct(F.flatten(F.collect_set(F.when(F.col("p_len") > 0, F.col("items"))))).alias("items"))
 
 
-def find_hits(docs: DataFrame, bench: DataFrame, keys: dict[str, Column], window: int = WINDOW, max_broadcast_windows: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
+def find_hits(docs: DataFrame, bench: DataFrame, keys: dict[str, Column], window: int = WINDOW, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """For each document: the given key columns, n_words, spans and items of its verified hits."""
     windows = materialize(benchmark_windows(bench, window), "windows")
     # At most `window` lengths and one count: nothing here grows with either table.
-    stats = windows.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("len")).alias("lengths")).first()
-    lengths, passes = list(stats["lengths"]), max(1, -(-stats["n"] // max_broadcast_windows))
+    held = lambda strings: F.aggregate(strings, F.lit(0).cast("long"), lambda acc, x: acc + F.octet_length(x) + _STRING_COST)
+    stats = windows.agg(F.sum(held("gram") + held("items") + _ROW_COST).alias("bytes"), F.sort_array(F.collect_set("len")).alias("lengths")).first()
+    lengths, passes = list(stats["lengths"]), max(1, -(-(stats["bytes"] or 0) // max_broadcast_bytes))
     words = docs.select(*[c.alias(k) for k, c in keys.items()], word_array(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
     if passes == 1:
         return _hits(words, list(keys), windows, lengths)
     words = materialize(words, "doc-words")
-    found = [_hits(words, list(keys), windows.where(F.pmod("key", F.lit(passes)) == i), lengths) for i in range(passes)]
+    found = [_hits(words, list(keys), windows.where(F.pmod(F.xxhash64("key", F.get("items", F.lit(0))), F.lit(passes)) == i), lengths) for i in range(passes)]
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
@@ -83,9 +91,9 @@ def covered_words() -> Column:
     )
 
 
-def report(docs: DataFrame, bench: DataFrame, window: int = WINDOW, max_broadcast_windows: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
+def report(docs: DataFrame, bench: DataFrame, window: int = WINDOW, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans and item_ids."""
-    hits = find_hits(docs, bench, {"row": F.monotonically_increasing_id(), "doc_id": F.col("doc_id")}, window, max_broadcast_windows)
+    hits = find_hits(docs, bench, {"row": F.monotonically_increasing_id(), "doc_id": F.col("doc_id")}, window, max_broadcast_bytes)
     items = F.array_sort("items")
     return hits.select(
         "doc_id",
@@ -100,24 +108,27 @@ def report(docs: DataFrame, bench: DataFrame, window: int = WINDOW, max_broadcas
 def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "documents", window: int = WINDOW) -> DataFrame:
     """``docs`` without contaminated documents (``remove='documents'``), or with the hit words cut out of their texts (``'spans'``).
 
-    Texts are matched by id and content hash, so that repeated ids with different texts stay apart.
+    Rows are matched by two hashes of id and text.  Only rows that may hold a hit are shuffled; all others stay
+    where they are.
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove: {remove!r}")
-    k_id, k_text, spans, gaps, kept = (free_name(docs, c) for c in ("k_id", "k_text", "spans", "gaps", "kept"))
-    hits = find_hits(docs, bench, {k_id: F.col("doc_id"), k_text: F.xxhash64("text")}, window).where(F.size("spans") > 0)
-    hits = hits.select(k_id, k_text, F.col("spans").alias(spans))
-    same = docs["doc_id"].eqNullSafe(F.col(k_id)) & (F.xxhash64(docs["text"]) == F.col(k_text))
+    k1, k2, spans, gaps, kept = (free_name(docs, c) for c in ("k1", "k2", "spans", "gaps", "kept"))
+    keys = dict(zip((k1, k2), marks(docs["doc_id"], docs["text"]), strict=True))
+    hits = find_hits(docs, bench, keys, window).where(F.size("spans") > 0)
+    hits = materialize(hits.select(k1, k2, F.col("spans").alias(spans)), "hits")
+    maybe, rest = split(docs.withColumns(keys), hits, k1)
     if remove == "documents":
-        return docs.join(hits, same, "left_anti")
+        return rest.unionByName(maybe.join(hits, [k1, k2], "left_anti")).select(*columns(docs))
     # What stands between the words stays; a hit word becomes nothing.
     cut = F.expr(
         f"array_join(zip_with(sequence(0, size({gaps}) - 1), {gaps}, (i, gap) -> concat(gap, CASE WHEN i < size({kept})"
         f" AND NOT exists({spans}, s -> i + 1 BETWEEN s.start AND s.start + s.len - 1) THEN {kept}[i] ELSE '' END)), '')"
     )
-    marked = docs.join(hits, same, "left")
-    marked = marked.withColumns({gaps: F.split("text", _WORD_ANY_CASE), kept: F.regexp_extract_all("text", F.lit(_WORD_ANY_CASE), F.lit(0))})
-    return marked.select(*[F.when(F.col(spans).isNull(), F.col("text")).otherwise(cut).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    marked = maybe.join(hits, [k1, k2], "left")
+    marked = marked.withColumns({gaps: F.split("text", WORD_ANY_CASE), kept: F.regexp_extract_all("text", F.lit(WORD_ANY_CASE), F.lit(0))})
+    cleaned = marked.select(*[F.when(F.col(spans).isNull(), F.col("text")).otherwise(cut).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return rest.select(*columns(docs)).unionByName(cleaned)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,9 +11,13 @@ The pairs form a reduction tree: documents are dealt by hash into groups of abou
 is settled by a fold down to one residual, and the residuals of a source go through the same step until
 a source has one group left.  No group ever grows with its source.
 
+Equal rows form a class, which is one document of that tree: it takes its rows' copies together, and they share
+them evenly.  So a row that is repeated a million times is one member of one group.
+
 Edge cases: null texts have size 0 and are never taken; a source of size 0 has target 0; null sources are
-one source, placed last; repeated rows are rounded one by one; with no words at all nothing is taken.
-All random choices hash doc_id, size and the seed, so reruns agree.
+one source, placed last; with no words at all nothing is taken; rows that differ in any column are told apart
+by ``mix``, and no row is taken more than ``max_repeat`` times.  All random choices hash the row, its size and the
+seed, so reruns agree.
 """
 
 from __future__ import annotations
@@ -23,11 +27,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import free_name, materialize, table
+from cadenza.llm.common import columns, comparable, each_of, free_name, marks, materialize, sieve, split, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEAT = 3.0
 FAN_IN = 128
+#: Sources whose facts are broadcast to every row: some 5 MB at most.
+MAX_BROADCAST_SOURCES = 50_000
 SEED = 20_240_601
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -119,30 +125,62 @@ def rounded(items: DataFrame, seed: int = SEED, fan_in: int = FAN_IN) -> DataFra
         left, level = rest.where(open_), level + 1
 
 
-def copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: float = MAX_REPEAT, seed: int = SEED, fan_in: int = FAN_IN) -> DataFrame:
-    """Per document row: doc_id, text_key (content hash), source, size, source_size, target, copies."""
-    sized = docs.select("doc_id", "source", F.xxhash64("text").alias("text_key"), F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long").alias("size"))
-    sized = materialize(sized, "sizes")
-    goal = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeat), "targets")
-    wanted = sized.join(goal.withColumnRenamed("source", "t_source"), sized["source"].eqNullSafe(F.col("t_source"))).drop("t_source")
+def _classes(docs: DataFrame, weights: Sequence[float], max_repeat: float, seed: int, fan_in: int) -> tuple[DataFrame, DataFrame]:
+    """(classes, goal).  Classes of rows that agree in all columns: k1, k2, doc_id, source, size, n (rows), source_size,
+    target, usual (copies of most single rows of the source), base (copies of each row) and extra (rows with one more)."""
+    keys = dict(zip(("k1", "k2"), marks(*[comparable(docs, c) for c in docs.columns]), strict=True))
+    sized = docs.select(*[c.alias(k) for k, c in keys.items()], "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = materialize(sized.groupBy("k1", "k2", "doc_id", "source", "size").agg(F.count("*").alias("n")), "sizes")
+    goal = targets(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, max_repeat)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    wanted = wanted.withColumn("whole", F.floor(ratio + 1e-12)).withColumn("p", F.greatest(ratio - F.col("whole"), F.lit(0.0)))
-    item = F.struct("size", F.when(F.col("p") < 1e-9, 0.0).otherwise(F.col("p")).alias("p"), F.lit(0.0).alias("u"), F.struct("doc_id", "text_key").alias("id"))
+    usual = F.round(ratio).cast("long")
+    goal = materialize(goal.withColumns({"ratio": ratio, "usual": usual}), "targets")
+    wanted = sized.join(goal.withColumnRenamed("source", "t_source"), sized["source"].eqNullSafe(F.col("t_source"))).drop("t_source")
+    copies_ = F.col("ratio") * F.col("n")
+    wanted = wanted.withColumn("whole", F.floor(copies_ + 1e-9)).withColumn("p", F.greatest(copies_ - F.col("whole"), F.lit(0.0)))
+    item = F.struct("size", F.when(F.col("p") < 1e-9, 0.0).otherwise(F.col("p")).alias("p"), F.lit(0.0).alias("u"), F.struct("k1", "k2").alias("id"))
     done = rounded(wanted.select("source", item.alias("item")), seed, fan_in)
-    whole = wanted.select("source", "source_size", "target", "whole").dropDuplicates(["source"]).withColumnRenamed("source", "w_source")
-    joined = done.join(whole, done["source"].eqNullSafe(F.col("w_source")))
-    taken = F.when(F.col("item.size") > 0, F.col("whole") + F.col("item.p").cast("long")).otherwise(0)
-    return joined.select("item.id.doc_id", "item.id.text_key", "source", "item.size", "source_size", "target", taken.cast("long").alias("copies"))
-
-
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: float = MAX_REPEAT, seed: int = SEED) -> DataFrame:
-    """``docs`` with each row repeated as often as the mix takes it (not at all, for most rows of a source above its target)."""
-    mark, key, n = (free_name(docs, c) for c in ("mix_mark", "mix_key", "mix_n"))
-    counts = copies(docs, weights, max_repeat, seed).groupBy(F.xxhash64("doc_id", "source", "text_key").alias(mark), F.col("text_key").alias(key)).agg(F.sum("copies").alias(n)).where(F.col(n) > 0)
-    rows = docs.withColumns({mark: F.xxhash64("doc_id", "source", F.xxhash64("text")), key: F.xxhash64("text")})
-    # Rows that share id, source and text are dealt their common number of copies through one of them.
-    taken = rows.join(counts, [mark, key]).dropDuplicates([mark, key])
-    return taken.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)
+    up = done.select(F.col("item.id.k1").alias("k1"), F.col("item.id.k2").alias("k2"), F.col("item.p").cast("long").alias("up"))
+    taken = F.when(F.col("size") > 0, F.col("whole") + F.col("up")).otherwise(0)
+    even = wanted.join(up, ["k1", "k2"]).withColumn("all", taken.cast("long")).withColumns({"base": F.call_function("div", F.col("all"), F.col("n")), "extra": F.col("all") % F.col("n")})
+    return materialize(even.select("k1", "k2", "doc_id", "source", "size", "n", "source_size", "target", "usual", "base", "extra"), "mix-classes"), goal
+
+
+def copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: float = MAX_REPEAT, seed: int = SEED, fan_in: int = FAN_IN) -> DataFrame:
+    """Per document row: doc_id, source, size, source_size, target, copies."""
+    classes, _ = _classes(docs, weights, max_repeat, seed, fan_in)
+    every = each_of(classes, "n", "nth")
+    return every.select("doc_id", "source", "size", "source_size", "target", (F.col("base") + (F.col("nth") < F.col("extra")).cast("long")).alias("copies"))
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: float = MAX_REPEAT, seed: int = SEED, fan_in: int = FAN_IN) -> DataFrame:
+    """``docs`` with each row repeated as often as the mix takes it.
+
+    Most rows of a source are taken as often as its ratio says, rounded; those stay where they are.  The others
+    are listed, and only rows that may be among them are shuffled to meet the list.
+    """
+    k1, k2, n, s_source, usual = (free_name(docs, c) for c in ("mix_k1", "mix_k2", "mix_n", "mix_source", "mix_usual"))
+    classes, goal = _classes(docs, weights, max_repeat, seed, fan_in)
+    apart = classes.where("size > 0 AND (base <> usual OR extra > 0)").select(F.col("k1").alias(k1), F.col("k2").alias(k2), "base", "extra")
+    apart = materialize(apart, "mix-apart")
+    goal = goal.select(F.col("source").alias(s_source), F.col("usual").alias(usual))
+    if goal.count() <= MAX_BROADCAST_SOURCES:  # beyond it the join is left to Spark
+        goal = F.broadcast(goal)
+    keyed = docs.withColumns(dict(zip((k1, k2), marks(*[comparable(docs, c) for c in docs.columns]), strict=True)))
+    keyed = keyed.join(goal, F.col("source").eqNullSafe(F.col(s_source))).drop(s_source)
+    own = F.when(F.coalesce(F.col("text").rlike(_WORD), F.lit(False)), F.col(usual)).otherwise(0)
+    times = lambda rows, count: rows.withColumn(n, count).where(F.col(n) > 0).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*columns(docs))
+    maybe, rest = split(keyed, apart, k1)
+    base, extra = free_name(keyed, "base"), free_name(keyed, "extra")
+    listed = maybe.join(apart.select(k1, k2, F.col("base").alias(base)), [k1, k2], "left")
+    out = times(rest, own).unionByName(times(listed, F.coalesce(F.col(base), own)))
+    more = apart.where("extra > 0").select(k1, k2, F.col("extra").alias(extra))
+    if more.isEmpty():
+        return out
+    # Copies that equal rows could not share evenly: one of the rows is as good as another.
+    one = sieve(keyed, more, k1).groupBy(k1, k2).agg(F.first(F.struct(*columns(docs))).alias(n))
+    repeated = each_of(one.join(more, [k1, k2]), extra, usual)
+    return out.unionByName(repeated.select(*[F.col(n)[c].alias(c) for c in docs.columns]))
 
 
 def report(docs: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:

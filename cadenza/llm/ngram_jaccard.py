@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm.common import WORD_BYTES, free_name, materialize, sieve, table
+from cadenza.llm.common import WORD_BYTES, columns, free_name, marks, materialize, sieve, split, table
 from cadenza.llm.components import components
 
 N = 5
@@ -137,7 +137,8 @@ def _signer(n: int, bands: int, rows: int):
                 ends = np.cumsum(counts)
                 keys = [xxhash.xxh3_128_digest(grams[e - c : e].tobytes()) if c else None for e, c in zip(ends, counts, strict=True)]
                 lists = [next(signed) if c else None for c in counts]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "mark", "set_key", "bands"])
+                own = [batch.column(c) for c in ("doc_id", "k1", "k2")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "k1", "k2", "set_key", "bands"])
 
     return sign
 
@@ -235,17 +236,16 @@ def _block_verifier(threshold: float):
 
 
 def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, small: int = SMALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, edges, counts): members (doc_id, node) of all documents with n-grams or without (null
+    """(members, edges, counts): members (doc_id, k1, k2, node) of all documents with n-grams or without (null
     node); edges (a, b) that span the links between nodes; counts (node, n) of linked documents elsewhere."""
     bands, rows = banding(threshold, recall)
-    # A row's mark names its id and text: it leads back to the text without shuffling every text.
-    marked = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("mark"), "text")
+    # k1 and k2 name a row's id and text: they lead back to the text without shuffling every text.
+    marked = docs.select("doc_id", *[c.alias(k) for k, c in zip(("k1", "k2"), marks("doc_id", "text"), strict=True)], "text")
     signed = materialize(marked.mapInArrow(_signer(n, bands, rows), marked.drop("text").schema.add("set_key", "binary").add("bands", T.ArrayType(T.LongType()))), "signed")
-    # A node is a distinct set; its number comes from the set's hash.
-    named = signed.withColumn("node", F.xxhash64("set_key")).withColumn("node", F.when(F.col("set_key").isNotNull(), F.col("node")))
-    members = named.select("doc_id", "mark", "node")
-    nodes = named.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    nodes = materialize(nodes, "nodes")
+    # A node is a distinct set, by 128 bits of its hash; it gets a number, which later joins carry.
+    sets = signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    nodes = materialize(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    members = materialize(signed.drop("bands").join(nodes.select("set_key", "node"), "set_key", "left").select("doc_id", "k1", "k2", "node"), "members")
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     buckets = materialize(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     held = materialize(sieve(keyed, buckets, "key").join(buckets.hint("shuffle_hash"), "key"), "held")
@@ -258,10 +258,11 @@ def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: flo
     large = held.where(F.col("size") > small)
     wanted = visits.select("node").unionByName(large.select("node")).distinct()
     # The n-grams of the nodes that have company; one text stands for each node.
-    marks = materialize(members.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("mark").alias("mark")), "marks")
-    texts = sieve(marked.select("mark", "text"), marks, "mark").join(marks.hint("shuffle_hash"), "mark").select("node", "text")
-    if not members.groupBy("mark").count().where("count > 1").isEmpty():  # rows that repeat id and text
-        texts = texts.groupBy("node").agg(F.first("text").alias("text"))
+    best = members.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("best"))
+    best = materialize(best.select("node", "best.k1", "best.k2"), "marks")
+    # Rows that repeat id and text become one before the shuffle, which the join then shares.
+    texts = sieve(marked.select("k1", "k2", "text"), best, "k1").groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    texts = texts.join(best.hint("shuffle_hash"), ["k1", "k2"]).select("node", "text")
     grams = materialize(texts.mapInArrow(_grammer(n), "node long, grams binary"), "grams")
 
     sent = visits.join(grams, "node").select("home", "node", "grams", F.lit(0).cast("long").alias("b"), F.lit(False).alias("is_pair"))
@@ -287,31 +288,43 @@ def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: flo
 
 
 def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """Per document row: doc_id, mark (a hash of id and text), class_id, n_links."""
+    """Per document row: doc_id, k1, k2 (hashes of id and text), node (null without words), class_id, n_links."""
     members, edges, counts = links(docs, n, threshold, recall, small, block)
     labels = components(edges)
     roots = counts.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("root"), "n_links")
     roots = materialize(roots, "roots")
     least = members.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     ids = least.join(roots, "node").groupBy("root").agg(F.min("least").alias("class_id"))
-    found = materialize(roots.join(ids, "root").select("node", "class_id", "n_links"), "classes")
-    return members.join(found, "node", "left").select("doc_id", "mark", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    found = materialize(roots.join(ids, "root").select("node", "root", "class_id", "n_links"), "classes")
+    class_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
+    return members.join(found, "node", "left").select("doc_id", "k1", "k2", "root", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def deduplicate(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one row of each class: the one with the class's smallest doc_id."""
-    mark = free_name(docs, "mark")
-    found = classes(docs, n, threshold)
-    drop = found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("mark").alias(mark)).distinct()
-    marked = docs.withColumn(mark, F.xxhash64("doc_id", "text"))
-    kept = marked.join(drop, mark, "left_anti")
-    # Rows that repeat id and text, if there are any, are one class too.
-    repeated = not found.groupBy("mark").count().where("count > 1").isEmpty()
-    return (kept.dropDuplicates([mark]) if repeated else kept).drop(mark)
+    """``docs`` with one row of each class: one with the class's smallest doc_id.  Rows without words go only if they
+    repeat another's id and text.
+
+    Rows that may have to go, or that repeat, are shuffled; all others stay where they are.
+    """
+    k1, k2, gone, row = (free_name(docs, c) for c in ("k1", "k2", "gone", "row"))
+    rooted = materialize(classes(docs, n, threshold).select("doc_id", "k1", "k2", "root"), "rooted")
+    found = rooted.where("root IS NOT NULL")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "k1", "k2"))
+    kept = found.groupBy("root").agg(first.alias("kept"), F.count("*").alias("n")).where("n > 1").select("kept.k1", "kept.k2", F.col("root").alias("k_root"))
+    # Every row of a class of several: those of the kept key become one, the others go.
+    several = found.join(kept.select(F.col("k_root").alias("root"), F.col("k1").alias("kept1"), F.col("k2").alias("kept2")), "root")
+    listed = several.groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.max((F.col("k1") != F.col("kept1")) | (F.col("k2") != F.col("kept2"))).alias(gone), F.count("*").alias("n"))
+    wordless = rooted.where("root IS NULL").groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.lit(False).alias(gone), F.count("*").alias("n"))
+    listed = materialize(listed.unionByName(wordless).where(F.col(gone) | (F.col("n") > 1)).drop("n"), "listed")
+    keyed = docs.withColumns(dict(zip((k1, k2), marks(docs["doc_id"], docs["text"]), strict=True)))
+    maybe, rest = split(keyed, listed, k1)
+    # Rows that share id and text are all listed, so nothing else is lost where a key becomes one row.
+    once = maybe.groupBy(k1, k2).agg(F.first(F.struct(*columns(docs))).alias(row)).join(listed, [k1, k2], "left").where(f"NOT coalesce(`{gone}`, false)")
+    return rest.select(*columns(docs)).unionByName(once.select(*[F.col(row)[c].alias(c) for c in docs.columns]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents")).drop("mark")
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
 ORACLE = r"""

@@ -1,10 +1,12 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
-Texts are split where no token can cross: before a single space that stands between two letters.  A
-byte-level pre-tokenizer always starts a new piece there, and added special strings hold no space, so the
-sum over the pieces is the count of the whole.  Pieces recur, so each task keeps the counts of short ones
-(at most ``KEPT`` of them) and encodes the others in batches of about ``batch_bytes`` bytes, each once a
-batch.  Batches are cut by bytes, not by rows or texts: memory does not depend on how long texts are.
+Texts are split where no token can cross, in any script: before a single space or line feed that stands
+between two characters that are no white space, and between a CJK character and a CJK stop.  A byte-level
+pre-tokenizer always starts a new piece there, whatever version of Unicode it knows, and added special strings
+hold no such place, so the sum over the pieces is the count of the whole.  Pieces recur, so each task keeps the
+counts of short ones (at most ``KEPT`` of them) and encodes the others in batches of about ``batch_bytes``
+bytes of UTF-8, each once a batch.  Batches are cut by bytes, not by rows or texts: memory does not depend on
+how long texts are.
 
 Edge cases: null and empty texts have no tokens; a text without any safe boundary stays whole; repeated
 rows are counted once per row; extra columns are ignored.
@@ -12,6 +14,7 @@ rows are counted once per row; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,8 +27,10 @@ TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
 BATCH_BYTES = 1 << 16
 KEPT, KEPT_LENGTH = 500_000, 48
-#: Letters of the Latin blocks, for which all versions of Unicode agree.
-_LETTERS = frozenset(c for c in map(chr, range(0x41, 0x180)) if c.isalpha())
+#: Boundaries inside what stands between two single spaces.
+_INNER = re.compile(r"(?<=\S)(?=\n\S)|(?<=[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5])(?=[\u3001\u3002\uff0c\uff01\uff1f])")
+#: Pieces up to this length are not looked into.
+_PLAIN = 64
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -39,13 +44,13 @@ def pieces(text: str) -> list[str]:
     first, *words = text.split(" ")
     out, open_ = [], first
     for word in words:
-        if open_ and word and open_[-1] in _LETTERS and word[0] in _LETTERS:
+        if open_ and word and not open_[-1].isspace() and not word[0].isspace():
             out.append(open_)
             open_ = " " + word
         else:
             open_ += " " + word
     out.append(open_)
-    return out
+    return [cut for piece in out for cut in (_INNER.split(piece) if len(piece) > _PLAIN else (piece,))]
 
 
 def _encoder(path: str):
@@ -92,7 +97,7 @@ def _counter(path: str, batch_bytes: int, splits: bool):
                         waiting[piece].append(row)
                     else:
                         waiting[piece] = [row]
-                        held += len(piece)
+                        held += len(piece) if piece.isascii() else len(piece.encode())
                         if held >= batch_bytes:
                             settle()
                             held = 0

@@ -37,7 +37,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import free_name, materialize, table
+from cadenza.llm.common import materialize, table
 
 MAX_TRAIN = 20_000
 MIN_CLASS = 20
@@ -48,6 +48,7 @@ MIN_RATIO = 8.0
 STEMS = (4, 5, 6)
 TREES, DEPTH, SEED = 30, 4, 17
 THRESHOLD = 0.5
+RAW_SHARE = 0.02
 FEATURES = [
     "hits", "hit_density", "best_weight", "weight_density", "fixed_density", "near_you", "you_density", "capital_words", "capital_share",
     "exclaims", "punctuation", "obfuscated", "spaced_letters", "stretched", "log_words",
@@ -158,23 +159,24 @@ def features(text: str | None, lexicon: dict[str, float], known: dict[str, tuple
     ]
 
 
-def _featurer(lexicon: dict[str, float]):
+def _featurer(lexicon: dict[str, float], dropped: str | None):
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for batch in batches:
             values = [features(t.as_py(), lexicon, known) for t in batch.column("text")]
-            at = batch.schema.get_field_index("text")
-            kept = [i for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(values, pa.list_(pa.float64()))], [*(batch.schema.names[i] for i in kept), "values"])
+            names = batch.schema.names
+            kept = [i for i, name in enumerate(names) if name != dropped]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(values, pa.list_(pa.float64()))], [*(names[i] for i in kept), "values"])
 
     return featured
 
 
-def with_features(rows: DataFrame, lexicon: dict[str, float]) -> DataFrame:
-    """``rows`` with its text replaced by ``values``."""
+def with_features(rows: DataFrame, lexicon: dict[str, float], keep_text: bool = False) -> DataFrame:
+    """``rows`` with ``values`` behind its columns, or in place of its text."""
     from pyspark.sql import types as T
 
-    return rows.mapInArrow(_featurer(lexicon), rows.drop("text").schema.add("values", T.ArrayType(T.DoubleType())))
+    kept = [f for f in rows.schema if keep_text or f.name != "text"]
+    return rows.mapInArrow(_featurer(lexicon, None if keep_text else "text"), T.StructType([*kept, T.StructField("values", T.ArrayType(T.DoubleType()))]))
 
 
 class Model:
@@ -183,13 +185,18 @@ class Model:
     def __init__(self, lexicon: dict[str, float], trees=None, calibration=None, constant: float = 0.0):
         self.lexicon, self.trees, self.calibration, self.constant = lexicon, trees, calibration, constant
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """``docs`` without text, with ``score``."""
+    def score(self, docs: DataFrame, keep_text: bool = False) -> DataFrame:
+        """``docs`` with ``score``, and without text unless ``keep_text``.  Columns must not bear Spark ML's names.
+
+        The isotonic map has steps, on which all rows would score alike; a small share of the trees' own
+        probability keeps their order.
+        """
+        names = [c for c in docs.columns if keep_text or c != "text"]
         if self.trees is None:
-            return docs.drop("text").withColumn("score", F.lit(self.constant))
-        raw = _raw(self.trees, with_features(docs, self.lexicon).withColumn("vector", array_to_vector("values")))
-        scored = self.calibration.transform(raw)
-        return scored.select(*[c for c in docs.columns if c != "text"], F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0)).alias("score"))
+            return docs.select(*names).withColumn("score", F.lit(self.constant))
+        raw = _raw(self.trees, with_features(docs, self.lexicon, keep_text).withColumn("vector", array_to_vector("values")))
+        step = F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0))
+        return self.calibration.transform(raw).select(*names, ((1 - RAW_SHARE) * step + RAW_SHARE * F.col("raw")).alias("score"))
 
 
 def _raw(trees, rows: DataFrame) -> DataFrame:
@@ -248,12 +255,11 @@ def _train_in_folds(rows: DataFrame, fewest: int, seed: int) -> Model:
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without documents that score ``threshold`` or more."""
-    mark = free_name(docs, "mark")
-    keyed = docs.select("text", F.xxhash64("doc_id", "text").alias(mark))
-    drop = train(docs, labels).score(keyed).where(F.col("score") >= threshold).select(mark).distinct()
-    drop = materialize(drop, "toxic-drop")
-    return docs.withColumn(mark, F.xxhash64("doc_id", "text")).join(drop, mark, "left_anti").drop(mark)
+    """``docs`` without documents that score ``threshold`` or more: one pass, in which each row is judged where it is read."""
+    # Renamed by place, so that no extra column meets a name that the model uses.
+    inner = [c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)]
+    scored = train(docs, labels).score(docs.toDF(*inner), keep_text=True).where(F.col("score") < threshold)
+    return scored.select(*inner).toDF(*docs.columns)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

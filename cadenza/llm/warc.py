@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import materialize, shared_dir, table
+from cadenza.llm.common import marks, materialize, run_dir, sieve, split, table
 
 MIN_REVISIT = 1000
 FRAME_BYTES = 1 << 20
@@ -53,11 +53,13 @@ def _filesystem(folder: str):
 def decide(records: DataFrame) -> DataFrame:
     """(id, digest, refers_to) of the records that are revisits; records have id, url and payload.
 
-    Only keys are shuffled, and maxima are taken in the reading tasks first.
+    Only keys are shuffled, and maxima are taken in the reading tasks first.  A payload of very many records is
+    one key of the join; its rows are an id and a digest each, and adaptive execution cuts such a partition.
     """
-    keyed = records.select("id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("size")).where(F.col("size") >= MIN_REVISIT)
-    groups = keyed.groupBy("digest", "size").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return keyed.join(groups, ["digest", "size"]).where("id < refers_to").select("id", "digest", "refers_to").distinct()
+    keyed = records.select("id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("size")).where(F.col("size") >= MIN_REVISIT).drop("size")
+    groups = keyed.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    groups = materialize(groups, "repeated-payloads")
+    return sieve(keyed, groups, "digest").join(groups, "digest").where("id < refers_to").select("id", "digest", "refers_to").distinct()
 
 
 def encode_record(record_id: str, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
@@ -93,13 +95,16 @@ def decode_records(frame: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
 
 
 class _Bundle:
-    """Collects frames and their seek table."""
+    """Writes frames as they come, to a hidden file; a bundle that is finished gets its content's hash as name."""
 
-    def __init__(self, level: int):
+    def __init__(self, folder: str, level: int):
         import zstandard
 
         self.compress = zstandard.ZstdCompressor(level=level, write_checksum=True).compress
-        self.frames: list[bytes] = []
+        self.fs, self.root = _filesystem(folder)
+        self.part = f"{self.root}/.{uuid.uuid4().hex}.writing"
+        self.out = self.fs.open_output_stream(self.part)
+        self.sha = hashlib.sha1()
         self.sizes: list[tuple[int, int]] = []
         self.index: list[tuple[int, int, str, int]] = []  # frame, start of the frame, record, its offset
         self.written = 0
@@ -107,10 +112,11 @@ class _Bundle:
     def add_frame(self, records: list[tuple[str, bytes]]) -> None:
         start, plain = 0, b"".join(r for _, r in records)
         for record_id, record in records:
-            self.index.append((len(self.frames), self.written, record_id, start))
+            self.index.append((len(self.sizes), self.written, record_id, start))
             start += len(record)
         packed = self.compress(plain)
-        self.frames.append(packed)
+        self.out.write(packed)
+        self.sha.update(packed)
         self.sizes.append((len(packed), len(plain)))
         self.written += len(packed)
 
@@ -118,53 +124,54 @@ class _Bundle:
         entries = b"".join(struct.pack("<II", *s) for s in self.sizes) + _FOOTER.pack(len(self.sizes), 0, _SEEKABLE)
         return struct.pack("<II", _SKIPPABLE, len(entries)) + entries
 
-    def save(self, folder: str) -> pd.DataFrame:
-        fs, root = _filesystem(folder)
-        sha = hashlib.sha1()
-        for frame in self.frames:
-            sha.update(frame)
-        name = f"{sha.hexdigest()}.warc.zst"
-        part = f"{root}/.{name}.{uuid.uuid4().hex}"
-        with fs.open_output_stream(part) as out:
-            for frame in self.frames:
-                out.write(frame)
-            out.write(self.seek_table())
-        fs.move(part, f"{root}/{name}")
+    def save(self) -> pd.DataFrame:
+        self.out.write(self.seek_table())
+        self.out.close()
+        name = f"{self.sha.hexdigest()}.warc.zst"
+        self.fs.move(self.part, f"{self.root}/{name}")
         packed = [self.sizes[f][0] for f, *_ in self.index]
         return pd.DataFrame([(name, f, at, size, r, start) for (f, at, r, start), size in zip(self.index, packed, strict=True)], columns=[c.split()[0] for c in _INDEX.split(", ")])
 
 
 def _writer(folder: str, frame_bytes: int, bundle_bytes: int, level: int):
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bundle, frame, held = _Bundle(level), [], 0
+        bundle, frame, held = None, [], 0
         for rows in batches:
             for id_, url, payload, digest, refers_to in zip(rows["id"], rows["url"], rows["payload"], rows["digest"], rows["refers_to"], strict=True):
                 record = encode_record(id_ or "", url, payload.encode(), digest, refers_to)
                 frame.append((id_ or "", record))
                 held += len(record)
                 if held >= frame_bytes:
+                    bundle = bundle or _Bundle(folder, level)
                     bundle.add_frame(frame)
                     frame, held = [], 0
-                if bundle.written >= bundle_bytes:
-                    yield bundle.save(folder)
-                    bundle = _Bundle(level)
+                    if bundle.written >= bundle_bytes:
+                        yield bundle.save()
+                        bundle = None
         if frame:
+            bundle = bundle or _Bundle(folder, level)
             bundle.add_frame(frame)
-        if bundle.frames:
-            yield bundle.save(folder)
+        if bundle:
+            yield bundle.save()
 
     return write
 
 
 def write_bundles(records: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, level: int = LEVEL) -> DataFrame:
-    """Write ``records`` (id, url, payload) as bundles below ``folder`` and return the index table."""
+    """Write ``records`` (id, url, payload) as bundles below ``folder`` and return the index table.
+
+    Payloads stay in the task that reads them, unless their record may be a revisit.
+    """
     fs, root = _filesystem(folder)
     fs.create_dir(root, recursive=True)
     records = records.select("id", "url", F.coalesce("payload", F.lit("")).alias("payload"))
-    revisits = materialize(decide(records), "revisits").withColumnRenamed("id", "r_id").withColumnRenamed("digest", "r_digest")
-    with_digest = records.withColumn("digest", F.sha1("payload"))
-    joined = with_digest.join(revisits, (F.col("id") == F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left")
-    rows = joined.select(F.col("id").cast("string").alias("id"), "url", "payload", "digest", F.col("refers_to").cast("string").alias("refers_to"))
+    revisits = materialize(decide(records), "revisits")
+    k1, _ = marks("id", "digest")
+    revisits = revisits.select(k1.alias("mark"), F.col("id").alias("r_id"), F.col("digest").alias("r_digest"), F.col("refers_to").cast("string").alias("refers_to"))
+    maybe, rest = split(records.withColumn("digest", F.sha1("payload")).withColumn("mark", k1), revisits, "mark")
+    found = maybe.join(revisits.drop("mark"), (F.col("id") == F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left")
+    both = rest.withColumn("refers_to", F.lit(None).cast("string")).unionByName(found.drop("r_id", "r_digest"))
+    rows = both.select(F.col("id").cast("string").alias("id"), "url", "payload", "digest", "refers_to")
     return materialize(rows.mapInPandas(_writer(folder, frame_bytes, bundle_bytes, level), _INDEX), "warc-index")
 
 
@@ -241,7 +248,7 @@ def lookup(index: DataFrame, ids: DataFrame, folder: str) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = f"{run_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_bundles(pages.select(F.col("page_id").alias("id"), "url", F.col("html").alias("payload")), folder)
     back = read_bundles(spark, folder)
     return back.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
