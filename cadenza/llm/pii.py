@@ -1,28 +1,41 @@
 """PII: weak supervision.
 
-Regex, gazetteer and context labelers vote on candidate spans (yes, no or nothing).  Expectation
-maximisation on the counts of vote patterns over the whole corpus estimates each labeler's reliability
-and every pattern's probability of being personal data; a logistic span classifier is trained on these
-probabilities and decides which candidates are added.  Base spans, those of the strict patterns, always
-stay.
+Spans that may be personal data are those of the strict base patterns, what is left of a base run that fails
+as a whole (a telephone number with an address behind it, two card numbers in a row), and what a person would
+read as such data in another spelling.  Six labelers (a pattern, a check, words around, a gazetteer, the
+boundary and the form) vote on each: yes, no or nothing.
 
-One pass over the texts finds base spans, candidates and votes; texts are not read again or shuffled.
-What reaches the driver is one count per vote and shape pattern, of which there are at most
-``4 * 3 ** 6 * 12``.
+Expectation maximisation on the counts of vote patterns over the whole corpus estimates each labeler's
+reliability and every pattern's probability of being personal data.  With these probabilities as soft labels
+a logistic regression is trained on what the labelers do not see: the span's shape, the characters at its
+edges and the words near it, hashed to ``DIM`` features.  It decides which spans are added (``ACCEPT``).  Base
+spans always stay.
+
+One pass over the texts finds spans, votes and features; texts are not read again or shuffled.  What reaches
+the driver is one count per vote and length pattern, of which there are at most ``4 * 3 ** 6 * 12``, and the
+classifier's weights.  The classifier is fitted on at most about ``MAX_TRAIN`` spans, drawn by a hash for each
+kind and, apart, for base and other spans, with weights that restore their shares.
+
+Limits of the spellings beyond the base: local parts up to 64 characters, domains of up to five labels.
 
 Edge cases: null and empty texts have no spans; repeated rows are reported once per row and counted once
-per row; very long runs without a match cost linear time; extra columns are ignored; with no candidates
-nothing is added.
+per row; very long runs without a match cost linear time; extra columns are ignored; with no spans but base
+ones nothing is added.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +45,8 @@ from cadenza.llm.common import materialize, table
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("regex", "validity", "context", "gazetteer", "boundary", "pattern")
 ACCEPT = 0.9
+DIM = 2048
+MAX_TRAIN = 20_000
 _WINDOW = 40
 
 # Base patterns, as (from anywhere, from just behind a match).  A run that fails from its start fails
@@ -45,13 +60,18 @@ _BASE = {
 }
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 
-# Candidates: what a person would read as such data although the strict pattern doesn't.
+# Spellings that a person would read as such data although the strict pattern doesn't.
+_SIGN, _DOT = r"(?: ?(?:\(at\)|\[at\]|\{at\}|＠) ?| @ )", r" ?(?:\.|\(dot\)|\[dot\]|\{dot\}) ?"
+_LABEL = r"[A-Za-z0-9-]{1,63}"
 _WIDE = {
-    "email": re.compile(r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63} ?(?:\(at\)|\[at\]|\{at\}| at |＠|@) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}| dot ) ?[A-Za-z0-9-]{1,63}){1,4}(?![\w-])", re.IGNORECASE),
+    "email": re.compile(rf"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{{0,63}}(?:{_SIGN}{_LABEL}(?:{_DOT}{_LABEL}){{1,4}}| at {_LABEL}(?: dot {_LABEL}){{1,4}})(?![\w-])", re.IGNORECASE),
     "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)| \. )[0-9]{1,3}){3}(?![0-9.])"),
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[ ./_-]{1,2}[0-9]{4}){2}[ ./_-]{1,2}[0-9]{1,7}(?![0-9])"),
     "phone": re.compile(r"(?<![\w+.-])(?:00[0-9]{1,3}[ .-]?|\(0?[0-9]{2,4}\) ?|0)[0-9](?:[ ./()-]{0,2}[0-9]){6,13}(?![\w-])"),
 }
+#: What may stand inside a base run that fails as a whole.
+_CARD_INSIDE = re.compile(r"(?<![0-9])(?:[0-9]{12,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])")
+_GROUP_END = re.compile(r"[0-9](?=[^0-9]|$)")
 _MAY = {"email": re.compile(r"[@＠]|[\[({ ]at[\])} ]", re.IGNORECASE), "ip": re.compile(r"[0-9](?:\[\.\]|\(\.\)| \. )[0-9]"), "card": re.compile(r"[0-9]{4}[ ./_-]{1,2}[0-9]{4}"), "phone": re.compile(r"\(0?[0-9]{2,4}\)|(?<![0-9])0[0-9]")}
 
 #: Words that speak for a kind, words that speak against any, and gazetteers.
@@ -92,34 +112,53 @@ def valid(kind: str, text: str) -> bool:
     return 12 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 
 
-def base_spans(kind: str, text: str) -> list[tuple[int, int]]:
-    """Leftmost non-overlapping matches of a base pattern, without those that fail its check."""
+def base_runs(kind: str, text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(spans, failed): leftmost non-overlapping matches of a base pattern that pass its check, and the others."""
     if kind in _NEEDS and _NEEDS[kind] not in text:
-        return []
+        return [], []
     anywhere, behind = _BASE[kind]
-    out, at = [], 0
+    spans, failed, at = [], [], 0
     while found := (behind.match(text, at) if at else None) or anywhere.search(text, at):
         at = found.end()
-        if valid(kind, found[0]):
-            out.append(found.span())
-    return out
+        (spans if valid(kind, found[0]) else failed).append(found.span())
+    return spans, failed
+
+
+def _inside(kind: str, text: str, start: int, end: int, others: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans inside a failed run; ``others`` are base spans of other kinds."""
+    if kind == "card":
+        return [m.span() for m in _CARD_INSIDE.finditer(text, start, end) if valid(kind, m[0]) and not any(s < m.end() and m.start() < e for s, e in others)]
+    if kind == "phone":
+        # A number ends where something else begins, or else with the last group that it can hold.
+        upto = min([s for s, _ in others if start < s < end], default=end)
+        ends = [m.end() for m in _GROUP_END.finditer(text, start, min(upto, start + 40))]
+        fits = [e for e in ends if 9 <= len(_digits(text[start:e])) <= 15]
+        return [(start, fits[-1])] if fits else []
+    return []
+
 
+def _strict(kind: str, span: str) -> bool:
+    """Whether a span, standing alone, is one of the base pattern."""
+    found = _BASE[kind][0].fullmatch(span)
+    return bool(found) and valid(kind, span)
 
-def _votes(kind: str, text: str, start: int, end: int, strict: bool) -> list[int]:
+
+def _votes(kind: str, text: str, start: int, end: int) -> list[int]:
     """One vote per labeler: 0 nothing, 1 yes, 2 no."""
     span, before, after = text[start:end], text[max(0, start - _WINDOW) : start], text[end : end + 12]
     digits = _digits(span)
     if kind == "email":
-        fits = "@" in span or "＠" in span or bool(re.search(r"[\[({]", span))
+        fits = bool(re.search(r"[@＠\[({]| dot ", span))
     elif kind == "phone":
         fits = 9 <= len(digits) <= 15
     else:
         fits = valid(kind, digits if kind == "card" else span)
     known = {"email": _DOMAINS.search(span), "ip": not span.startswith(("0.", "255.")), "card": _ISSUERS.match(digits), "phone": _CALLING.match(digits)}[kind]
     inside = before[-1:].isalnum() or after[:1].isalnum() or before[-1:] in ("_", "#", "=", "/") or after[:1] in ("_", "=", "/")
-    dull = len(set(digits)) <= 2 and kind != "email" or digits in "01234567890123456789"
+    # Few digits in many places, a plain sequence, or bare digits for a telephone number look like something else.
+    dull = len(set(digits)) <= 2 or digits in "01234567890123456789" or (kind == "phone" and span.isdigit())
     return [
-        1 if strict else 0,
+        1 if _strict(kind, span) else 0,
         1 if fits else 2,
         1 if _FOR[kind].search(before) else 2 if _AGAINST.search(before) else 0,
         1 if known else 2,
@@ -145,20 +184,44 @@ def _decode(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rest, votes, shape
 
 
+def _shape(span: str) -> str:
+    """Digits as 9, letters as a, runs of letters as one."""
+    return re.sub("a+", "a", re.sub("[^\\W\\d_]", "a", re.sub("[0-9]", "9", span)))[:32]
+
+
+def _edge(c: str) -> str:
+    return "none" if not c else "letter" if c.isalpha() else "digit" if c.isdigit() else "blank" if c.isspace() else c
+
+
+def _features(kind: str, text: str, start: int, end: int) -> list[int]:
+    """What the labelers do not look at, as hashed places below ``DIM``."""
+    span, plain = text[start:end], lambda w: re.sub("[0-9]", "9", w.strip(".,;:!?()[]{}\"'").lower())[:16]
+    before, after = text[max(0, start - 60) : start].split()[-3:], text[end : end + 60].split()[:3]
+    said = [f"shape {_shape(span)}", f"left {_edge(text[start - 1 : start])}", f"right {_edge(text[end : end + 1])}", f"length {min(8, len(span) // 4)}"]
+    said += [f"digits {10 * len(_digits(span)) // len(span)}", f"kinds {len(set(_digits(span)))}", f"signs {''.join(sorted(set(c for c in span if not c.isalnum())))}"]
+    said += [f"near {plain(w)}" for w in before + after] + [f"before {plain(w)}" for w in before[-1:]] + [f"after {plain(w)}" for w in after[:1]]
+    return sorted({zlib.crc32(f"{kind} {x}".encode("utf-8", "surrogatepass")) % DIM for x in ["any", *said]})
+
+
 def candidates(text: str) -> list[tuple[str, int, int, int]]:
-    """(kind, start, end, code) of base spans and candidates, by start and kind; odd codes are base."""
+    """(kind, start, end, code) of base spans and others, by start and kind; odd codes are base."""
+    runs = {kind: base_runs(kind, text) for kind in KINDS}
     out = []
-    for kind in KINDS:
-        base = base_spans(kind, text)
-        out += [(kind, s, e, _code(kind, _votes(kind, text, s, e, True), e - s, True)) for s, e in base]
+    for kind, (base, failed) in runs.items():
+        out += [(kind, s, e, _code(kind, _votes(kind, text, s, e), e - s, True)) for s, e in base]
+        more = []
+        if failed:
+            others = [x for k in KINDS if k != kind for x in runs[k][0]]
+            for s, e in failed:
+                more += _inside(kind, text, s, e, [x for x in others if x[0] < e and s < x[1]])
         if _MAY[kind].search(text):
-            at = 0
-            for m in _WIDE[kind].finditer(text):
-                s, e = m.span()
-                while at < len(base) and base[at][1] <= s:
-                    at += 1
-                if not (at < len(base) and base[at][0] < e):
-                    out.append((kind, s, e, _code(kind, _votes(kind, text, s, e, False), e - s, False)))
+            more += [m.span() for m in _WIDE[kind].finditer(text)]
+        taken = sorted(base)
+        for s, e in more:
+            at = bisect.bisect_left(taken, (s, s))
+            if not (at < len(taken) and taken[at][0] < e or at and taken[at - 1][1] > s):
+                taken.insert(at, (s, e))
+                out.append((kind, s, e, _code(kind, _votes(kind, text, s, e), e - s, False)))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
@@ -166,12 +229,13 @@ def joined(spans: list[tuple]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e, *_ in spans)
 
 
+_SPAN = T.StructType().add("name", "string").add("code", "integer").add("x", T.ArrayType(T.IntegerType()))
 _FOUND = T.StructType().add("n_email", "long").add("n_ip", "long").add("n_card", "long").add("n_phone", "long").add("base_sha256", "string")
-_FOUND = _FOUND.add("found", T.ArrayType(T.StructType().add("name", "string").add("code", "integer")))
+_FOUND = _FOUND.add("found", T.ArrayType(_SPAN))
 
 
 def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    item = pa.list_(pa.struct([("name", pa.string()), ("code", pa.int32())]))
+    item = pa.list_(pa.struct([("name", pa.string()), ("code", pa.int32()), ("x", pa.list_(pa.int32()))]))
     for batch in batches:
         counts, hashes, found = [[] for _ in KINDS], [], []
         for text in batch.column("text"):
@@ -181,7 +245,7 @@ def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for kind, n in zip(KINDS, counts, strict=True):
                 n.append(sum(s[0] == kind for s in base))
             hashes.append(hashlib.sha256(joined(base).encode()).hexdigest())
-            found.append([{"name": joined([s]), "code": s[3]} for s in spans])
+            found.append([{"name": joined([s]), "code": s[3], "x": _features(s[0], text, s[1], s[2])} for s in spans])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(n, pa.int64()) for n in counts), pa.array(hashes), pa.array(found, item)], ["doc_id", *_FOUND.names])
 
 
@@ -208,43 +272,49 @@ def estimate(kind: np.ndarray, votes: np.ndarray, n: np.ndarray, rounds: int = 6
     return p, reliability
 
 
-def _design(kind: np.ndarray, votes: np.ndarray, shape: np.ndarray) -> np.ndarray:
-    parts = [np.ones((len(kind), 1)), np.eye(len(KINDS))[kind], np.eye(6)[shape]]
-    parts += [np.stack([votes[:, i] == 1, votes[:, i] == 2], 1).astype(float) for i in range(votes.shape[1])]
-    return np.concatenate(parts, 1)
-
-
-def train_classifier(x: np.ndarray, p: np.ndarray, n: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Logistic regression on soft labels by Newton's method."""
-    w, weight = np.zeros(x.shape[1]), np.minimum(n, 1e6).astype(float)
-    for _ in range(rounds):
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (weight * (p - q)) - ridge * w
-        step = np.linalg.solve((x * (weight * q * (1 - q))[:, None]).T @ x + ridge * np.eye(x.shape[1]), gradient)
-        w += np.clip(step, -5, 5)
-    return w
-
-
-def accepted_codes(counts: list[tuple[int, int]], accept: float = ACCEPT) -> list[int]:
-    """The codes whose spans the classifier takes for personal data."""
-    if not counts:
-        return []
+def probabilities(counts: list[tuple[int, int]]) -> dict[int, float]:
+    """Each code's probability of being personal data, from how often each was seen."""
     codes, n = (np.array(x, np.int64) for x in zip(*counts, strict=True))
-    kind, votes, shape = _decode(codes)
+    kind, votes, _ = _decode(codes)
     p, _ = estimate(kind, votes, n)
-    x = _design(kind, votes, shape)
-    q = 1 / (1 + np.exp(-np.clip(x @ train_classifier(x, p, n), -30, 30)))
-    return sorted(codes[(q >= accept) & (codes % 2 == 0)].tolist())
-
-
-def find(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
+    return dict(zip(codes.tolist(), p.tolist(), strict=True))
+
+
+def train_classifier(spans: DataFrame, counts: list[tuple[int, int]], max_train: int = MAX_TRAIN, ridge: float = 1e-3) -> tuple[float, list[float]]:
+    """(intercept, weights): logistic regression on soft labels of spans (code, x, pick), pick a hash from 0 to 999,999."""
+    steps = 1_000_000
+    group = lambda code: 2 * (code // (12 * 3 ** len(LABELERS))) + code % 2
+    sizes: dict[int, int] = {}
+    for code, n in counts:
+        sizes[group(code)] = sizes.get(group(code), 0) + n
+    share = {g: max(1, min(steps, steps * max_train // (len(sizes) * n))) for g, n in sizes.items()}
+    facts = [(code, float(p), int(share[group(code)])) for code, p in probabilities(counts).items()]
+    told = spans.sparkSession.createDataFrame(facts, "f_code int, p double, share int")
+    drawn = spans.join(F.broadcast(told), F.col("code") == F.col("f_code")).where(F.col("pick") < F.col("share"))
+    weight = F.lit(float(steps)) / F.col("share")
+    both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), (weight * F.col("p")).alias("weight")), F.struct(F.lit(0.0).alias("label"), (weight * (1 - F.col("p"))).alias("weight"))))
+    rows = drawn.select(F.col("x").cast("array<string>").alias("x"), both.alias("t")).select("x", "t.label", "t.weight")
+    vectors = CountVectorizerModel.from_vocabulary([str(i) for i in range(DIM)], inputCol="x", outputCol="features")
+    # The sample is bounded, so a few partitions hold it.
+    fitted = LogisticRegression(weightCol="weight", regParam=ridge, maxIter=40).fit(vectors.transform(materialize(rows.coalesce(4), "pii-train")))
+    return float(fitted.intercept), fitted.coefficients.toArray().tolist()
+
+
+def find(docs: DataFrame, accept: float = ACCEPT, max_train: int = MAX_TRAIN) -> DataFrame:
     """Per document row: doc_id, counts of base spans, base_sha256 and spans (base and added)."""
     rows = docs.select("doc_id", "text")
     found = materialize(rows.mapInArrow(_finder, T.StructType([rows.schema["doc_id"], *_FOUND])), "pii-found")
-    # One row per vote and shape pattern: bounded, whatever the corpus.
-    counts = found.select(F.explode("found.code").alias("code")).groupBy("code").agg(F.count("*").alias("n")).orderBy("code").collect()
-    added = F.array(*map(F.lit, accepted_codes([(r["code"], r["n"]) for r in counts], accept))).cast("array<int>")
-    kept = F.filter("found", lambda s: (s["code"] % 2 == 1) | F.array_contains(added, s["code"]))
+    spans = found.select("doc_id", F.explode("found").alias("s")).select("s.code", "s.x", F.pmod(F.xxhash64("doc_id", "s.name"), F.lit(1_000_000)).alias("pick"))
+    # One row per vote and length pattern: bounded, whatever the corpus.
+    counts = [(r["code"], r["n"]) for r in spans.groupBy("code").agg(F.count("*").alias("n")).orderBy("code").collect()]
+    is_base = lambda s: s["code"] % 2 == 1
+    if any(code % 2 == 0 for code, _ in counts):
+        intercept, weights = train_classifier(spans, counts, max_train)
+        learnt = F.array(*map(F.lit, weights))
+        score = lambda s: F.aggregate(s["x"], F.lit(intercept), lambda acc, i: acc + F.get(learnt, i))
+        kept = F.filter("found", lambda s: is_base(s) | (score(s) >= math.log(accept / (1 - accept))))
+    else:
+        kept = F.filter("found", is_base)
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.array_join(F.transform(kept, lambda s: s["name"]), ",").alias("spans"))
 
 
