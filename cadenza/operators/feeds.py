@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.operators.ordered import numbered
+
 
 def positions(rows: DataFrame, *order: Column | str, by: str | None = None) -> DataFrame:
-    """Positions from 0 in the given order, within ``by``."""
-    window = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
-    return rows.withColumn("position", F.row_number().over(window.orderBy(*order)) - 1)
+    """Positions from 0 in the given order, within ``by`` (feeds are one user's or one query's) or over all rows."""
+    if by is None:
+        return numbered(rows, *order, name="position")
+    return rows.withColumn("position", (F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1).cast("long"))
 
 
 def interleave(feeds: DataFrame) -> DataFrame:
     """One row of each living feed per turn: the order is (position, feed), and every row read has an index."""
-    return feeds.withColumn("index", F.row_number().over(Window.orderBy("position", "feed")))
+    return numbered(feeds, "position", "feed", first=1)
 
 
 def unlistened(rows: DataFrame, only: bool = True) -> DataFrame:
@@ -39,15 +42,15 @@ def island_turns(candidates: DataFrame, rank: DataFrame, skip: DataFrame) -> Dat
     fresh = candidates.join(skip.select("mbid").distinct(), "mbid", "left_anti")
     place = F.row_number().over(Window.partitionBy("island").orderBy("position"))
     turns = fresh.withColumn("turn", place).join(rank, "island")
-    return turns.withColumn("index", F.row_number().over(Window.orderBy("turn", "rank")))
+    return numbered(turns, "turn", "rank", first=1)
 
 
 def by_popularity(rows: DataFrame) -> DataFrame:
-    return positions(rows.where("listen > 0"), F.desc("listen"), "mbid")
+    return positions(rows.where("heard > 0"), F.desc("heard"), "mbid")
 
 
 def by_newest(rows: DataFrame) -> DataFrame:
-    return positions(rows, F.desc_nulls_last("released"), F.desc("listen"), "mbid")
+    return positions(rows, F.desc_nulls_last("released"), F.desc("heard"), "mbid")
 
 
 def weeks(playlists: DataFrame, k: int = 2) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from cadenza import schema as S
 from cadenza.functions import attraction as A
 from cadenza.functions import values as V
+from cadenza.operators.ordered import numbered
+from cadenza.sources.sinks import staged
 
 #: A declaration is written by hand; communities are found among at most so many recordings.
 MAX_DECLARED = 20_000
@@ -122,6 +124,9 @@ def communities(similarity: DataFrame, nodes: DataFrame, threshold: float = S.SI
 
     Louvain moves one node after another, so the graph of one declaration (at most ``MAX_DECLARED``
     recordings, which is checked) is one group in one task; several declarations would be several groups.
+    What goes there are numbers: edges at or above the threshold and, for absorbing, the ``least`` most similar
+    peers of each node.  A community that is dissolved has fewer than ``least`` members, so if a member has any
+    peer outside it, the best of them is among these.
     """
     import pandas as pd
 
@@ -129,23 +134,30 @@ def communities(similarity: DataFrame, nodes: DataFrame, threshold: float = S.SI
         raise ValueError("granularity must be positive")
     if (n := nodes.count()) > MAX_DECLARED:
         raise ValueError(f"{n} declared recordings, {MAX_DECLARED} at most")
+    named = staged(numbered(nodes.select("mbid").distinct(), "mbid", name="node"), "nodes")
+    of = lambda c: named.select(F.col("mbid").alias(c), F.col("node").alias(f"n_{c}"))
+    pairs = staged(similarity.join(of("a"), "a").join(of("b"), "b").select(F.col("n_a").alias("a"), F.col("n_b").alias("b"), F.col("cosine").alias("weight")), "pairs")
+    linked = pairs.where(F.col("weight") >= threshold).withColumn("kind", F.lit("edge"))
+    rows = named.select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(0.0).alias("weight"), F.lit("node").alias("kind")).unionByName(linked)
+    if least > 1:
+        both = pairs.where("weight > 0").unionByName(pairs.where("weight > 0").select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+        rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("weight"), "b"))
+        rows = rows.unionByName(both.withColumn("rank", rank).where(F.col("rank") <= least).select("a", "b", "weight", F.lit("peer").alias("kind")))
 
     def find(rows: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(rows.loc[rows["b"].isna(), "a"])
-        place = {name: i for i, name in enumerate(names)}
-        pairs = rows.dropna(subset=["b"]).sort_values(["a", "b"])
-        every = [(place[a], place[b], w) for a, b, w in zip(pairs["a"], pairs["b"], pairs["weight"], strict=True)]
-        label = _louvain(len(names), [e for e in every if e[2] >= threshold], granularity)
+        of_kind = lambda kind: rows[rows["kind"] == kind].sort_values(["a", "b"])
+        size, edge, peers = int((rows["kind"] == "node").sum()), of_kind("edge"), of_kind("peer")
+        label = _louvain(size, [(int(a), int(b), w) for a, b, w in zip(edge["a"], edge["b"], edge["weight"], strict=True)], granularity)
         if least > 1:
-            alike: list[dict[int, float]] = [{} for _ in names]
-            for a, b, w in every:
-                alike[a][b] = alike[b][a] = w
+            alike: list[dict[int, float]] = [{} for _ in range(size)]
+            for a, b, w in zip(peers["a"], peers["b"], peers["weight"], strict=True):
+                alike[int(a)][int(b)] = w
             label = _absorb_small(label, alike, least)
         order = {c: i for i, c in enumerate(dict.fromkeys(label))}
-        return pd.DataFrame({"mbid": names, "island": [order[c] for c in label]})
+        return pd.DataFrame({"node": range(size), "island": [order[c] for c in label]})
 
-    rows = similarity.select("a", "b", F.col("cosine").alias("weight")).unionByName(nodes.select(F.col("mbid").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(0.0).alias("weight")))
-    return rows.groupBy(F.lit("declaration")).applyInPandas(find, "mbid string, island long")
+    found = rows.groupBy(F.lit("declaration")).applyInPandas(find, "node long, island long")
+    return found.join(named, "node").select("mbid", "island")
 
 
 def affinity(heard: DataFrame, island: DataFrame) -> DataFrame:
@@ -175,12 +187,12 @@ def known_artists(declared: DataFrame, recording: DataFrame, bridge: DataFrame,
 def votes(plays: DataFrame, stat: DataFrame, members: DataFrame) -> DataFrame:
     """(recording_id, island, cohort_weight, attraction, breadth): what each cohort member's plays say.
 
-    Cohorts hold at most ``COHORT_SIZE`` users per island, so they and their statistics are broadcast: the
-    fact table is read once, and only what its cohort members have is left to aggregate.
+    Cohorts hold at most ``COHORT_SIZE`` users per island; where they are as small as that mostly makes them, Spark
+    broadcasts them, and the fact table is read once without a shuffle.
     """
     usual = stat.agg(F.median("recording").alias("usual"))
     of = members.withColumnRenamed("weight", "cohort_weight").join(stat, "user_id").crossJoin(F.broadcast(usual))
-    voted = plays.join(F.broadcast(of), "user_id")
+    voted = plays.join(of, "user_id")
     drawn = A.weight(F.col("plays"), F.col("center"), F.col("low"), F.col("high"))
     return voted.select("recording_id", "island", "cohort_weight", drawn.alias("attraction"), V.breadth(F.col("recording"), F.col("usual")).alias("breadth"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cadenza import schema as S
 from cadenza.functions import values as V
+from cadenza.operators.ordered import numbered
 
 
 def count_plays(listens: DataFrame, plays: str | None = None) -> DataFrame:
@@ -28,19 +29,9 @@ def merge_plays(*parts: DataFrame) -> DataFrame:
     return together.groupBy("user_id", "recording_id").agg(V.saturated(F.sum("plays").cast("long")).alias("plays"))
 
 
-def surrogate_keys(keys: DataFrame, column: str = "mbid", first: int = 0, prefix: int = 3) -> DataFrame:
-    """(recording_id, column): dense numbers from ``first`` in the order of distinct keys.
-
-    A global row_number would sort everything in one task.  Keys are grouped by their first characters
-    instead (UUIDs: 16 ** prefix even groups); the groups' counts, at most that many rows, give each group
-    its offset, and only rows of one group are numbered together.
-    """
-    distinct = keys.select(column).distinct().withColumn("lead", F.substring(column, 1, prefix))
-    before = F.sum("n").over(Window.orderBy("lead").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = distinct.groupBy("lead").agg(F.count("*").alias("n")).select("lead", F.coalesce(before, F.lit(0)).alias("offset"))
-    inside = F.row_number().over(Window.partitionBy("lead").orderBy(column))
-    numbered = distinct.withColumn("inside", inside).join(offsets, "lead")
-    return numbered.select((F.col("offset") + F.col("inside") - 1 + first).cast("long").alias("recording_id"), column)
+def surrogate_keys(keys: DataFrame, column: str = "mbid", first: int = 0) -> DataFrame:
+    """(recording_id, column): dense numbers from ``first`` in the order of distinct keys, whatever keys look like."""
+    return numbered(keys.select(column).distinct(), column, name="recording_id", first=first).select("recording_id", column)
 
 
 def extend_keys(held: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -82,7 +73,7 @@ def pool(library: DataFrame, own: DataFrame) -> DataFrame:
     return repeated.join(F.broadcast(own.select("own")), F.col("user_id") == F.col("own"), "left_anti").select("user_id")
 
 
-def user_listen(library: DataFrame, recording: DataFrame, members: DataFrame) -> DataFrame:
+def user_plays(library: DataFrame, recording: DataFrame, members: DataFrame) -> DataFrame:
     """The fact table (user_id, recording_id, plays) of the pool's users."""
     return library.join(members.select("user_id"), "user_id", "left_semi").join(recording, "mbid").select("user_id", "recording_id", "plays")
 
@@ -93,11 +84,11 @@ def occurrence(plays: DataFrame) -> DataFrame:
 
 
 def running_listens(histogram: DataFrame) -> DataFrame:
-    """(user_id, x, reached, recording, listen): running plays by log plays, and the user's totals."""
+    """(user_id, x, reached, recording, heard): running plays by log plays, and the user's totals."""
     user = Window.partitionBy("user_id")
     upto = user.orderBy("plays").rowsBetween(Window.unboundedPreceding, 0)
     mass = F.col("plays").cast("long") * F.col("recording")
-    return histogram.select("user_id", F.log(F.greatest("plays", F.lit(1))).alias("x"), F.sum(mass).over(upto).alias("reached"), F.sum("recording").over(user).alias("recording"), F.sum(mass).over(user).alias("listen"))
+    return histogram.select("user_id", F.log(F.greatest("plays", F.lit(1))).alias("x"), F.sum(mass).over(upto).alias("reached"), F.sum("recording").over(user).alias("recording"), F.sum(mass).over(user).alias("heard"))
 
 
 def user_stat(plays: DataFrame) -> DataFrame:
@@ -105,7 +96,7 @@ def user_stat(plays: DataFrame) -> DataFrame:
 
     The least x whose running plays reach the share; interpolating percentiles would give other values.
     """
-    reaches = lambda p: F.min(F.when(F.col("reached") >= p * F.col("listen"), F.col("x")))
+    reaches = lambda p: F.min(F.when(F.col("reached") >= p * F.col("heard"), F.col("x")))
     return running_listens(occurrence(plays)).groupBy("user_id").agg(reaches(S.CENTER).alias("center"), reaches(S.LOW).alias("low"), reaches(S.HIGH).alias("high"), F.max("recording").alias("recording"))
 
 

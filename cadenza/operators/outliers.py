@@ -1,7 +1,7 @@
 """Declared rating against observed listening, and the fuzzy match of listens to declared songs.
 
 The match ladder is a chain of equi-joins on normalised titles with a check of artists; what one step has
-taken is anti-joined before the next.  No step compares every listen with every song.
+taken is anti-joined before the next.  No step compares every heard with every song.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cadenza import schema as S
 from cadenza.functions import text as X
 from cadenza.functions import values as V
+from cadenza.operators.ordered import numbered
 from cadenza.sources.sinks import staged
 
 EXACT, STRIPPED = 2, 1
@@ -52,10 +53,10 @@ def assign(declared: DataFrame, listened: DataFrame) -> DataFrame:
 
 
 def observations(declared: DataFrame, counts: DataFrame, age: DataFrame) -> DataFrame:
-    """(mbid, q, listen, days, rate): declared entries with their listens and age, 0 where unknown."""
-    row = declared.select("mbid", "q").join(counts.select("mbid", "listen"), "mbid", "left").join(age.select("mbid", "days"), "mbid", "left")
-    row = row.withColumns({"listen": F.coalesce("listen", F.lit(0)), "days": F.coalesce("days", F.lit(0))})
-    return row.withColumn("rate", V.rate(F.col("listen"), F.col("days")))
+    """(mbid, q, heard, days, rate): declared entries with their listens and age, 0 where unknown."""
+    row = declared.select("mbid", "q").join(counts.select("mbid", "heard"), "mbid", "left").join(age.select("mbid", "days"), "mbid", "left")
+    row = row.withColumns({"heard": F.coalesce("heard", F.lit(0)), "days": F.coalesce("days", F.lit(0))})
+    return row.withColumn("rate", V.rate(F.col("heard"), F.col("days")))
 
 
 def old_enough(observed: DataFrame, days: int = S.MIN_AGE_DAYS) -> DataFrame:
@@ -73,25 +74,28 @@ def nearest_q(observed: DataFrame, median: DataFrame) -> DataFrame:
     """
     candidates = old_enough(observed).crossJoin(F.broadcast(median.select(F.col("q").alias("m_q"), "median")))
     near = F.min_by("m_q", F.struct(F.abs(F.col("rate") - F.col("median")), F.col("m_q")))
-    return candidates.groupBy("mbid", "q", "listen", "days", "rate").agg(near.alias("observed"))
+    return candidates.groupBy("mbid", "q", "heard", "days", "rate").agg(near.alias("observed"))
 
 
 def outliers(observed: DataFrame) -> DataFrame:
-    rated = nearest_q(observed, median_per_q(observed))
-    return rated.where("observed <> q").orderBy(F.desc(F.abs(F.col("q") - F.col("observed"))), F.desc("rate"), "mbid")
+    return nearest_q(observed, median_per_q(observed)).where("observed <> q")
+
+
+def ranked_outliers(observed: DataFrame) -> DataFrame:
+    """Outliers with ``rank`` from 1: the furthest from their declared q first, then by rate."""
+    return numbered(outliers(observed), F.desc(F.abs(F.col("q") - F.col("observed"))), F.desc("rate"), "mbid", name="rank", first=1)
 
 
 def undeclared(listened: DataFrame, assigned: DataFrame) -> DataFrame:
-    return listened.join(assigned.select("mbid").distinct(), "mbid", "left_anti").orderBy(F.desc("listen"), "mbid")
+    return listened.join(assigned.select("mbid").distinct(), "mbid", "left_anti")
 
 
-def first_added(log: DataFrame) -> DataFrame:
-    """(mbid, at): when each entry was first added, from diff lines (commit, at, line, sign, mbid, rest).
+def _lines(log: DataFrame) -> DataFrame:
+    """Diff lines (commit, at, line, sign, mbid, rest) with ``turn``: which removed line of its commit and rest a line
+    is, or, for an added line, which one it takes the place of; null if none is left.
 
-    Lines count in the order of commit and line, at equal lines removed ones first.  An added line takes the
-    place of the earliest removed line above it in its commit that has the same rest and is not taken yet.  If an
-    id's first addition does so, it inherits the date of the removed id, if that was added before; later
-    additions change nothing.  So links lead back in the log, never in a circle, and are followed to their start.
+    Lines count in the order of commit and line, at equal lines removed ones first.  An added line takes the earliest
+    removed line above it that has the same rest and is not taken yet.
     """
     upto = Window.partitionBy("commit", "rest").orderBy("line", F.desc("sign"), "mbid").rowsBetween(Window.unboundedPreceding, 0)
     removals, additions = F.count_if(F.col("sign") == "-").over(upto), F.count_if(F.col("sign") == "+").over(upto)
@@ -99,7 +103,16 @@ def first_added(log: DataFrame) -> DataFrame:
     # ``bare`` counts the additions so far that found no removed line left.
     lines = counted.withColumn("bare", F.greatest(F.max(F.col("additions") - F.col("removals")).over(upto), F.lit(0)))
     before = F.coalesce(F.lag("bare").over(Window.partitionBy("commit", "rest").orderBy("line", F.desc("sign"), "mbid")), F.lit(0))
-    lines = lines.withColumn("turn", F.when(F.col("sign") == "-", F.col("removals")).when(F.col("bare") == before, F.col("additions") - F.col("bare")))
+    return lines.withColumn("turn", F.when(F.col("sign") == "-", F.col("removals")).when(F.col("bare") == before, F.col("additions") - F.col("bare")))
+
+
+def first_added(log: DataFrame) -> DataFrame:
+    """(mbid, at): when each entry was first added, from diff lines (commit, at, line, sign, mbid, rest).
+
+    If an id's first addition takes the place of a removed id that was added before, it inherits that one's date;
+    later additions change nothing.  So links lead back in the log, never in a circle, and are followed to their start.
+    """
+    lines = _lines(log)
     place = F.struct("commit", "line", "mbid").alias("place")
     first = lines.where("sign = '+'").select("mbid", place, "at", "commit", "rest", "turn").groupBy("mbid").agg(F.min_by(F.struct("place", "at", "commit", "rest", "turn"), "place").alias("f")).select("mbid", "f.*")
     first = staged(first, "first-added")
@@ -117,7 +130,7 @@ def first_added(log: DataFrame) -> DataFrame:
 
 
 def replacement_pairs(log: DataFrame) -> DataFrame:
-    turn = F.row_number().over(Window.partitionBy("commit", "sign", "rest").orderBy("line", "mbid"))
-    lines = log.withColumn("turn", turn)
+    """(commit, mbid, inherited): added lines and the removed ones that they take the place of, if the ids differ."""
+    lines = _lines(log)
     pairs = lines.where("sign = '-'").alias("r").join(lines.where("sign = '+'").alias("a"), ["commit", "rest", "turn"]).where("r.mbid <> a.mbid")
     return pairs.select("commit", F.col("a.mbid").alias("mbid"), F.col("r.mbid").alias("inherited"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza import schema as S
 from cadenza.functions import values as V
+from cadenza.sources.sinks import staged
 
 
 def tiers(declared: DataFrame) -> DataFrame:
@@ -65,12 +66,19 @@ def first_success(tries: DataFrame) -> DataFrame:
     return tries.where("ok").groupBy("mbid").agg(F.min_by("url", F.struct("priority", "url")).alias("url"))
 
 
-def chase(start: DataFrame, redirect: DataFrame, hops: int = 8) -> DataFrame:
-    """(id, live): follow (id, target) until there is no target, a cycle closes, or ``hops`` are made."""
-    at = start.select("id", F.col("id").alias("live"), F.array("id").alias("seen"))
+def chase(start: DataFrame, redirect: DataFrame) -> DataFrame:
+    """(id, live): follow (id, target) until there is no target or a cycle closes, however long the chain.
+
+    Each round starts from a table and carries on only what still moves.
+    """
+    moving = start.select("id", F.col("id").alias("live"), F.array("id").alias("seen"))
+    arrived = start.select("id", F.col("id").alias("live")).limit(0)
     steps = redirect.select(F.col("id").alias("live"), "target")
-    for _ in range(hops):
-        moved = at.join(steps, "live", "left")
-        on = F.col("target").isNotNull() & ~F.array_contains("seen", F.col("target"))
-        at = moved.select("id", F.when(on, F.col("target")).otherwise(F.col("live")).alias("live"), F.when(on, F.concat("seen", F.array("target"))).otherwise(F.col("seen")).alias("seen"))
-    return at.select("id", "live")
+    while True:
+        stepped = moving.join(steps, "live", "left")
+        on = F.coalesce(F.col("target").isNotNull() & ~F.array_contains("seen", F.col("target")), F.lit(False))
+        stepped = staged(stepped.withColumn("on", on), "chase")
+        arrived = arrived.unionByName(stepped.where("NOT on").select("id", "live"))
+        moving = stepped.where("on").select("id", F.col("target").alias("live"), F.concat("seen", F.array("target")).alias("seen"))
+        if moving.isEmpty():
+            return arrived

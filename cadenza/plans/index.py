@@ -2,21 +2,29 @@
 
 A version of the index is a folder of complete tables.  Stages are skipped if their table is complete, and
 a version's folder is named by what it was made from, so a changed input never meets stale stages.  Readers
-follow the pointer in meta.json, which is written last.
+follow the index's newest pointer, which is written last.
+
+Plays and user statistics lie in buckets of users.  A fold writes only the buckets that its dumps touch; the
+pointer says in which version's folder each bucket is.  Folders that neither the newest pointer nor the one
+before it names are deleted.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza import schema as S
 from cadenza.functions import values as V
 from cadenza.operators import library as L
+from cadenza.operators.ordered import running_max
 from cadenza.sources import sinks
 
-PARTS = ("recording", "recording_artist", "user_listen", "user_stat", "recording_listener", "artist_link")
+BUCKETED = ("user_plays", "user_stat")
+PARTS = ("recording", "recording_artist", "user_plays", "user_stat", "recording_listener", "artist_link")
 
 
 def stamp(*facts: object) -> str:
@@ -34,33 +42,48 @@ def build(spark: SparkSession, listens: DataFrame, declared: DataFrame, links: D
     own_row = spark.createDataFrame([(own["own"],)], "own long")
     recording = sinks.step(lambda: L.surrogate_keys(library), spark, f"{version}/recording")
     members = sinks.step(lambda: L.pool(library, own_row), spark, f"{version}/pool")
-    if not sinks.done(spark, f"{version}/user_listen"):
-        sinks.write_buckets(L.user_listen(library, recording, members), f"{version}/user_listen")
+    if not sinks.done(spark, f"{version}/user_plays"):
+        sinks.write_buckets(L.user_plays(library, recording, members), f"{version}/user_plays")
     sinks.step(lambda: L.artist_bridge(listens, recording), spark, f"{version}/recording_artist")
     sinks.step(lambda: L.symmetric_links(links), spark, f"{version}/artist_link")
     derive(spark, version)
-    return _publish(spark, index, version, {"dump": dump, "own": own["own"], "reached": None, "gap": [], "absorbed": 0})
+    buckets = {part: {b: f"{version}/{part}" for b in sinks.buckets(spark, f"{version}/{part}")} for part in BUCKETED}
+    return _publish(spark, index, version, {"dump": dump, "own": own["own"], "reached": None, "gap": [], "absorbed": 0, "buckets": buckets, "held": []})
 
 
 def derive(spark: SparkSession, version: str) -> None:
     """The parts that follow from the fact table; also what an older version lacks."""
-    plays = spark.read.parquet(f"{version}/user_listen").drop("bucket")
-    sinks.step(lambda: L.user_stat(plays), spark, f"{version}/user_stat")
+    plays = spark.read.parquet(f"{version}/user_plays").drop("bucket")
+    if not sinks.done(spark, f"{version}/user_stat"):
+        sinks.write_buckets(L.user_stat(plays), f"{version}/user_stat")
     sinks.step(lambda: L.recording_listener(plays), spark, f"{version}/recording_listener")
 
 
+def _part(spark: SparkSession, meta: dict, part: str, only: Sequence[str] | None = None) -> DataFrame:
+    """A part of the published version; of a bucketed one all buckets, or those of ``only``."""
+    if part not in BUCKETED:
+        return spark.read.parquet(f"{meta['version']}/{part}")
+    found = [f"{folder}/bucket={b}" for b, folder in sorted(meta["buckets"][part].items()) if only is None or b in only]
+    schema = S.USER_PLAYS if part == "user_plays" else S.USER_STAT
+    return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
+
+
 def _publish(spark: SparkSession, index: str, version: str, meta: dict) -> dict:
-    counts = {p: spark.read.parquet(f"{version}/{p}").count() for p in ("recording", "user_listen", "user_stat")}
-    meta = meta | counts
-    sinks.publish(spark, index, version, meta)
-    return meta | {"version": version}
+    held = sorted({*meta["held"], version})
+    meta = meta | {"version": version, "held": held}
+    meta |= {p: _part(spark, meta, p).count() for p in ("recording", "user_plays", "user_stat")}
+    before = sinks.meta(spark, index)
+    named = {folder for m in (meta, before) if m for folder in (m["version"], *(f.rpartition("/")[0] for part in m["buckets"].values() for f in part.values()))}
+    sinks.publish(spark, index, version, meta | {"held": sorted(named & {*held, version})})
+    sinks.delete(spark, *(folder for folder in held if folder not in named))
+    return meta
 
 
 def completeness(spark: SparkSession, version: str) -> str:
     have = {p for p in PARTS if sinks.done(spark, f"{version}/{p}")}
     if set(PARTS) <= have:
         return "built"
-    if {"recording", "recording_artist", "user_listen"} <= have:
+    if {"recording", "recording_artist", "user_plays"} <= have:
         return "predates_stat" if "user_stat" not in have else "predates_listener" if "recording_listener" not in have else "indexed"
     return "scanned" if have else "absent"
 
@@ -70,7 +93,7 @@ def open_index(spark: SparkSession, index: str) -> dict[str, DataFrame]:
     meta = sinks.meta(spark, index)
     if meta is None:
         raise FileNotFoundError(index)
-    parts = {p: spark.read.parquet(f"{meta['version']}/{p}") for p in PARTS}
+    parts = {p: _part(spark, meta, p) for p in PARTS}
     for name, part in parts.items():
         part.createOrReplaceTempView(name)
     return parts
@@ -83,9 +106,8 @@ def fold_plan(dumps: DataFrame, covered: int) -> DataFrame:
     it reaches further.  One that starts later leaves a gap and is folded.  What is covered before a dump is
     the largest end above it, since every dump that reaches further moves it.
     """
-    order = Window.orderBy("end", "start", "name")
-    before = F.greatest(F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(covered)), F.lit(covered))
-    rows = dumps.withColumn("covered", before)
+    rows = running_max(dumps, F.col("end"), "end", "start", "name", name="reached", own=False)
+    rows = rows.withColumn("covered", F.greatest(F.coalesce("reached", F.lit(covered)), F.lit(covered)))
     folded = F.col("start") >= F.col("covered")
     gap_to = F.when(folded & (F.col("start") > F.col("covered")), F.col("start")).when(~folded & (F.col("end") > F.col("covered")), F.col("end"))
     return rows.select("name", "start", "end", "covered", folded.alias("folded"), F.when(gap_to.isNotNull(), F.col("covered")).alias("gap_from"), gap_to.alias("gap_to"))
@@ -93,26 +115,51 @@ def fold_plan(dumps: DataFrame, covered: int) -> DataFrame:
 
 def absorb(spark: SparkSession, delta: DataFrame, index: str, name: str, start: int, end: int) -> dict:
     """Fold one dated dump into a new version of the index, exactly once."""
+    dated = delta.withColumns({"start": F.lit(start).cast("long"), "end": F.lit(end).cast("long")})
+    return absorb_all(spark, dated, index, [(name, start, end)])
+
+
+def absorb_all(spark: SparkSession, delta: DataFrame, index: str, dumps: Sequence[tuple[str, int, int]]) -> dict:
+    """Fold dated dumps (name, start, end), whose rows bear start and end, in one pass, each exactly once.
+
+    Counts are sums that saturate, so folding together gives what folding one after another does.
+    """
     meta = sinks.meta(spark, index)
     old = open_index(spark, index)
     covered = meta["reached"] or int(meta["dump"])
-    row = fold_plan(spark.createDataFrame([(name, start, end)], "name string, start long, end long"), covered).first()
-    gaps = meta["gap"] + ([[row["gap_from"], row["gap_to"]]] if row["gap_to"] else [])
-    if not row["folded"]:
-        meta |= {"gap": gaps, "reached": max(covered, end)}
+    told = fold_plan(spark.createDataFrame(list(dumps), "name string, start long, end long"), covered).orderBy("end", "start", "name").collect()  # one row a dump
+    meta |= {"gap": meta["gap"] + [[r["gap_from"], r["gap_to"]] for r in told if r["gap_to"]], "reached": max([covered, *(r["end"] for r in told)])}
+    folded = [r for r in told if r["folded"]]
+    if not folded:
         sinks.publish(spark, index, meta["version"], meta)
         return meta
-    version = f"{index}/{stamp(meta['version'], name, end)}"
-    plays = L.count_plays(delta)
+    version = f"{index}/{stamp(meta['version'], *((r['name'], r['end']) for r in folded))}"
+    windows = F.broadcast(spark.createDataFrame([(r["start"], r["end"]) for r in folded], "start long, end long").distinct())
+    rows = delta.join(windows, ["start", "end"], "left_semi").drop("start", "end")
+    plays = sinks.staged(L.count_plays(rows), "delta")
     # Ids that were given never move, so a retried fold must find the same table of ids.
     recording = sinks.step(lambda: L.extend_keys(old["recording"], plays.select("mbid").distinct()), spark, f"{version}/recording")
-    frozen = L.user_listen(plays, recording, old["user_stat"])  # the pool admits nobody new
-    if not sinks.done(spark, f"{version}/user_listen"):
-        sinks.write_buckets(L.merge_plays(old["user_listen"].drop("bucket"), frozen), f"{version}/user_listen")
-    sinks.step(lambda: old["recording_artist"].unionByName(L.artist_bridge(delta, recording)).distinct(), spark, f"{version}/recording_artist")
+    frozen = sinks.staged(L.user_plays(plays, recording, old["user_stat"]), "frozen")  # the pool admits nobody new
+    touched = [str(r["bucket"]) for r in frozen.select(V.bucket(F.col("user_id")).alias("bucket")).distinct().collect()]  # at most as many as there are buckets
+    was = _part(spark, meta, "user_plays", touched)
+    buckets = {part: dict(of) for part, of in meta["buckets"].items()}
+    if touched:
+        if not sinks.done(spark, f"{version}/user_plays"):
+            sinks.write_buckets(L.merge_plays(was, frozen), f"{version}/user_plays")
+        now = spark.read.parquet(f"{version}/user_plays").drop("bucket")
+        if not sinks.done(spark, f"{version}/user_stat"):
+            sinks.write_buckets(L.user_stat(now), f"{version}/user_stat")
+        for part in BUCKETED:
+            buckets[part] |= {b: f"{version}/{part}" for b in touched}
+        # Listeners are sums over users: what the touched buckets said goes, what they say now comes.
+        less = L.recording_listener(was).select("recording_id", (-F.col("listener")).alias("listener"), (-F.col("plays")).alias("plays"))
+        sums = old["recording_listener"].unionByName(less).unionByName(L.recording_listener(now)).groupBy("recording_id").agg(F.sum("listener").alias("listener"), F.sum("plays").alias("plays"))
+        sinks.step(lambda: sums.where("listener > 0"), spark, f"{version}/recording_listener")
+    else:
+        sinks.step(lambda: old["recording_listener"], spark, f"{version}/recording_listener")
+    sinks.step(lambda: old["recording_artist"].unionByName(L.artist_bridge(rows, recording)).distinct(), spark, f"{version}/recording_artist")
     sinks.step(lambda: old["artist_link"], spark, f"{version}/artist_link")
-    derive(spark, version)
-    return _publish(spark, index, version, {"dump": meta["dump"], "own": meta["own"], "reached": end, "gap": gaps, "absorbed": meta["absorbed"] + 1})
+    return _publish(spark, index, version, meta | {"absorbed": meta["absorbed"] + len(folded), "buckets": buckets})
 
 
 def pending(dumps: DataFrame, covered: int) -> DataFrame:

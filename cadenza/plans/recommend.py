@@ -10,7 +10,7 @@ from cadenza.operators import islands as I
 
 def candidates(parts: dict[str, DataFrame], declared: DataFrame, members: DataFrame, damp: float = S.POPULARITY_DAMP, least: int = S.MIN_BACKERS, k: int = S.PER_ISLAND) -> DataFrame:
     """(island, position, mbid, score, backer, listener, plays) for given cohorts (island, user_id, weight)."""
-    vote = I.votes(parts["user_listen"], parts["user_stat"], members)
+    vote = I.votes(parts["user_plays"], parts["user_stat"], members)
     known = I.known_artists(declared, parts["recording"], parts["recording_artist"], parts["artist_link"])
     fit = I.eligible(I.backing(vote), parts["recording"], parts["recording_listener"], declared, parts["recording_artist"], known, least)
     return I.ranked(I.best_of_artist(I.per_artist(I.scored(fit, damp), parts["recording_artist"])), k)
@@ -18,7 +18,7 @@ def candidates(parts: dict[str, DataFrame], declared: DataFrame, members: DataFr
 
 def recommend(parts: dict[str, DataFrame], declared: DataFrame, threshold: float = S.SIMILARITY, granularity: float = S.GRANULARITY, community: int = S.MIN_COMMUNITY, damp: float = S.POPULARITY_DAMP) -> DataFrame:
     """Everything: audiences, communities, cohorts and their candidates."""
-    heard = I.audience(parts["user_listen"], parts["user_stat"], parts["recording"], declared)
+    heard = I.audience(parts["user_plays"], parts["user_stat"], parts["recording"], declared)
     supported = heard.select("mbid").distinct()
     island = I.communities(I.cosine(heard), supported, threshold, granularity, community)
     return candidates(parts, declared, I.cohort(I.affinity(heard, island)), damp)
@@ -26,8 +26,8 @@ def recommend(parts: dict[str, DataFrame], declared: DataFrame, threshold: float
 
 #: What each source may feed: (source, feed, needs the index).
 ROUTES = [
-    ("all", "island", True), ("all", "collaborative_filtering", False), ("all", "listen_count", False), ("all", "weekly_exploration", False),
-    ("island", "island", True), ("collaborative_filtering", "collaborative_filtering", False), ("listen_count", "listen_count", False), ("weekly_exploration", "weekly_exploration", False),
+    ("all", "island", True), ("all", "collaborative_filtering", False), ("all", "play_count", False), ("all", "weekly_exploration", False),
+    ("island", "island", True), ("collaborative_filtering", "collaborative_filtering", False), ("play_count", "play_count", False), ("weekly_exploration", "weekly_exploration", False),
 ]
 
 

@@ -64,16 +64,16 @@ query("join_inner_mbid_text", "SELECT recording_id, count(*) AS n, CAST(sum(len(
     lambda i: i.listens.join(i.recording, F.col("mbid") == F.col("recording_mbid")).groupBy("recording_id").agg(F.count("*").alias("n"), F.sum(F.size("artist_credit_mbids")).alias("credits"))
 )
 query("join_inner_mbid", "SELECT user_id, recording_id, plays FROM library JOIN recording USING (mbid)")(lambda i: i.library.join(i.recording, "mbid").select("user_id", "recording_id", "plays"))
-query("join_using_stat", "SELECT user_id, recording_id, plays, round(center, 6) AS center, round(low, 6) AS low, round(high, 6) AS high, recording FROM user_listen JOIN user_stat USING (user_id)")(
-    lambda i: i.user_listen.join(i.user_stat, "user_id").select("user_id", "recording_id", "plays", r("center"), r("low"), r("high"), "recording")
+query("join_using_stat", "SELECT user_id, recording_id, plays, round(center, 6) AS center, round(low, 6) AS low, round(high, 6) AS high, recording FROM user_plays JOIN user_stat USING (user_id)")(
+    lambda i: i.user_plays.join(i.user_stat, "user_id").select("user_id", "recording_id", "plays", r("center"), r("low"), r("high"), "recording")
 )
-query("join_cohort", "SELECT user_id, recording_id, plays, island FROM user_listen JOIN cohort USING (user_id)")(lambda i: i.user_listen.join(F.broadcast(i.cohort), "user_id").select("user_id", "recording_id", "plays", "island"))
+query("join_cohort", "SELECT user_id, recording_id, plays, island FROM user_plays JOIN cohort USING (user_id)")(lambda i: i.user_plays.join(F.broadcast(i.cohort), "user_id").select("user_id", "recording_id", "plays", "island"))
 query("join_multi_dim", "SELECT b.recording_id, island, round(weight, 6) AS weight, mbid, listener, l.plays FROM backing b JOIN recording USING (recording_id) JOIN recording_listener l USING (recording_id)")(
     lambda i: i.backing.join(i.recording, "recording_id").join(i.recording_listener, "recording_id").select("recording_id", "island", r("weight"), "mbid", "listener", "plays")
 )
 query("join_artist_fanout", "SELECT island, mbid, artist_mbid FROM scored JOIN recording_artist USING (recording_id)")(lambda i: i.scored.join(i.recording_artist, "recording_id").select("island", "mbid", "artist_mbid"))
-query("join_whole", "SELECT user_id, round(x, 6) AS x, CAST(reached AS BIGINT) AS reached, CAST(recording AS BIGINT) AS recording, CAST(listen AS BIGINT) AS listen FROM running")(
-    lambda i: L.running_listens(L.occurrence(i.user_listen)).select("user_id", r("x"), "reached", "recording", "listen")
+query("join_whole", "SELECT user_id, round(x, 6) AS x, CAST(reached AS BIGINT) AS reached, CAST(recording AS BIGINT) AS recording, CAST(heard AS BIGINT) AS heard FROM running")(
+    lambda i: L.running_listens(L.occurrence(i.user_plays)).select("user_id", r("x"), "reached", "recording", "heard")
 )
 _ARTIST = "artist AS (SELECT CAST(p_partkey AS VARCHAR) AS id, 'gid-' || p_partkey AS gid FROM part), link AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS entity0, CAST(l_suppkey AS VARCHAR) AS entity1 FROM lineitem)"
 query("join_role_twice", f"WITH {_ARTIST}, edge AS (SELECT a.gid AS x, b.gid AS y FROM link JOIN artist a ON entity0 = a.id JOIN artist b ON entity1 = b.id) SELECT x AS artist_mbid, y AS related_mbid FROM edge UNION SELECT y, x FROM edge", inputs=False)(
@@ -124,9 +124,9 @@ query("agg_distinct_key", "SELECT DISTINCT mbid FROM library")(lambda i: i.libra
 query("agg_distinct_pairs", "SELECT recording_id, artist_mbid FROM recording_artist")(lambda i: i.recording_artist)
 query("agg_having_count", "SELECT user_id FROM pool")(lambda i: i.pool)
 query("agg_listener", "SELECT recording_id, listener, plays FROM recording_listener")(lambda i: i.recording_listener)
-query("agg_occurrence", "SELECT user_id, plays, recording FROM occurrence")(lambda i: L.occurrence(i.user_listen))
-query("agg_user_total", "SELECT user_id, CAST(sum(recording) AS BIGINT) AS recording, CAST(sum(plays * recording) AS BIGINT) AS listen FROM occurrence GROUP BY 1")(
-    lambda i: L.occurrence(i.user_listen).groupBy("user_id").agg(F.sum("recording").alias("recording"), F.sum(F.col("plays") * F.col("recording")).alias("listen"))
+query("agg_occurrence", "SELECT user_id, plays, recording FROM occurrence")(lambda i: L.occurrence(i.user_plays))
+query("agg_user_total", "SELECT user_id, CAST(sum(recording) AS BIGINT) AS recording, CAST(sum(plays * recording) AS BIGINT) AS heard FROM occurrence GROUP BY 1")(
+    lambda i: L.occurrence(i.user_plays).groupBy("user_id").agg(F.sum("recording").alias("recording"), F.sum(F.col("plays") * F.col("recording")).alias("heard"))
 )
 query("agg_weighted_quantile", "SELECT user_id, round(center, 6) AS center, round(low, 6) AS low, round(high, 6) AS high, recording FROM user_stat")(lambda i: i.user_stat.select("user_id", r("center"), r("low"), r("high"), "recording"))
 query("agg_median", "SELECT median(recording) AS usual FROM user_stat")(lambda i: i.user_stat.agg(F.median("recording").alias("usual")))
@@ -153,7 +153,7 @@ query("win_surrogate_key", "SELECT recording_id, mbid FROM recording")(lambda i:
 query("win_surrogate_key_extend", ", held AS (SELECT row_number() OVER (ORDER BY mbid) - 1 AS recording_id, mbid FROM (SELECT DISTINCT mbid FROM library WHERE user_id % 50 = 0)) SELECT recording_id, mbid FROM held UNION ALL SELECT (SELECT coalesce(max(recording_id), 0) FROM held) + row_number() OVER (ORDER BY mbid), mbid FROM (SELECT DISTINCT mbid FROM library) ANTI JOIN held USING (mbid)")(
     lambda i: L.extend_keys(L.surrogate_keys(i.library.where("user_id % 50 = 0")), i.library.select("mbid").distinct())
 )
-query("win_running_sum", "SELECT user_id, round(x, 6) AS x, CAST(reached AS BIGINT) AS reached FROM running")(lambda i: L.running_listens(L.occurrence(i.user_listen)).select("user_id", r("x"), "reached"))
+query("win_running_sum", "SELECT user_id, round(x, 6) AS x, CAST(reached AS BIGINT) AS reached FROM running")(lambda i: L.running_listens(L.occurrence(i.user_plays)).select("user_id", r("x"), "reached"))
 query("win_rank_per_artist", "SELECT island, mbid, artist_mbid, CAST(rank AS INTEGER) AS rank FROM per_artist")(lambda i: i.per_artist.select("island", "mbid", "artist_mbid", "rank"))
 query("win_rank_per_island", "SELECT island, mbid, CAST(row_number() OVER (PARTITION BY island ORDER BY score DESC, mbid) AS INTEGER) AS position FROM best")(
     lambda i: i.best.select("island", "mbid", F.row_number().over(Window.partitionBy("island").orderBy(F.desc("score"), "mbid")).alias("position"))
@@ -181,12 +181,12 @@ query("set_requested", f"SELECT DISTINCT mbid FROM (SELECT min(mbid) AS mbid FRO
 )
 query("filter_pin", f"{_LIFT} SELECT island, name FROM named WHERE name LIKE '%e%'")(lambda i: I.pinned(I.names(I.token_lift(i.island, i.genre), i.island), "E"))
 
-# The attraction model, by listen.
-_DRAWN = "(SELECT user_id, recording_id, plays, center, low, high FROM user_listen JOIN user_stat USING (user_id))"
+# The attraction model, by heard.
+_DRAWN = "(SELECT user_id, recording_id, plays, center, low, high FROM user_plays JOIN user_stat USING (user_id))"
 
 
 def _drawn(i: Inputs):
-    return i.user_listen.join(i.user_stat, "user_id"), [F.col(c) for c in ("center", "low", "high")]
+    return i.user_plays.join(i.user_stat, "user_id"), [F.col(c) for c in ("center", "low", "high")]
 
 
 def _attraction(name, column, sql_column):
@@ -208,7 +208,7 @@ def _(i):
 
 
 # Scalars of the score.
-query("fn_ln_greatest", "SELECT user_id, recording_id, round(ln(greatest(plays, 1)), 6) AS x FROM user_listen")(lambda i: i.user_listen.select("user_id", "recording_id", F.round(F.log(F.greatest("plays", F.lit(1))), 6).alias("x")))
+query("fn_ln_greatest", "SELECT user_id, recording_id, round(ln(greatest(plays, 1)), 6) AS x FROM user_plays")(lambda i: i.user_plays.select("user_id", "recording_id", F.round(F.log(F.greatest("plays", F.lit(1))), 6).alias("x")))
 query("fn_pow_damp", "SELECT island, mbid, round(score, 6) AS score FROM scored")(lambda i: i.scored.select("island", "mbid", r("score")))
 query("fn_sqrt_breadth", "SELECT user_id, round(sqrt(greatest(recording, 1) / (SELECT median(recording) FROM user_stat)), 6) AS breadth FROM user_stat")(
     lambda i: i.user_stat.crossJoin(F.broadcast(i.user_stat.agg(F.median("recording").alias("usual")))).select("user_id", F.round(V.breadth(F.col("recording"), F.col("usual")), 6).alias("breadth"))
@@ -232,11 +232,11 @@ query("graph_contract", f"{_COSINE} SELECT least(x.island, y.island) AS a, great
 query("graph_symmetric_closure", "SELECT artist_mbid, related_mbid FROM artist_link")(lambda i: i.artist_link)
 query("graph_one_hop", "SELECT artist_mbid FROM known")(lambda i: i.known)
 query("own_user_decision", "SELECT a.user_id AS own, CAST(floor(100 * a.n / (SELECT count(*) FROM declared)) AS BIGINT) AS coverage, coalesce(b.n, 0) AS runner_up FROM (SELECT * FROM top ORDER BY n DESC, user_id LIMIT 1) a LEFT JOIN (SELECT * FROM top ORDER BY n DESC, user_id LIMIT 1 OFFSET 1) b ON true")(lambda i: i.own)
-@query("index_build", "SELECT * FROM (SELECT 'library' AS part, count(*) AS n FROM library UNION ALL SELECT 'recording', count(*) FROM recording UNION ALL SELECT 'user_listen', count(*) FROM user_listen UNION ALL SELECT 'user_stat', count(*) FROM user_stat UNION ALL SELECT 'recording_listener', count(*) FROM recording_listener UNION ALL SELECT 'recording_artist', count(*) FROM recording_artist)")
+@query("index_build", "SELECT * FROM (SELECT 'library' AS part, count(*) AS n FROM library UNION ALL SELECT 'recording', count(*) FROM recording UNION ALL SELECT 'user_plays', count(*) FROM user_plays UNION ALL SELECT 'user_stat', count(*) FROM user_stat UNION ALL SELECT 'recording_listener', count(*) FROM recording_listener UNION ALL SELECT 'recording_artist', count(*) FROM recording_artist)")
 def _(i):
     """All parts of the index from the raw tables, whatever the session has already."""
     fresh = Inputs(i.spark, i.sf_dir)
-    counts = [getattr(fresh, p).agg(F.lit(p).alias("part"), F.count("*").alias("n")) for p in ("library", "recording", "user_listen", "user_stat", "recording_listener", "recording_artist")]
+    counts = [getattr(fresh, p).agg(F.lit(p).alias("part"), F.count("*").alias("n")) for p in ("library", "recording", "user_plays", "user_stat", "recording_listener", "recording_artist")]
     together = counts[0]
     for more in counts[1:]:
         together = together.unionByName(more)
@@ -249,5 +249,5 @@ query("recommend_all")(lambda i: _recommend(i))
 def _recommend(i: Inputs):
     from cadenza.plans.recommend import recommend
 
-    parts = {p: getattr(i, p) for p in ("user_listen", "user_stat", "recording", "recording_artist", "recording_listener", "artist_link")}
+    parts = {p: getattr(i, p) for p in ("user_plays", "user_stat", "recording", "recording_artist", "recording_listener", "artist_link")}
     return recommend(parts, i.declared, threshold=0.05, community=4).select("island", "position", "mbid", r("score"), "backer", "listener", "plays")

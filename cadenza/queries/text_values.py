@@ -72,8 +72,8 @@ query("fn_video_id", "SELECT p_partkey, CASE WHEN p_partkey % 6 = 2 THEN CAST(p_
 query("fn_canonical_href", """SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN url END AS href FROM pages""")(
     lambda i: i.table("pages").select("page_id", X.canonical_href(F.when(F.col("page_id") % 3 != 0, F.concat(F.substring("html", 1, 200), F.lit('<link rel="canonical" href="'), "url", F.lit('">'), "html")).otherwise(F.col("html"))).alias("href"))
 )
-query("argmin_priority", "SELECT b AS brand, CASE min(p) WHEN 0 THEN 'soundcloud' WHEN 1 THEN 'youtube_music' WHEN 2 THEN 'bandcamp' ELSE 'youtube' END AS source FROM (SELECT p_brand AS b, CASE p_partkey % 6 WHEN 0 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 1 THEN 3 END AS p FROM part WHERE p_partkey % 6 < 4 AND p_size > 20) GROUP BY 1")(
-    lambda i: i.table("part").where("p_size > 20").select("p_brand", X.classify_url(F.expr(_URLS)).alias("source")).where("source IS NOT NULL").groupBy(F.col("p_brand").alias("brand")).agg(F.min_by("source", X.source_priority(F.col("source"))).alias("source"))
+query("argmin_priority", "SELECT b AS brand, CASE min(p) WHEN 0 THEN 'soundcloud' WHEN 1 THEN 'youtube_music' WHEN 2 THEN 'bandcamp' ELSE 'youtube' END AS source FROM (SELECT p_brand AS b, CASE p_partkey % 6 WHEN 0 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 1 THEN 3 END AS p FROM part WHERE p_partkey % 6 < 4) GROUP BY 1")(
+    lambda i: i.table("part").select("p_brand", X.classify_url(F.expr(_URLS)).alias("source")).where("source IS NOT NULL").groupBy(F.col("p_brand").alias("brand")).agg(F.min_by("source", X.source_priority(F.col("source"))).alias("source"))
 )
 _RELATION = {"kind": _case(["'streaming'", "'free streaming'", "'purchase'"]), "ended": "CASE WHEN p_partkey % 4 = 0 THEN true WHEN p_partkey % 4 = 1 THEN false END", "url": "CASE WHEN p_partkey % 5 <> 0 THEN concat('https://x/', p_partkey) END"}
 query("filter_streaming_url", "SELECT p_partkey, 'https://x/' || p_partkey AS url FROM part WHERE p_partkey % 3 < 2 AND p_partkey % 4 <> 0 AND p_partkey % 5 <> 0")(

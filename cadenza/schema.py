@@ -30,12 +30,12 @@ def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
-LISTEN = _struct(user_id=_long, recording_mbid=_string, artist_credit_mbids=T.ArrayType(_string))
+LISTENED = _struct(user_id=_long, recording_mbid=_string, artist_credit_mbids=T.ArrayType(_string))
 LIBRARY = _struct(user_id=_long, mbid=_string, plays=T.IntegerType())
 DECLARATION = _struct(s=_string, q=T.IntegerType(), playlist=T.ArrayType(_string))
 RECORDING = _struct(recording_id=_long, mbid=_string)
 RECORDING_ARTIST = _struct(recording_id=_long, artist_mbid=_string)
-USER_LISTEN = _struct(user_id=_long, recording_id=_long, plays=T.IntegerType())
+USER_PLAYS = _struct(user_id=_long, recording_id=_long, plays=T.IntegerType())
 USER_STAT = _struct(user_id=_long, center=T.DoubleType(), low=T.DoubleType(), high=T.DoubleType(), recording=_long)
 RECORDING_LISTENER = _struct(recording_id=_long, listener=_long, plays=_long)
 ARTIST_LINK = _struct(artist_mbid=_string, related_mbid=_string)

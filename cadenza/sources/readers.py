@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza import schema as S
 from cadenza.functions import text as X
+from cadenza.sources.sinks import staged
 
 
 def shards(spark: SparkSession, folder: str, schema: T.StructType | None = None) -> DataFrame:
@@ -42,20 +45,117 @@ def tsv(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
     return spark.read.csv(path, sep="\t", quote="", escape="", nullValue="\\N", schema=schema)
 
 
+_TOKEN = re.compile(r'(?P<skip>\s+|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)|(?P<text>"(?:[^"\\]|\\.)*")|(?P<word>[A-Za-z_]\w*|[0-9]+)|(?P<sign>[()\[\],:])', re.DOTALL)
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "0": "\0"}
+
+
+def _tokens(text: str) -> Iterator[tuple[str, str, int]]:
+    """(kind, value, place) of a declaration's tokens; blanks and comments are left out, the end is a token too."""
+    at = 0
+    while at < len(text):
+        found = _TOKEN.match(text, at)
+        if not found:
+            raise DeclarationError("unexpected character", at)
+        if found.lastgroup != "skip":
+            value = found[0]
+            if found.lastgroup == "text":
+                value = re.sub(r"\\(.)", lambda m: _ESCAPES.get(m[1], m[1]), value[1:-1], flags=re.DOTALL)
+            yield found.lastgroup, value, at
+        at = found.end()
+    yield "end", "", at
+
+
+class DeclarationError(Exception):
+    def __init__(self, message: str, place: int):
+        super().__init__(message)
+        self.message, self.place = message, place
+
+
+def parse_declaration(text: str) -> list[tuple[str, int, list[str]]]:
+    """(s, q, playlist) of the entries of a declaration: a list of (s: "uuid", q: 0..4, playlist: ["a", "b"]), over as
+    many lines as one likes, fields in any order, with // and /* */ comments and commas behind last items."""
+    tokens = list(_tokens(text))
+    at = 0
+
+    def take(kind: str, value: str | None = None) -> str | None:
+        nonlocal at
+        if tokens[at][0] == kind and value in (None, tokens[at][1]):
+            at += 1
+            return tokens[at - 1][1]
+        return None
+
+    def need(kind: str, value: str | None = None) -> str:
+        found = take(kind, value)
+        if found is None:
+            raise DeclarationError(f"expected {value or kind}", tokens[at][2])
+        return found
+
+    def items(last: str, item) -> list:
+        out = []
+        while take("sign", last) is None:
+            out.append(item())
+            if take("sign", ",") is None:
+                need("sign", last)
+                break
+        return out
+
+    def texts() -> list[str]:
+        need("sign", "[")
+        return items("]", lambda: need("text"))
+
+    def field() -> tuple[str, object, int]:
+        place = tokens[at][2]
+        name = need("word")
+        need("sign", ":")
+        if name not in ("s", "q", "playlist"):
+            raise DeclarationError(f"unknown field {name}", place)
+        place = tokens[at][2]
+        return name, texts() if name == "playlist" else need("text" if name == "s" else "word"), place
+
+    def entry() -> tuple[str, int, list[str]]:
+        place = tokens[at][2]
+        need("sign", "(")
+        fields: dict = {}
+        for name, value, where in items(")", field):
+            if name in fields:
+                raise DeclarationError(f"duplicate field {name}", where)
+            if name == "s" and not re.fullmatch(X.UUID, value.lower()):
+                raise DeclarationError(f"no id: {value}", where)
+            fields[name] = value, where
+        for name in ("s", "q"):
+            if name not in fields:
+                raise DeclarationError(f"missing field {name}", place)
+        (s, _), (q, where) = fields["s"], fields["q"]
+        if not q.isdigit() or int(q) > 4:
+            raise DeclarationError(f"{s}: q {q} out of range 0..=4", where)
+        return s.lower(), int(q), fields.get("playlist", ([], 0))[0]
+
+    need("sign", "[")
+    out = items("]", entry)
+    need("end")
+    return out
+
+
+def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for files in batches:
+        for text in files["value"]:
+            try:
+                rows = [(*entry, None) for entry in parse_declaration(text)]
+            except DeclarationError as e:
+                line = text.count("\n", 0, e.place) + 1
+                rows = [(None, None, None, f"line {line}, column {e.place - text.rfind(chr(10), 0, e.place)}: {e.message}")]
+            yield pd.DataFrame(rows, columns=["s", "q", "playlist", "problem"]).astype({"q": "Int64"})
+
+
 def declaration(spark: SparkSession, path: str) -> DataFrame:
-    """A declaration file: one entry per line, (s: "uuid", q: n, playlist: ["a", "b"]); // begins a comment.
+    """The entries of a declaration file, which is written by hand and read whole.
 
-    Raises on a q outside 0 to 4 and on an id that is declared twice.
+    Raises on what is no declaration, with line and column, on a q outside 0 to 4 and on an id that is declared twice.
     """
-    lines = spark.read.text(path).select(F.regexp_replace("value", r"//.*$", "").alias("line"))
-    entry = lines.where(F.col("line").rlike(r'^\s*\(.*\bs:\s*"'))
-    field = lambda p: F.regexp_extract("line", p, 1)
-    rows = entry.select(
-        F.lower(field(r'\bs:\s*"([^"]*)"')).alias("s"),
-        F.expr("try_cast(regexp_extract(line, 'q:\\\\s*([0-9]+)', 1) AS INT)").alias("q"),
-        F.regexp_extract_all(field(r"playlist:\s*\[([^\]]*)\]"), F.lit('"([^"]*)"'), F.lit(1)).alias("playlist"),
-    )
-    return checked(rows)
+    rows = staged(spark.read.text(path, wholetext=True).mapInPandas(_parsed, "s string, q long, playlist array<string>, problem string"), "declaration")
+    if problem := rows.where("problem IS NOT NULL").select("problem").first():
+        raise ValueError(f"{path}: {problem['problem']}")
+    return checked(rows.select("s", F.col("q").cast("int").alias("q"), "playlist"))
 
 
 def checked(rows: DataFrame) -> DataFrame:
@@ -89,7 +189,7 @@ def json_cf(pages: DataFrame, body: str = "body") -> DataFrame:
 
 def json_popularity(pages: DataFrame, body: str = "body") -> DataFrame:
     rows = pages.select(F.explode(F.from_json(body, POPULARITY)).alias("r"))
-    return rows.select(X.to_uuid(F.col("r.recording_mbid")).alias("mbid"), F.coalesce("r.total_listen_count", F.lit(0)).alias("listen"), F.coalesce("r.total_user_count", F.lit(0)).alias("user"))
+    return rows.select(X.to_uuid(F.col("r.recording_mbid")).alias("mbid"), F.coalesce("r.total_listen_count", F.lit(0)).alias("heard"), F.coalesce("r.total_user_count", F.lit(0)).alias("user"))
 
 
 def json_playlists(pages: DataFrame, body: str = "body") -> DataFrame:
@@ -128,12 +228,12 @@ def rsync_listing(lines: DataFrame, value: str = "value") -> DataFrame:
 def git_log(lines: DataFrame, number: str = "number", value: str = "value") -> DataFrame:
     """(commit, at, line, sign, mbid, rest) from `git log -p` text: seconds on a line of their own, then a diff.
 
-    Each line's commit is the last one above it: a running maximum over one file's lines.
+    Each line's commit is the last one above it: a running maximum over ranges of lines.
     """
-    from pyspark.sql import Window
+    from cadenza.operators.ordered import running_max
 
     at = F.when(F.col(value).rlike(r"^[0-9]{9,11}$"), F.struct(F.col(number), F.col(value).cast("long").alias("at")))
-    marked = lines.withColumn("head", F.max(at).over(Window.orderBy(number)))
+    marked = running_max(lines, at, number, name="head")
     entry = rf'^([+-])\s*\(.*s:\s*"({X.UUID})"(.*)$'
     rows = marked.where(F.col(value).rlike(entry) & F.col("head").isNotNull())
     return rows.select(F.col(f"head.{number}").alias("commit"), "head.at", F.col(number).alias("line"), *[F.regexp_extract(value, entry, i).alias(n) for i, n in ((1, "sign"), (2, "mbid"), (3, "rest"))])

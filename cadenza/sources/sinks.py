@@ -102,12 +102,25 @@ def clear(spark: SparkSession) -> None:
     fs.delete(path, True)
 
 
-def write_buckets(plays: DataFrame, path: str) -> None:
-    """The fact table by bucket of its user; one task per bucket and core writes, not one file per task and bucket."""
-    rows = plays.withColumn("bucket", V.bucket(F.col("user_id")))
+def write_buckets(rows: DataFrame, path: str) -> None:
+    """A table of users' rows by bucket of the user; a few tasks per bucket write, not one file per task and bucket."""
+    rows = rows.withColumn("bucket", V.bucket(F.col("user_id")))
     write_atomic(rows.repartition("bucket", F.pmod(F.xxhash64("user_id"), F.lit(8))), path, "bucket")
 
 
+def buckets(spark: SparkSession, path: str) -> list[str]:
+    """The buckets that a table written by bucket has."""
+    fs, folder = _hadoop(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(n.removeprefix("bucket=") for n in names if n.startswith("bucket="))
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        fs, target = _hadoop(spark, path)
+        fs.delete(target, True)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small new file, written under a temporary name first: it is whole or absent."""
     fs, target = _hadoop(spark, path)

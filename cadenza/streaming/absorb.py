@@ -1,7 +1,7 @@
-"""Absorb dated listen files as a stream.
+"""Absorb dated files of plays as a stream.
 
 Each file names the window it covers (columns start and end, 14-digit numbers).  A micro-batch may hold
-several windows; they are folded in order of their ends.  What is covered lives in the index's meta
+several windows; they are judged in order of their ends and folded in one pass.  What is covered lives in the index's meta
 record, written last, so a batch that is tried again finds its windows covered and folds nothing twice.
 """
 
@@ -15,19 +15,15 @@ from pyspark.sql.streaming import StreamingQuery
 from cadenza import schema as S
 from cadenza.plans import index as I
 
-INCREMENT = T.StructType([*S.LISTEN.fields, T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+INCREMENT = T.StructType([*S.LISTENED.fields, T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 
 
 def fold_batch(index: str):
     def fold(batch: DataFrame, _: int) -> None:
-        batch = batch.persist()
-        try:
-            # One row per dated file of the batch.
-            for w in batch.select("start", "end").distinct().orderBy("end", "start").collect():
-                rows = batch.where((F.col("start") == w["start"]) & (F.col("end") == w["end"]))
-                I.absorb(batch.sparkSession, rows.drop("start", "end"), index, f"{w['start']}-{w['end']}", w["start"], w["end"])
-        finally:
-            batch.unpersist()
+        # One row per dated file of the batch; their rows are folded in one pass.
+        windows = batch.select("start", "end").distinct().collect()
+        if windows:
+            I.absorb_all(batch.sparkSession, batch, index, [(f"{w['start']}-{w['end']}", w["start"], w["end"]) for w in windows])
 
     return fold
 

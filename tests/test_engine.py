@@ -142,7 +142,7 @@ def test_options_are_checked():
     for wrong in ({"damp": -1}, {"granularity": 0}, {"island": "x", "seeds": ("a",)}, {"target": "t"}, {"sort": "newest"}):
         with pytest.raises(ValueError):
             R.validate("island", **wrong)
-    R.validate("listen_count", target="a", sort="newest", target_is_artist=True)
+    R.validate("play_count", target="a", sort="newest", target_is_artist=True)
 
 
 # Text.
@@ -230,7 +230,10 @@ def test_logs_lists_and_buckets_on_disk(spark, tmp_path):
     sinks.publish(spark, str(tmp_path), "v1", {"n": 1})
     sinks.publish(spark, str(tmp_path), "v2", {"n": 2})
     assert sinks.meta(spark, str(tmp_path)) == {"n": 2, "version": "v2"}
-    assert readers.digest(spark, str(tmp_path / "meta.json")).first()["sha256"]
+    sinks.publish(spark, str(tmp_path), "v3", {"n": 3})
+    pointers = sorted(p.name for p in tmp_path.glob("meta-*.json"))
+    assert len(pointers) == 2  # the newest and the one before it
+    assert readers.digest(spark, str(tmp_path / pointers[-1])).first()["sha256"]
 
 
 def listens(spark, rows):
@@ -249,16 +252,16 @@ def test_index_is_built_absorbed_once_and_keeps_gaps(spark, tmp_path):
     meta, declared = made_index(spark, index)
     assert (meta["own"], meta["user_stat"]) == (1, 5)
     assert Ix.completeness(spark, meta["version"]) == "built"
-    before = Ix.open_index(spark, index)["user_listen"].agg(F.sum("plays")).first()[0]
+    before = Ix.open_index(spark, index)["user_plays"].agg(F.sum("plays")).first()[0]
     # One new play of an old recording, one of a fresh one, one by an outsider.
     delta = listens(spark, [(2, 0, 1), (2, 99, 2), (77, 0, 1)])
     meta = Ix.absorb(spark, delta, index, "d1", 20240101000000, 20240102000000)
     parts = Ix.open_index(spark, index)
-    assert parts["user_listen"].agg(F.sum("plays")).first()[0] == before + 3
+    assert parts["user_plays"].agg(F.sum("plays")).first()[0] == before + 3
     assert (meta["absorbed"], meta["gap"], meta["reached"]) == (1, [], 20240102000000)
     again = Ix.absorb(spark, delta, index, "d1", 20240101000000, 20240102000000)
     assert (again["absorbed"], again["gap"]) == (1, [])
-    assert Ix.open_index(spark, index)["user_listen"].agg(F.sum("plays")).first()[0] == before + 3
+    assert Ix.open_index(spark, index)["user_plays"].agg(F.sum("plays")).first()[0] == before + 3
     late = Ix.absorb(spark, delta, index, "d2", 20240103000000, 20240104000000)
     assert (late["absorbed"], late["gap"]) == (2, [[20240102000000, 20240103000000]])
     skipped = Ix.absorb(spark, delta, index, "d3", 20240103120000, 20240105000000)
@@ -273,14 +276,14 @@ def test_stream_folds_each_file_once(spark, tmp_path):
 
     index, inbox = str(tmp_path / "index"), tmp_path / "inbox"
     made_index(spark, index)
-    before = Ix.open_index(spark, index)["user_listen"].agg(F.sum("plays")).first()[0]
+    before = Ix.open_index(spark, index)["user_plays"].agg(F.sum("plays")).first()[0]
     day = lambda n: listens(spark, [(2, 0, n)]).withColumns({"start": F.lit(20240100000000 + n * 1000000), "end": F.lit(20240101000000 + n * 1000000)})
     for n in (1, 2):
         day(n).coalesce(1).write.mode("append").parquet(str(inbox))
     for _ in range(2):
         query = absorb.start(spark, str(inbox), index, str(tmp_path / "checkpoint"))
         query.awaitTermination(300)
-    assert Ix.open_index(spark, index)["user_listen"].agg(F.sum("plays")).first()[0] == before + 3
+    assert Ix.open_index(spark, index)["user_plays"].agg(F.sum("plays")).first()[0] == before + 3
     assert sinks.meta(spark, index)["absorbed"] == 2
 
 

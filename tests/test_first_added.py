@@ -48,4 +48,4 @@ def test_query_reads_the_whole_log(spark):
     log = [(o, o * 1000, n * 100000 + p, "-" if flag == "R" else "+", f"e{p}", f"q{s % 3}") for o, n, p, flag, s in rows]
     want, inherited = read_through(log)
     assert inherited > 0
-    assert {r["mbid"]: r["at"] for r in registry.queries()["win_first_added_whole"](spark, DATA).collect()} == want
+    assert {r["mbid"]: r["at"] for r in registry.queries()["win_first_added"](spark, DATA).collect()} == want
