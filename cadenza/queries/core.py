@@ -67,7 +67,7 @@ query("join_inner_mbid", "SELECT user_id, recording_id, plays FROM library JOIN
 query("join_using_stat", "SELECT user_id, recording_id, plays, round(center, 6) AS center, round(low, 6) AS low, round(high, 6) AS high, recording FROM user_plays JOIN user_stat USING (user_id)")(
     lambda i: i.user_plays.join(i.user_stat, "user_id").select("user_id", "recording_id", "plays", r("center"), r("low"), r("high"), "recording")
 )
-query("join_cohort", "SELECT user_id, recording_id, plays, island FROM user_plays JOIN cohort USING (user_id)")(lambda i: i.user_plays.join(F.broadcast(i.cohort), "user_id").select("user_id", "recording_id", "plays", "island"))
+query("join_cohort", "SELECT user_id, recording_id, plays, island FROM user_plays JOIN cohort USING (user_id)")(lambda i: i.user_plays.join(i.cohort, "user_id").select("user_id", "recording_id", "plays", "island"))
 query("join_multi_dim", "SELECT b.recording_id, island, round(weight, 6) AS weight, mbid, listener, l.plays FROM backing b JOIN recording USING (recording_id) JOIN recording_listener l USING (recording_id)")(
     lambda i: i.backing.join(i.recording, "recording_id").join(i.recording_listener, "recording_id").select("recording_id", "island", r("weight"), "mbid", "listener", "plays")
 )
@@ -243,11 +243,12 @@ def _(i):
     return together
 
 
-query("recommend_all")(lambda i: _recommend(i))
+query("recommend_all")(lambda i: _recommend(i, threshold=0.05, community=4))
+query("recommend_defaults")(lambda i: _recommend(i))
 
 
-def _recommend(i: Inputs):
+def _recommend(i: Inputs, **options):
     from cadenza.plans.recommend import recommend
 
     parts = {p: getattr(i, p) for p in ("user_plays", "user_stat", "recording", "recording_artist", "recording_listener", "artist_link")}
-    return recommend(parts, i.declared, threshold=0.05, community=4).select("island", "position", "mbid", r("score"), "backer", "listener", "plays")
+    return recommend(parts, i.declared, **options).select("island", "position", "mbid", r("score"), "backer", "listener", "plays")

@@ -352,6 +352,12 @@ query("stream_windows", "SELECT CAST(ts::DATE AS VARCHAR) AS day, event_type, co
 
 
 def _windowed(i: Inputs) -> DataFrame:
-    from cadenza.streaming.absorb import plays_per_window
+    """A stream over the table's files (a pattern, since a stream takes no single file), with its counts in the state store."""
+    import uuid
 
-    return plays_per_window(i.table("events")).select(F.to_date("window.start").cast("string").alias("day"), "event_type", "n")
+    from cadenza.sources.sinks import run_dir
+    from cadenza.streaming.absorb import count_windows
+
+    place = f"{run_dir(i.spark)}/windows-{uuid.uuid4().hex}"
+    count_windows(i.spark, f"{i.sf_dir}/event[s].parquet", f"{place}/counts", f"{place}/checkpoint").awaitTermination()
+    return i.spark.read.parquet(f"{place}/counts").select(F.to_date("window.start").cast("string").alias("day"), "event_type", "n")

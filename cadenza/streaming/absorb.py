@@ -37,3 +37,35 @@ def start(spark: SparkSession, folder: str, index: str, checkpoint: str) -> Stre
 def plays_per_window(listens: DataFrame, late: str = "1 day", width: str = "1 day") -> DataFrame:
     """Listens per day and kind from an event stream (ts, event_type); rows later than ``late`` are dropped."""
     return listens.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
+
+
+EVENTS = T.StructType([T.StructField("ts", T.TimestampType()), T.StructField("event_type", T.StringType())])
+
+
+def count_files(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Count the plays of each day and kind in the files of ``folder`` that were not counted yet.
+
+    A micro-batch writes its counts under its own number, so one that is tried again replaces what it wrote.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        counts = batch.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
+        counts.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    plays = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 16).parquet(folder)
+    return plays.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def counted(spark: SparkSession, out: str) -> DataFrame:
+    """(day, event_type, n) over all micro-batches."""
+    return spark.read.parquet(out).groupBy("day", "event_type").agg(F.sum("n").alias("n"))
+
+
+def count_windows(spark: SparkSession, path: str, out: str, checkpoint: str) -> StreamingQuery:
+    """``plays_per_window`` of the files of ``path`` as a stream, its whole state written after each micro-batch."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    plays = spark.readStream.schema(EVENTS).parquet(path)
+    return plays_per_window(plays).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
