@@ -1,10 +1,14 @@
-"""Connected components of an edge table, by minimum labels with pointer jumping.
+"""Connected components of an edge table, by contraction.
 
-Each round takes the smallest label among a node's neighbours and then the label of that label.  Minima are
-pre-aggregated before every shuffle.  A hub, or a label that most nodes share, is one key of a join whose other
-side has one row for it; such a partition is cut into several tasks by adaptive execution's skew join, and its
-rows are two numbers each.  Each round's labels are written to the shared folder and the round's before are
-deleted; nothing is collected but whether a label moved.
+Each round every node points to the smallest of its neighbours and itself, and pointers are followed to their
+end, doubling their reach with each join.  Edges are renamed to where their ends point, and those inside one
+name, or told twice, go.  Only nodes smaller than all their neighbours keep their name, at most half of those
+that are left, so rounds are few and the table of edges shrinks from one to the next.
+
+The larger end of an edge is renamed first: edges around a hub become few before the hub's own name is looked
+up.  Minima are pre-aggregated before every shuffle.  Where many rows still share a key, the other side of the
+join has one row for it, and adaptive execution's skew join cuts the partition; rows are two numbers each.
+Tables of each round are written to the shared folder; nothing is collected but whether edges are left.
 """
 
 from __future__ import annotations
@@ -15,20 +19,37 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import discard, materialize
 
 
+def _ordered(edges: DataFrame) -> DataFrame:
+    """(a, b) with a < b, each edge once."""
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b); label is the component's smallest node."""
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    both = materialize(both.where("node <> other").distinct(), "edges")
-    labels = materialize(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("label")), "labels")
-    held = labels
+    left = materialize(_ordered(edges), "edges")
+    loops = edges.where("a = b").select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
+    taken = []
     while True:
-        near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.least("label", "near").alias("lower"), F.col("label").alias("old"))
-        jump = labels.select(F.col("node").alias("lower"), F.col("label").alias("jump"))
-        moved = materialize(lower.join(jump, "lower", "left").select("node", F.least("lower", F.coalesce("jump", "lower")).alias("label"), "old"), "labels")
-        settled = moved.where("label <> old").isEmpty()
-        discard(held)
-        labels, held = moved.select("node", "label"), moved
-        if settled:
-            discard(both)
-            return labels
+        least = left.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")).unionByName(left.select(F.col("a").alias("node"), F.col("a").alias("parent")))
+        names = materialize(least.groupBy("node").agg(F.min("parent").alias("label")), "names")
+        while True:
+            up = names.select(F.col("node").alias("label"), F.col("label").alias("last"))
+            jumped = materialize(names.join(up, "label").select("node", F.col("last").alias("label"), (F.col("last") != F.col("label")).alias("moved")), "names")
+            discard(names)
+            names = jumped
+            if names.where("moved").isEmpty():
+                break
+        names = names.select("node", "label")
+        taken.append(names)
+        of = lambda end, name: names.select(F.col("node").alias(end), F.col("label").alias(name))  # noqa: E731, B023
+        upper = left.join(of("b", "to"), "b").select("a", "to").distinct().where("a <> to")
+        renamed = materialize(_ordered(upper.join(of("a", "from"), "a").select(F.col("from").alias("a"), F.col("to").alias("b"))), "edges")
+        discard(left)
+        left = renamed
+        if left.isEmpty():
+            break
+    labels = taken[0]
+    for names in taken[1:]:
+        later = names.select(F.col("node").alias("label"), F.col("label").alias("last"))
+        labels = labels.join(later, "label", "left").select("node", F.coalesce("last", "label").alias("label"))
+    return materialize(labels.unionByName(loops.join(labels, "node", "left_anti")), "labels")
