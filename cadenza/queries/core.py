@@ -42,7 +42,7 @@ query("filter_list_not_null", "SELECT recording_mbid, count(*) AS n FROM listens
 )
 query("filter_play_floor", "SELECT user_id, mbid, plays FROM library WHERE plays >= 3 AND user_id <> 1")(lambda i: i.library.where((F.col("plays") >= S.MIN_PLAYS) & (F.col("user_id") != 1)))
 query("filter_bucket", "SELECT user_id, mbid, plays FROM library WHERE user_id % 8 = 3")(lambda i: i.library.where(V.bucket(F.col("user_id")) == 3))
-query("filter_backer", "SELECT recording_id, island, round(weight, 6) AS weight, backer FROM backing WHERE backer >= 5 AND weight > 0")(
+query("filter_backer", "SELECT recording_id, island, round(weight, 6) AS weight, backer FROM support WHERE backer >= 5 AND weight > 0")(
     lambda i: i.backing.where((F.col("backer") >= S.MIN_BACKERS) & (F.col("weight") > 0)).select("recording_id", "island", r("weight"), "backer")
 )
 query("proj_case_value", "SELECT mbid, q, CASE q WHEN 0 THEN 5 WHEN 1 THEN 50 WHEN 2 THEN 70 WHEN 3 THEN 90 ELSE 100 END AS value, round((CASE q WHEN 0 THEN 5 WHEN 1 THEN 50 WHEN 2 THEN 70 WHEN 3 THEN 90 ELSE 100 END - 50) / 50, 6) AS weight FROM declared")(
@@ -68,10 +68,10 @@ query("join_using_stat", "SELECT user_id, recording_id, plays, round(center, 6)
     lambda i: i.user_plays.join(i.user_stat, "user_id").select("user_id", "recording_id", "plays", r("center"), r("low"), r("high"), "recording")
 )
 query("join_cohort", "SELECT user_id, recording_id, plays, island FROM user_plays JOIN cohort USING (user_id)")(lambda i: i.user_plays.join(i.cohort, "user_id").select("user_id", "recording_id", "plays", "island"))
-query("join_multi_dim", "SELECT b.recording_id, island, round(weight, 6) AS weight, mbid, listener, l.plays FROM backing b JOIN recording USING (recording_id) JOIN recording_listener l USING (recording_id)")(
+query("join_multi_dim", "SELECT b.recording_id, island, round(weight, 6) AS weight, mbid, listener, l.plays FROM support b JOIN recording USING (recording_id) JOIN recording_listener l USING (recording_id)")(
     lambda i: i.backing.join(i.recording, "recording_id").join(i.recording_listener, "recording_id").select("recording_id", "island", r("weight"), "mbid", "listener", "plays")
 )
-query("join_artist_fanout", "SELECT island, mbid, artist_mbid FROM scored JOIN recording_artist USING (recording_id)")(lambda i: i.scored.join(i.recording_artist, "recording_id").select("island", "mbid", "artist_mbid"))
+query("join_artist_fanout", "SELECT island, mbid, artist_mbid FROM candidate JOIN recording_artist USING (recording_id)")(lambda i: i.scored.join(i.recording_artist, "recording_id").select("island", "mbid", "artist_mbid"))
 query("join_whole", "SELECT user_id, round(x, 6) AS x, CAST(reached AS BIGINT) AS reached, CAST(recording AS BIGINT) AS recording, CAST(heard AS BIGINT) AS heard FROM running")(
     lambda i: L.running_listens(L.occurrence(i.user_plays)).select("user_id", r("x"), "reached", "recording", "heard")
 )
@@ -93,10 +93,10 @@ query("join_semi_link", "SELECT artist_mbid, related_mbid FROM artist_link SEMI
 query("join_anti_fresh", "SELECT DISTINCT mbid FROM library ANTI JOIN (SELECT mbid FROM library WHERE user_id % 3 = 0) USING (mbid)")(
     lambda i: i.library.select("mbid").distinct().join(i.library.where("user_id % 3 = 0").select("mbid"), "mbid", "left_anti")
 )
-query("join_not_exists", "SELECT recording_id, island FROM backing JOIN recording USING (recording_id) WHERE NOT EXISTS (SELECT 1 FROM declared d WHERE d.mbid = recording.mbid)")(
+query("join_not_exists", "SELECT recording_id, island FROM support JOIN recording USING (recording_id) WHERE NOT EXISTS (SELECT 1 FROM declared d WHERE d.mbid = recording.mbid)")(
     lambda i: i.backing.join(i.recording, "recording_id").join(i.declared, "mbid", "left_anti").select("recording_id", "island")
 )
-query("join_not_exists_nested", "SELECT recording_id, island FROM backing b WHERE NOT EXISTS (SELECT 1 FROM recording_artist ra SEMI JOIN known USING (artist_mbid) WHERE ra.recording_id = b.recording_id)")(
+query("join_not_exists_nested", "SELECT recording_id, island FROM support b WHERE NOT EXISTS (SELECT 1 FROM recording_artist ra SEMI JOIN known USING (artist_mbid) WHERE ra.recording_id = b.recording_id)")(
     lambda i: i.backing.join(i.recording_artist.join(i.known, "artist_mbid", "left_semi"), "recording_id", "left_anti").select("recording_id", "island")
 )
 _HALVES = "held AS (SELECT user_id, mbid, CAST(least(sum(n), 65535) AS INTEGER) AS plays FROM (SELECT *, recording_mbid AS mbid FROM listens) WHERE n > 20 GROUP BY 1, 2), delta AS (SELECT user_id, mbid, CAST(least(sum(n), 65535) AS INTEGER) AS plays FROM (SELECT *, recording_mbid AS mbid FROM listens) WHERE n <= 20 GROUP BY 1, 2)"
@@ -130,9 +130,9 @@ query("agg_user_total", "SELECT user_id, CAST(sum(recording) AS BIGINT) AS recor
 )
 query("agg_weighted_quantile", "SELECT user_id, round(center, 6) AS center, round(low, 6) AS low, round(high, 6) AS high, recording FROM user_stat")(lambda i: i.user_stat.select("user_id", r("center"), r("low"), r("high"), "recording"))
 query("agg_median", "SELECT median(recording) AS usual FROM user_stat")(lambda i: i.user_stat.agg(F.median("recording").alias("usual")))
-query("agg_filtered_count", "SELECT recording_id, island, backer FROM backing")(lambda i: i.backing.select("recording_id", "island", "backer"))
-query("agg_weighted_vote", "SELECT recording_id, island, round(weight, 6) AS weight FROM backing")(lambda i: i.backing.select("recording_id", "island", r("weight")))
-query("agg_group_all_having", "SELECT island, mbid, backer, listener, plays, round(score, 6) AS score FROM best")(lambda i: i.best.select("island", "mbid", "backer", "listener", "plays", r("score")))
+query("agg_filtered_count", "SELECT recording_id, island, backer FROM support")(lambda i: i.backing.select("recording_id", "island", "backer"))
+query("agg_weighted_vote", "SELECT recording_id, island, round(weight, 6) AS weight FROM support")(lambda i: i.backing.select("recording_id", "island", r("weight")))
+query("agg_group_all_having", "SELECT island, mbid, backer, listener, plays, round(score, 6) AS score FROM chosen")(lambda i: i.best.select("island", "mbid", "backer", "listener", "plays", r("score")))
 query("agg_affinity", "SELECT island, user_id, round(weight, 6) AS weight FROM affinity")(lambda i: i.affinity.select("island", "user_id", r("weight")))
 query("agg_idf", "SELECT mbid, listeners, round(idf, 6) AS idf FROM idf")(lambda i: I.audience_idf(i.heard).select("mbid", "listeners", r("idf")))
 _COSINE = ", size AS (SELECT mbid, count(*) AS n FROM heard GROUP BY 1), cosine AS (SELECT a, b, shared, shared / sqrt(s.n * t.n) AS cosine FROM (SELECT x.mbid AS a, y.mbid AS b, count(*) AS shared FROM heard x JOIN heard y ON x.user_id = y.user_id AND x.mbid < y.mbid GROUP BY 1, 2) JOIN size s ON s.mbid = a JOIN size t ON t.mbid = b)"
@@ -154,18 +154,18 @@ query("win_surrogate_key_extend", ", held AS (SELECT row_number() OVER (ORDER BY
     lambda i: L.extend_keys(L.surrogate_keys(i.library.where("user_id % 50 = 0")), i.library.select("mbid").distinct())
 )
 query("win_running_sum", "SELECT user_id, round(x, 6) AS x, CAST(reached AS BIGINT) AS reached FROM running")(lambda i: L.running_listens(L.occurrence(i.user_plays)).select("user_id", r("x"), "reached"))
-query("win_rank_per_artist", "SELECT island, mbid, artist_mbid, CAST(rank AS INTEGER) AS rank FROM per_artist")(lambda i: i.per_artist.select("island", "mbid", "artist_mbid", "rank"))
-query("win_rank_per_island", "SELECT island, mbid, CAST(row_number() OVER (PARTITION BY island ORDER BY score DESC, mbid) AS INTEGER) AS position FROM best")(
+query("win_rank_per_artist", "SELECT island, mbid, artist_mbid, CAST(rank AS INTEGER) AS rank FROM place")(lambda i: i.per_artist.select("island", "mbid", "artist_mbid", "rank"))
+query("win_rank_per_island", "SELECT island, mbid, CAST(row_number() OVER (PARTITION BY island ORDER BY score DESC, mbid) AS INTEGER) AS position FROM chosen")(
     lambda i: i.best.select("island", "mbid", F.row_number().over(Window.partitionBy("island").orderBy(F.desc("score"), "mbid")).alias("position"))
 )
-query("ranked_per_island", "SELECT island, CAST(position AS INTEGER) AS position, mbid, round(score, 6) AS score, backer, listener, plays FROM ranked")(lambda i: i.ranked.select("island", "position", "mbid", r("score"), "backer", "listener", "plays"))
+query("ranked_per_island", "SELECT island, CAST(position AS INTEGER) AS position, mbid, round(score, 6) AS score, backer, listener, plays FROM shown")(lambda i: i.ranked.select("island", "position", "mbid", r("score"), "backer", "listener", "plays"))
 query("win_dedupe_name", "SELECT n_nationkey AS island, CASE WHEN t = 1 THEN name ELSE name || ' ' || t END AS name FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n_nationkey) AS t FROM (SELECT n_nationkey, 'region ' || n_regionkey AS name FROM nation))", inputs=False)(
     lambda i: I.distinct_names(i.table("nation").select(F.col("n_nationkey").alias("island"), F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("name")))
 )
 
 # Top-k and sorts.
 query("topk_global", "SELECT user_id, n FROM top")(lambda i: L.declared_overlap(i.library, i.declared))
-query("topk_per_group", "SELECT island, CAST(position AS INTEGER) AS position, mbid FROM ranked WHERE position <= 20")(lambda i: I.ranked(i.best, 20).select("island", "position", "mbid"))
+query("topk_per_group", "SELECT island, CAST(position AS INTEGER) AS position, mbid FROM shown WHERE position <= 20")(lambda i: I.ranked(i.best, 20).select("island", "position", "mbid"))
 query("topk_cohort", "SELECT island, user_id, round(weight, 6) AS weight FROM cohort")(lambda i: i.cohort.select("island", "user_id", r("weight")))
 query("sort_promise", f"SELECT island, promise, CAST(row_number() OVER (ORDER BY promise DESC, island) AS INTEGER) AS rank FROM ({_PROMISE})")(
     lambda i: I.promise(i.island, i.declared, i.cohort).select("island", r("promise")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("promise"), "island")))
@@ -209,7 +209,7 @@ def _(i):
 
 # Scalars of the score.
 query("fn_ln_greatest", "SELECT user_id, recording_id, round(ln(greatest(plays, 1)), 6) AS x FROM user_plays")(lambda i: i.user_plays.select("user_id", "recording_id", F.round(F.log(F.greatest("plays", F.lit(1))), 6).alias("x")))
-query("fn_pow_damp", "SELECT island, mbid, round(score, 6) AS score FROM scored")(lambda i: i.scored.select("island", "mbid", r("score")))
+query("fn_pow_damp", "SELECT island, mbid, round(score, 6) AS score FROM candidate")(lambda i: i.scored.select("island", "mbid", r("score")))
 query("fn_sqrt_breadth", "SELECT user_id, round(sqrt(greatest(recording, 1) / (SELECT median(recording) FROM user_stat)), 6) AS breadth FROM user_stat")(
     lambda i: i.user_stat.crossJoin(F.broadcast(i.user_stat.agg(F.median("recording").alias("usual")))).select("user_id", F.round(V.breadth(F.col("recording"), F.col("usual")), 6).alias("breadth"))
 )

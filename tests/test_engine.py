@@ -298,3 +298,86 @@ def test_entry_imports_without_the_corpus_folder(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'ranked_per_island' in q and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin", "PYTHONPATH": str(tmp_path)})
+
+
+# Orders, chains and parsing without limits.
+
+
+def test_brackets_of_any_depth_hide_their_contents(spark):
+    deep = "((((((a))))))b (c (d (e (f (g) h) i) j) k) l"
+    rows = spark.createDataFrame([(deep,), ("x ) y (z",), ("(" * 40 + "a" + ")" * 40 + "é!",)], "t string").select(X.normalize_title(F.col("t")).alias("x")).collect()
+    assert [r["x"] for r in rows] == ["bl", "xy", "é"]
+
+
+def test_redirects_are_followed_to_their_end(spark):
+    from cadenza.operators import sync
+
+    hops = [(k, k + 1) for k in range(12)] + [(100, 101), (101, 102), (102, 100)]
+    start, redirect = spark.createDataFrame([(0,), (5,), (100,), (77,)], "id long"), spark.createDataFrame(hops, "id long, target long")
+    assert {r["id"]: r["live"] for r in sync.chase(start, redirect).collect()} == {0: 12, 5: 12, 100: 102, 77: 77}
+
+
+def test_added_lines_replace_removed_ones_above_them_only(spark):
+    log_rows = [(1, 10, 1, "+", "a", "x"), (1, 10, 2, "-", "b", "x"), (1, 10, 3, "-", "c", "x"), (1, 10, 4, "+", "d", "x"), (1, 10, 5, "+", "e", "y")]
+    log_df = spark.createDataFrame(log_rows, "commit long, at long, line long, sign string, mbid string, rest string")
+    assert [tuple(r) for r in O.replacement_pairs(log_df).collect()] == [(1, "d", "b")]
+
+
+DECLARED = f"""[ // a list, over as many lines as one likes
+  (playlist: ["http://x", "a \\"b\\"",], /* any order */
+   q: 4,
+   s: "{UUID(1).upper()}"), (s: "{UUID(2)}",
+   q: 0, playlist: []),
+]"""
+
+
+def test_declarations_are_read_whole(spark, tmp_path):
+    assert readers.parse_declaration(DECLARED) == [(UUID(1), 4, ["http://x", 'a "b"']), (UUID(2), 0, [])]
+    file = tmp_path / "list"
+    for text, problem in (
+        (DECLARED.replace(UUID(2), "zzz"), "line 4, column 52.*zzz"),
+        ("[(q: 1)]", "line 1, column 2.*missing field s"),
+        (f'[(s: "{UUID(1)}" q: 1)]', "line 1, column 45"),
+        (f'[(s: "{UUID(1)}", q: 1, p: 2)]', "unknown field p"),
+        ("[", "line 1, column 2"),
+    ):
+        file.write_text(text)
+        with pytest.raises(ValueError, match=problem):
+            readers.declaration(spark, str(file))
+
+
+def test_numbers_and_maxima_over_ranges_equal_a_plain_loop(spark):
+    from cadenza.operators.ordered import numbered, running_max
+
+    values = [(k * 37 % 101, (k * 53) % 17) for k in range(101)]
+    rows = spark.createDataFrame(values, "k long, v long").repartition(7)
+    got = {r["k"]: r["index"] for r in numbered(rows, F.desc("k"), first=5).collect()}
+    assert got == {k: 105 - k for k in range(101)}
+    by_key, upto = dict(values), {}
+    for own in (True, False):
+        found = {r["k"]: r["m"] for r in running_max(rows, F.col("v"), "k", name="m", own=own).collect()}
+        upto = {k: max([by_key[j] for j in range(k + own)], default=None) for k in range(101)}
+        assert found == upto
+
+
+def test_a_fold_writes_only_touched_buckets(spark, tmp_path):
+    index = str(tmp_path / "index")
+    made_index(spark, index)
+    before = sinks.meta(spark, index)
+    was = {p: Ix.open_index(spark, index)[p].count() for p in Ix.PARTS}
+    Ix.absorb(spark, listens(spark, [(2, 0, 1), (2, 99, 2)]), index, "d1", 20240101000000, 20240102000000)
+    after = sinks.meta(spark, index)
+    assert sinks.buckets(spark, f"{after['version']}/user_plays") == ["2"]
+    for part in Ix.BUCKETED:
+        moved = {b for b in after["buckets"][part] if after["buckets"][part][b] != before["buckets"][part].get(b)}
+        assert moved == {"2"}
+    parts = Ix.open_index(spark, index)
+    assert (parts["user_stat"].count(), parts["user_plays"].count()) == (was["user_stat"], was["user_plays"] + 1)
+    for mine, fresh in ((parts["recording_listener"], L.recording_listener(parts["user_plays"])), (parts["user_stat"], L.user_stat(parts["user_plays"]))):
+        assert sorted(map(tuple, mine.select(*fresh.columns).collect())) == sorted(map(tuple, fresh.collect()))
+    # Several dumps at once give what one after another gives, and old folders go once no pointer names them.
+    both = [("d2", 20240102000000, 20240103000000), ("d3", 20240103000000, 20240104000000)]
+    delta = listens(spark, [(3, 0, 1)]).withColumns({"start": F.lit(both[0][1]), "end": F.lit(both[0][2])}).unionByName(listens(spark, [(3, 1, 4), (4, 98, 1)]).withColumns({"start": F.lit(both[1][1]), "end": F.lit(both[1][2])}))
+    meta = Ix.absorb_all(spark, delta, index, both)
+    assert (meta["absorbed"], meta["reached"], meta["gap"]) == (3, 20240104000000, [])
+    assert Ix.open_index(spark, index)["user_plays"].agg(F.sum("plays")).first()[0] == parts["user_plays"].agg(F.sum("plays")).first()[0] + 6
