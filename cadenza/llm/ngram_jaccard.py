@@ -237,13 +237,14 @@ def _block_verifier(threshold: float):
 
 def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, small: int = SMALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, edges, counts): members (doc_id, k1, k2, node) of all documents with n-grams or without (null
-    node); edges (a, b) that span the links between nodes; counts (node, n) of linked documents elsewhere."""
+    node); edges (a, b) that span the links between nodes; counts (node, n_links, least) with each node's linked
+    documents and smallest doc_id."""
     bands, rows = banding(threshold, recall)
     # k1 and k2 name a row's id and text: they lead back to the text without shuffling every text.
     marked = docs.select("doc_id", *[c.alias(k) for k, c in zip(("k1", "k2"), marks("doc_id", "text"), strict=True)], "text")
     signed = materialize(marked.mapInArrow(_signer(n, bands, rows), marked.drop("text").schema.add("set_key", "binary").add("bands", T.ArrayType(T.LongType()))), "signed")
     # A node is a distinct set, by 128 bits of its hash; it gets a number, which later joins carry.
-    sets = signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    sets = signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.count("*").alias("copies"), F.first("bands").alias("bands"), F.min("doc_id").alias("least"), F.min(F.struct("k1", "k2")).alias("best"))
     nodes = materialize(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
     members = materialize(signed.drop("bands").join(nodes.select("set_key", "node"), "set_key", "left").select("doc_id", "k1", "k2", "node"), "members")
     keyed = nodes.select("node", F.explode("bands").alias("key"))
@@ -258,8 +259,7 @@ def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: flo
     large = held.where(F.col("size") > small)
     wanted = visits.select("node").unionByName(large.select("node")).distinct()
     # The n-grams of the nodes that have company; one text stands for each node.
-    best = members.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("best"))
-    best = materialize(best.select("node", "best.k1", "best.k2"), "marks")
+    best = materialize(nodes.join(wanted, "node", "left_semi").select("node", "best.k1", "best.k2"), "marks")
     # Rows that repeat id and text become one before the shuffle, which the join then shares.
     texts = sieve(marked.select("k1", "k2", "text"), best, "k1").groupBy("k1", "k2").agg(F.first("text").alias("text"))
     texts = texts.join(best.hint("shuffle_hash"), ["k1", "k2"]).select("node", "text")
@@ -284,17 +284,16 @@ def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: flo
     counts = listed.join(weight, F.col("b") == F.col("w_node")).select(F.col("a").alias("node"), F.col("copies").alias("n")).unionByName(forest.select(F.col("a").alias("node"), "n"))
     counts = counts.groupBy("node").agg(F.sum("n").alias("n")).join(nodes.select("node", "copies"), "node", "full")
     counts = counts.select("node", (F.coalesce("n", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"))
-    return members, verified.unionByName(forest.select("a", "b")), counts
+    return members, verified.unionByName(forest.select("a", "b")), counts.join(nodes.select("node", "least"), "node")
 
 
 def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """Per document row: doc_id, k1, k2 (hashes of id and text), node (null without words), class_id, n_links."""
     members, edges, counts = links(docs, n, threshold, recall, small, block)
     labels = components(edges)
-    roots = counts.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("root"), "n_links")
+    roots = counts.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("root"), "n_links", "least")
     roots = materialize(roots, "roots")
-    least = members.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
-    ids = least.join(roots, "node").groupBy("root").agg(F.min("least").alias("class_id"))
+    ids = roots.groupBy("root").agg(F.min("least").alias("class_id"))
     found = materialize(roots.join(ids, "root").select("node", "root", "class_id", "n_links"), "classes")
     class_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
     return members.join(found, "node", "left").select("doc_id", "k1", "k2", "root", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
