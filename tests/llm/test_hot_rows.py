@@ -100,7 +100,7 @@ def test_ties_go_to_the_smaller_id():
         n = int(rng.integers(25, 90))
         x = np.repeat(rng.standard_normal((1, 64)).astype(np.float32), n, axis=0).astype(float)
         ids = rng.permutation(n).astype(np.int64)
-        found, scores = ann.best_of(ids, x, x[0], 20)
+        found, scores = ann.best_of(ids, x, np.linalg.norm(x, axis=1), x[0], 20)
         assert ids[found].tolist() == list(range(20))
         assert len(set(scores.tolist())) == 1
 
