@@ -19,6 +19,7 @@ _MODULES = {
     "op8_sharding": "sharding",
     "op9_pii": "pii",
     "op10_mixing": "mixing",
+    "op11_spelling": "spelling",
     "op12_sentencepiece": "sentencepieces",
     "op13_collocations": "collocations",
 }
