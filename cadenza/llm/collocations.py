@@ -66,7 +66,7 @@ def weakest_cuts(counts: DataFrame) -> DataFrame:
 
 def _score(a: Column, left: Column, right: Column) -> Column:
     """The floored score: never above SCALE, since no part occurs less often than the phrase."""
-    a, left, right = (F.call_function("decimal", x).cast(_COUNT) for x in (a, left, right))
+    a, left, right = (x.cast(_COUNT) for x in (a, left, right))
     over = (F.lit(SCALE).cast("decimal(7,0)") * (a * a)).cast("decimal(38,0)")
     return F.call_function("div", over, (left * right).cast("decimal(38,0)")).cast("long")
 
