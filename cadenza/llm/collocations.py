@@ -2,7 +2,7 @@
 
 Every text is lower-cased (A-Z), split into pieces at punctuation and line ends, and pieces into words.  All
 1..max_n-grams of all pieces become rows and are counted by hash aggregation, which combines within each task
-before anything is shuffled.  A phrase of at least ``min_count`` occurrences is cut after each of its first
+before anything is shuffled; of the longer ones, rows that hold a phrase too rare are dropped before that.  A phrase of at least ``min_count`` occurrences is cut after each of its first
 words; prefix and suffix counts are joined to it, and the cut with the lowest score
 ``floor(1000000 * a * a / (l * r))`` counts.  Products are decimals of 38 digits: exact for counts below 1e16,
 an error beyond.  A phrase is dropped if a phrase one word longer that holds it occurs in at least
@@ -19,10 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import ascii_lower, materialize, table
+from cadenza.llm.common import materialize, sieve, table
 
 MAX_N, MIN_COUNT, ABSORB_PERCENT, TOP = 3, 10, 50, 2000
-BREAKS, BLANKS = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]"
+#: Capitals become small letters, every end of a piece a line feed, and every blank a space.
+_FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + ".,;:!?\x0b\x0c\r" + "\t"
+_TO = "abcdefghijklmnopqrstuvwxyz" + "\n" * 9 + " "
 SCALE = 1_000_000
 #: Digits of a count: two counts and the scale multiplied fit 38 digits.
 _COUNT = "decimal(16,0)"
@@ -31,23 +33,52 @@ _CLASSES = 64
 
 def pieces(docs: DataFrame) -> DataFrame:
     """(lang, words): the words of each piece that has any."""
-    text = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), ascii_lower(F.col("text")).alias("text")).where(F.col("text") != "")
-    split = text.select("lang", F.explode(F.split("text", f"{BREAKS}+")).alias("piece"))
-    return split.select("lang", F.array_remove(F.split("piece", f"{BLANKS}+"), "").alias("words")).where(F.size("words") > 0)
+    # One pass over the characters; what it leaves is split at single characters, which needs no pattern.
+    text = F.translate("text", _FROM, _TO)
+    split = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(text, "\n")).alias("piece")).where(F.col("piece") != "")
+    return split.select("lang", F.array_remove(F.split("piece", " "), "").alias("words")).where(F.size("words") > 0)
+
+
+def _grams(docs: DataFrame, *sizes: int) -> DataFrame:
+    """(lang, words, start, size): a row for each phrase of the given sizes, and one of size 0 for the whole piece."""
+    n_words, n = F.size("words"), len(sizes)
+    # A phrase's number is start * n + the place of its size; -1 stands for the piece.
+    spots = pieces(docs).select("lang", "words", F.explode(F.sequence(F.lit(-1), n_words * n - 1)).alias("spot"))
+    size = F.when(F.col("spot") < 0, 0)
+    for place, s in enumerate(sizes):
+        size = size.when(F.col("spot") % n == place, s)
+    spots = spots.select("lang", "words", F.call_function("div", F.col("spot"), F.lit(n)).cast("int").alias("start"), size.alias("size"))
+    return spots.where(F.col("start") + F.col("size") <= n_words)
+
+
+def _counted(grams: DataFrame, min_count: int) -> DataFrame:
+    """(lang, phrase, f); the phrase of no words counts words."""
+    phrase = F.array_join(F.slice("words", F.col("start") + 1, F.col("size")), " ")
+    times = F.when(F.col("size") == 0, F.size("words")).otherwise(1).cast("long")
+    counted = grams.select("lang", phrase.alias("phrase"), times.alias("times")).groupBy("lang", "phrase").agg(F.sum("times").alias("f"))
+    return counted.where((F.col("f") >= min_count) | (F.col("phrase") == ""))
 
 
 def phrase_counts(docs: DataFrame, max_n: int = MAX_N, min_count: int = MIN_COUNT) -> DataFrame:
     """(lang, size, phrase, f): words and phrases of at least ``min_count`` occurrences, and, as the phrase of no
-    words, each language's number of words."""
-    n_words = F.size("words")
-    # A gram's number is start * max_n + size - 1; the last one, -1, stands for the piece itself.
-    spots = pieces(docs).select("lang", "words", F.explode(F.sequence(F.lit(-1), n_words * max_n - 1)).alias("spot"))
-    start, size = F.call_function("div", F.col("spot"), F.lit(max_n)).cast("int"), F.when(F.col("spot") < 0, 0).otherwise(F.col("spot") % max_n + 1)
-    spots = spots.select("lang", "words", start.alias("start"), size.alias("size")).where(F.col("start") + F.col("size") <= n_words)
-    phrase = F.array_join(F.slice("words", F.col("start") + 1, F.col("size")), " ")
-    grams = spots.select("lang", "size", phrase.alias("phrase"), F.when(F.col("size") == 0, n_words).otherwise(1).cast("long").alias("times"))
-    counted = grams.groupBy("lang", "size", "phrase").agg(F.sum("times").alias("f"))
-    return counted.where((F.col("f") >= min_count) | (F.col("size") == 0))
+    words, each language's number of words.
+
+    Of the phrases of three words and more, those that hold a rarer phrase one word shorter are no candidates;
+    a sieve of fixed size keeps most of them from the shuffle.
+    """
+    size = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+    levels = [materialize(_counted(_grams(docs, *range(1, min(max_n, 2) + 1)), min_count).withColumn("size", size), "phrases")]
+    for n in range(3, max_n + 1):
+        shorter = levels[-1].where(F.col("size") == n - 1).select(F.xxhash64("lang", F.split("phrase", " ")).alias("key"))
+        grams = _grams(docs, n).where(F.col("size") == n)
+        for column, first in (("head", 1), ("tail", 2)):
+            keyed = grams.withColumn(column, F.xxhash64("lang", F.slice("words", F.col("start") + first, n - 1)))
+            grams = sieve(keyed, shorter.withColumnRenamed("key", column), column)
+        levels.append(materialize(_counted(grams, min_count).withColumn("size", size), "phrases"))
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.unionByName(level)
+    return every
 
 
 def weakest_cuts(counts: DataFrame) -> DataFrame:
@@ -82,7 +113,7 @@ def absorbed(counts: DataFrame, percent: int = ABSORB_PERCENT) -> DataFrame:
 
 def collocations(docs: DataFrame, max_n: int = MAX_N, min_count: int = MIN_COUNT, absorb_percent: int = ABSORB_PERCENT, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's ``top`` phrases by score, a (both descending) and phrase."""
-    counts = materialize(phrase_counts(docs, max_n, min_count), "phrases")
+    counts = phrase_counts(docs, max_n, min_count)
     kept = weakest_cuts(counts).join(absorbed(counts, absorb_percent), ["lang", "phrase"], "left_anti")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     share = kept.withColumn("class", F.pmod(F.xxhash64("phrase"), F.lit(_CLASSES)))
