@@ -9,10 +9,8 @@ from cadenza.operators.ordered import numbered
 
 
 def positions(rows: DataFrame, *order: Column | str, by: str | None = None) -> DataFrame:
-    """Positions from 0 in the given order, within ``by`` (feeds are one user's or one query's) or over all rows."""
-    if by is None:
-        return numbered(rows, *order, name="position")
-    return rows.withColumn("position", (F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1).cast("long"))
+    """Positions from 0 in the given order, within ``by`` or over all rows."""
+    return numbered(rows, *order, name="position", by=(by,) if by else ())
 
 
 def interleave(feeds: DataFrame) -> DataFrame:
@@ -40,8 +38,7 @@ def merged(feeds: DataFrame, skip: DataFrame, only_unlistened: bool = False) ->
 def island_turns(candidates: DataFrame, rank: DataFrame, skip: DataFrame) -> DataFrame:
     """One candidate per living island and turn, islands by rank; skipped keys take no turn."""
     fresh = candidates.join(skip.select("mbid").distinct(), "mbid", "left_anti")
-    place = F.row_number().over(Window.partitionBy("island").orderBy("position"))
-    turns = fresh.withColumn("turn", place).join(rank, "island")
+    turns = numbered(fresh, "position", name="turn", first=1, by=("island",)).join(rank, "island")
     return numbered(turns, "turn", "rank", first=1)
 
 

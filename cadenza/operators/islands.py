@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza import schema as S
 from cadenza.functions import attraction as A
 from cadenza.functions import values as V
-from cadenza.operators.ordered import numbered
+from cadenza.operators.ordered import median, numbered
 from cadenza.sources.sinks import staged
 
 #: A declaration is written by hand; communities are found among at most so many recordings.
@@ -31,15 +33,23 @@ def audience_idf(heard: DataFrame) -> DataFrame:
     return heard.groupBy("mbid").agg(F.count("*").alias("listeners")).crossJoin(F.broadcast(users)).select("mbid", "listeners", F.log(F.col("users") / F.col("listeners")).alias("idf"))
 
 
-def cosine(heard: DataFrame) -> DataFrame:
-    """(a, b, shared, cosine): similarity of binary audiences of each pair with a common listener.
+def cosine(heard: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(a, b, shared, cosine): similarity of binary audiences of each pair with a common listener, a before b.
 
-    The pairs come from equal users, never from a cross join; a user makes pairs of declared recordings only.
+    The pairs come from equal users, never from a cross join; a user makes pairs of declared recordings only.  With
+    ``only`` (mbid) these are the pairs that hold one of its recordings.  Pairs at or above a threshold alone are
+    found by :func:`cadenza.operators.similarity.similar`, which does not make the others.
     """
     who = heard.select("mbid", "user_id").distinct()
     size = who.groupBy("mbid").agg(F.count("*").alias("n"))
-    pairs = who.alias("x").join(who.alias("y"), (F.col("x.user_id") == F.col("y.user_id")) & (F.col("x.mbid") < F.col("y.mbid")))
-    shared = pairs.groupBy(F.col("x.mbid").alias("a"), F.col("y.mbid").alias("b")).agg(F.count("*").alias("shared"))
+    if only is None:
+        x, y, once = who, who, F.col("x.mbid") < F.col("y.mbid")
+    else:
+        wanted = only.select("mbid").distinct()
+        x, y = who.join(wanted, "mbid", "left_semi"), who.join(wanted.withColumn("wanted", F.lit(True)), "mbid", "left")
+        once = (F.col("x.mbid") < F.col("y.mbid")) | (F.col("y.wanted").isNull() & (F.col("x.mbid") > F.col("y.mbid")))
+    pairs = x.alias("x").join(y.alias("y"), (F.col("x.user_id") == F.col("y.user_id")) & once)
+    shared = pairs.groupBy(F.least("x.mbid", "y.mbid").alias("a"), F.greatest("x.mbid", "y.mbid").alias("b")).agg(F.count("*").alias("shared"))
     of = lambda c: size.select(F.col("mbid").alias(c), F.col("n").alias(f"n_{c}"))
     return shared.join(of("a"), "a").join(of("b"), "b").select("a", "b", "shared", (F.col("shared") / F.sqrt(F.col("n_a") * F.col("n_b"))).alias("cosine"))
 
@@ -119,13 +129,19 @@ def _absorb_small(label: list[int], alike: list[dict[int, float]], least: int) -
             label[i] = label[min(peers)[1]] if peers else biggest
 
 
-def communities(similarity: DataFrame, nodes: DataFrame, threshold: float = S.SIMILARITY, granularity: float = S.GRANULARITY, least: int = 1) -> DataFrame:
+def communities(
+    similarity: DataFrame | Callable[[DataFrame], DataFrame], nodes: DataFrame, threshold: float = S.SIMILARITY, granularity: float = S.GRANULARITY, least: int = 1, edge: DataFrame | None = None
+) -> DataFrame:
     """(mbid, island): Louvain communities of the similarity graph, small ones absorbed if ``least`` > 1.
 
+    ``edge`` (a, b, weight) are the pairs at or above the threshold; without it they are taken from ``similarity``.
+    That is all pairs (a, b, cosine), or a function that makes those pairs that hold one of given recordings: it is
+    called only for members of communities that are too small.
+
     Louvain moves one node after another, so the graph of one declaration (at most ``MAX_DECLARED``
     recordings, which is checked) is one group in one task; several declarations would be several groups.
-    What goes there are numbers: edges at or above the threshold and, for absorbing, the ``least`` most similar
-    peers of each node.  A community that is dissolved has fewer than ``least`` members, so if a member has any
+    What goes there are numbers: edges and, for absorbing, the ``least`` most similar peers of each member of a small
+    community.  A community that is dissolved has fewer than ``least`` members, so if a member has any
     peer outside it, the best of them is among these.
     """
     import pandas as pd
@@ -134,30 +150,46 @@ def communities(similarity: DataFrame, nodes: DataFrame, threshold: float = S.SI
         raise ValueError("granularity must be positive")
     if (n := nodes.count()) > MAX_DECLARED:
         raise ValueError(f"{n} declared recordings, {MAX_DECLARED} at most")
+    if edge is None:
+        edge = edges(similarity, threshold)
     named = staged(numbered(nodes.select("mbid").distinct(), "mbid", name="node"), "nodes")
-    of = lambda c: named.select(F.col("mbid").alias(c), F.col("node").alias(f"n_{c}"))
-    pairs = staged(similarity.join(of("a"), "a").join(of("b"), "b").select(F.col("n_a").alias("a"), F.col("n_b").alias("b"), F.col("cosine").alias("weight")), "pairs")
-    linked = pairs.where(F.col("weight") >= threshold).withColumn("kind", F.lit("edge"))
-    rows = named.select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(0.0).alias("weight"), F.lit("node").alias("kind")).unionByName(linked)
+
+    def in_numbers(pairs: DataFrame, weight: str) -> DataFrame:
+        of = lambda c: named.select(F.col("mbid").alias(c), F.col("node").alias(f"n_{c}"))
+        return pairs.join(of("a"), "a").join(of("b"), "b").select(F.col("n_a").alias("a"), F.col("n_b").alias("b"), F.col(weight).alias("weight"))
+
+    own = named.select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("weight"))
+
+    def find(rows: pd.DataFrame) -> pd.DataFrame:
+        linked = rows[rows["b"].notna()].sort_values(["a", "b"])
+        size = int(rows["b"].isna().sum())
+        label = _louvain(size, [(int(a), int(b), w) for a, b, w in zip(linked["a"], linked["b"], linked["weight"], strict=True)], granularity)
+        return pd.DataFrame({"node": range(size), "island": label})
+
+    found = own.unionByName(in_numbers(edge, "weight")).groupBy(F.lit("declaration")).applyInPandas(find, "node long, island long")
     if least > 1:
-        both = pairs.where("weight > 0").unionByName(pairs.where("weight > 0").select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+        found = staged(found, "communities")
+        small = found.join(found.groupBy("island").agg(F.count("*").alias("n")).where(F.col("n") < least), "island")
+        loose = staged(small.join(named, "node").select("node", "mbid"), "loose")
+        pairs = in_numbers(similarity(loose) if callable(similarity) else similarity, "cosine").where("weight > 0")
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).join(loose.select(F.col("node").alias("a")), "a", "left_semi")
         rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("weight"), "b"))
-        rows = rows.unionByName(both.withColumn("rank", rank).where(F.col("rank") <= least).select("a", "b", "weight", F.lit("peer").alias("kind")))
+        peers = both.withColumn("rank", rank).where(F.col("rank") <= least).select("a", "b", "weight")
 
-    def find(rows: pd.DataFrame) -> pd.DataFrame:
-        of_kind = lambda kind: rows[rows["kind"] == kind].sort_values(["a", "b"])
-        size, edge, peers = int((rows["kind"] == "node").sum()), of_kind("edge"), of_kind("peer")
-        label = _louvain(size, [(int(a), int(b), w) for a, b, w in zip(edge["a"], edge["b"], edge["weight"], strict=True)], granularity)
-        if least > 1:
-            alike: list[dict[int, float]] = [{} for _ in range(size)]
-            for a, b, w in zip(peers["a"], peers["b"], peers["weight"], strict=True):
+        def absorb(rows: pd.DataFrame) -> pd.DataFrame:
+            given = rows[rows["weight"].isna()].sort_values("a")
+            alike: list[dict[int, float]] = [{} for _ in range(len(given))]
+            near = rows[rows["weight"].notna()]
+            for a, b, w in zip(near["a"], near["b"], near["weight"], strict=True):
                 alike[int(a)][int(b)] = w
-            label = _absorb_small(label, alike, least)
-        order = {c: i for i, c in enumerate(dict.fromkeys(label))}
-        return pd.DataFrame({"node": range(size), "island": [order[c] for c in label]})
+            return pd.DataFrame({"node": range(len(given)), "island": _absorb_small([int(c) for c in given["b"]], alike, least)})
 
-    found = rows.groupBy(F.lit("declaration")).applyInPandas(find, "node long, island long")
-    return found.join(named, "node").select("mbid", "island")
+        labels = found.select(F.col("node").alias("a"), F.col("island").alias("b"), F.lit(None).cast("double").alias("weight"))
+        found = labels.unionByName(peers).groupBy(F.lit("declaration")).applyInPandas(absorb, "node long, island long")
+    found = staged(found, "communities")
+    # Islands are numbered in the order of their first members: there are as many as communities.
+    first = numbered(found.groupBy("island").agg(F.min("node").alias("first")), "first", name="place")
+    return found.join(first, "island").join(named, "node").select("mbid", F.col("place").alias("island"))
 
 
 def affinity(heard: DataFrame, island: DataFrame) -> DataFrame:
@@ -190,7 +222,7 @@ def votes(plays: DataFrame, stat: DataFrame, members: DataFrame) -> DataFrame:
     Cohorts hold at most ``COHORT_SIZE`` users per island; where they are as small as that mostly makes them, Spark
     broadcasts them, and the fact table is read once without a shuffle.
     """
-    usual = stat.agg(F.median("recording").alias("usual"))
+    usual = median(stat, "recording", name="usual")
     of = members.withColumnRenamed("weight", "cohort_weight").join(stat, "user_id").crossJoin(F.broadcast(usual))
     voted = plays.join(of, "user_id")
     drawn = A.weight(F.col("plays"), F.col("center"), F.col("low"), F.col("high"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cadenza import schema as S
 from cadenza.functions import text as X
 from cadenza.functions import values as V
-from cadenza.operators.ordered import numbered
+from cadenza.operators.ordered import median, numbered
 from cadenza.sources.sinks import staged
 
 EXACT, STRIPPED = 2, 1
@@ -64,7 +64,7 @@ def old_enough(observed: DataFrame, days: int = S.MIN_AGE_DAYS) -> DataFrame:
 
 
 def median_per_q(observed: DataFrame) -> DataFrame:
-    return old_enough(observed).groupBy("q").agg(F.median("rate").alias("median"))
+    return median(old_enough(observed), "rate", ("q",))
 
 
 def nearest_q(observed: DataFrame, median: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def rating_diff(declared: DataFrame, submitted: DataFrame) -> DataFrame:
 def rating_chunks(pending: DataFrame, size: int = S.RATING_CHUNK) -> DataFrame:
     """(chunk, n, body): XML bodies of ``size`` ratings each, in the order of ids.
 
-    Numbers come from counts by leading characters, so no task sorts all ratings.
+    Numbers come from ranges of ids, so no task sorts all ratings.
     """
     from cadenza.operators.library import surrogate_keys
 
@@ -66,19 +66,63 @@ def first_success(tries: DataFrame) -> DataFrame:
     return tries.where("ok").groupBy("mbid").agg(F.min_by("url", F.struct("priority", "url")).alias("url"))
 
 
-def chase(start: DataFrame, redirect: DataFrame) -> DataFrame:
-    """(id, live): follow (id, target) until there is no target or a cycle closes, however long the chain.
+def _ends(steps: DataFrame, stops: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(found, open): follow ``steps`` (id, target) to where they end, by doubling.
 
-    Each round starts from a table and carries on only what still moves.
+    ``found`` (id, end) are ids whose way ends, at a target without a step of its own or among ``stops`` (id);
+    ``open`` (id, far) those that run in circles, with where they are after as many steps as the last round made.
+    In round k ways of up to 2^k steps end.  Every way holds all shorter ones of its targets, so once a round ends
+    none, all that are left are circular: the number of rounds is the logarithm of the longest way.
     """
-    moving = start.select("id", F.col("id").alias("live"), F.array("id").alias("seen"))
-    arrived = start.select("id", F.col("id").alias("live")).limit(0)
-    steps = redirect.select(F.col("id").alias("live"), "target")
+    last = steps.select(F.col("id").alias("target")).distinct().withColumn("goes_on", F.lit(True))
+    if stops is not None:
+        last = last.join(stops.select(F.col("id").alias("target")), "target", "left_anti")
+    moves = staged(steps.join(last, "target", "left").select("id", F.col("target").alias("far"), F.col("goes_on").isNull().alias("over")), "chase")
+    ended = []
     while True:
-        stepped = moving.join(steps, "live", "left")
-        on = F.coalesce(F.col("target").isNotNull() & ~F.array_contains("seen", F.col("target")), F.lit(False))
-        stepped = staged(stepped.withColumn("on", on), "chase")
-        arrived = arrived.unionByName(stepped.where("NOT on").select("id", "live"))
-        moving = stepped.where("on").select("id", F.col("target").alias("live"), F.concat("seen", F.array("target")).alias("seen"))
-        if moving.isEmpty():
-            return arrived
+        now = moves.where("over").select("id", F.col("far").alias("end"))
+        if now.isEmpty():
+            break
+        ended.append(now)
+        every = moves.where("NOT over").select(F.col("id").alias("far"), F.col("far").alias("further"), "over")
+        for part in ended:
+            every = every.unionByName(part.select(F.col("id").alias("far"), F.col("end").alias("further"), F.lit(True).alias("over")))
+        moves = staged(moves.where("NOT over").select("id", "far").join(every, "far").select("id", F.col("further").alias("far"), "over"), "chase")
+    found = steps.select("id", F.col("target").alias("end")).limit(0)
+    for part in ended:
+        found = found.unionByName(part)
+    return found, moves.select("id", "far")
+
+
+def _circles(open_: DataFrame) -> DataFrame:
+    """(id): the members of the circles that all of ``open_`` (id, far) lead into.
+
+    Where a number of steps leads, from all of them, is the circles and what of the ways into them is longer than
+    that; doubled, it is the circles as soon as it stays as large as it was.
+    """
+    reached, size = open_.select(F.col("far").alias("id")).distinct(), -1
+    while (now := reached.count()) != size:
+        size = now
+        onward = open_.select(F.col("id").alias("far"), F.col("far").alias("further"))
+        open_ = staged(open_.join(onward, "far").select("id", F.col("further").alias("far")), "chase")
+        reached = open_.select(F.col("far").alias("id")).distinct()
+    return reached
+
+
+def chase(start: DataFrame, redirect: DataFrame) -> DataFrame:
+    """(id, live): follow (id, target) until there is no target, or the target has been met on the way.
+
+    A way into a circle goes around it once and ends before the member where it came in; one that starts in a circle
+    ends before its start.  Chains of n links take about log n rounds, each from a table.  Of several targets of an id
+    the smallest counts; ids and targets that are null lead nowhere.
+    """
+    steps = staged(redirect.where("id IS NOT NULL AND target IS NOT NULL").groupBy("id").agg(F.min("target").alias("target")), "steps")
+    found, open_ = _ends(steps)
+    live = found.withColumnRenamed("end", "live")
+    if not open_.isEmpty():
+        ring = staged(_circles(open_), "ring")
+        before = steps.join(ring, "id", "left_semi").select(F.col("target").alias("entry"), F.col("id").alias("live"))
+        ways = steps.join(open_.select("id"), "id", "left_semi").join(ring, "id", "left_anti")
+        entries = _ends(ways, ring)[0].withColumnRenamed("end", "entry").unionByName(ring.select("id", F.col("id").alias("entry")))
+        live = live.unionByName(entries.join(before, "entry").select("id", "live"))
+    return start.select("id").join(live, "id", "left").select("id", F.coalesce("live", "id").alias("live"))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cadenza import schema as S
 from cadenza.operators import islands as I
+from cadenza.operators.similarity import similar
+from cadenza.sources.sinks import staged
 
 
 def candidates(parts: dict[str, DataFrame], declared: DataFrame, members: DataFrame, damp: float = S.POPULARITY_DAMP, least: int = S.MIN_BACKERS, k: int = S.PER_ISLAND) -> DataFrame:
@@ -18,9 +21,10 @@ def candidates(parts: dict[str, DataFrame], declared: DataFrame, members: DataFr
 
 def recommend(parts: dict[str, DataFrame], declared: DataFrame, threshold: float = S.SIMILARITY, granularity: float = S.GRANULARITY, community: int = S.MIN_COMMUNITY, damp: float = S.POPULARITY_DAMP) -> DataFrame:
     """Everything: audiences, communities, cohorts and their candidates."""
-    heard = I.audience(parts["user_plays"], parts["user_stat"], parts["recording"], declared)
+    heard = staged(I.audience(parts["user_plays"], parts["user_stat"], parts["recording"], declared), "heard")
     supported = heard.select("mbid").distinct()
-    island = I.communities(I.cosine(heard), supported, threshold, granularity, community)
+    edge = similar(heard, threshold).select("a", "b", F.col("cosine").alias("weight"))
+    island = I.communities(lambda loose: I.cosine(heard, loose), supported, threshold, granularity, community, edge)
     return candidates(parts, declared, I.cohort(I.affinity(heard, island)), damp)
 
 

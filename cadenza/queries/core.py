@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza import schema as S
@@ -10,6 +10,8 @@ from cadenza.functions import attraction as A
 from cadenza.functions import values as V
 from cadenza.operators import islands as I
 from cadenza.operators import library as L
+from cadenza.operators.ordered import median, numbered
+from cadenza.operators.similarity import similar
 from cadenza.queries.standin import Inputs, mbid, sql_mbid, with_inputs
 
 QUERIES: dict = {}
@@ -83,7 +85,7 @@ query("join_role_twice", f"WITH {_ARTIST}, edge AS (SELECT a.gid AS x, b.gid AS
     )
 )
 query("join_cross_scalar", "SELECT user_id, round(recording / (SELECT median(recording) FROM user_stat), 6) AS share FROM user_stat")(
-    lambda i: i.user_stat.crossJoin(F.broadcast(i.user_stat.agg(F.median("recording").alias("usual")))).select("user_id", F.round(F.col("recording") / F.col("usual"), 6).alias("share"))
+    lambda i: i.user_stat.crossJoin(F.broadcast(median(i.user_stat, "recording", name="usual"))).select("user_id", F.round(F.col("recording") / F.col("usual"), 6).alias("share"))
 )
 query("join_semi_pool", "SELECT user_id, mbid, plays FROM library SEMI JOIN pool USING (user_id)")(lambda i: i.library.join(i.pool, "user_id", "left_semi"))
 query("join_semi_seed", "SELECT user_id, mbid, plays FROM library SEMI JOIN declared USING (mbid)")(lambda i: i.library.join(i.declared, "mbid", "left_semi").select("user_id", "mbid", "plays"))
@@ -129,7 +131,7 @@ query("agg_user_total", "SELECT user_id, CAST(sum(recording) AS BIGINT) AS recor
     lambda i: L.occurrence(i.user_plays).groupBy("user_id").agg(F.sum("recording").alias("recording"), F.sum(F.col("plays") * F.col("recording")).alias("heard"))
 )
 query("agg_weighted_quantile", "SELECT user_id, round(center, 6) AS center, round(low, 6) AS low, round(high, 6) AS high, recording FROM user_stat")(lambda i: i.user_stat.select("user_id", r("center"), r("low"), r("high"), "recording"))
-query("agg_median", "SELECT median(recording) AS usual FROM user_stat")(lambda i: i.user_stat.agg(F.median("recording").alias("usual")))
+query("agg_median", "SELECT median(recording) AS usual FROM user_stat")(lambda i: median(i.user_stat, "recording", name="usual"))
 query("agg_filtered_count", "SELECT recording_id, island, backer FROM support")(lambda i: i.backing.select("recording_id", "island", "backer"))
 query("agg_weighted_vote", "SELECT recording_id, island, round(weight, 6) AS weight FROM support")(lambda i: i.backing.select("recording_id", "island", r("weight")))
 query("agg_group_all_having", "SELECT island, mbid, backer, listener, plays, round(score, 6) AS score FROM chosen")(lambda i: i.best.select("island", "mbid", "backer", "listener", "plays", r("score")))
@@ -156,7 +158,7 @@ query("win_surrogate_key_extend", ", held AS (SELECT row_number() OVER (ORDER BY
 query("win_running_sum", "SELECT user_id, round(x, 6) AS x, CAST(reached AS BIGINT) AS reached FROM running")(lambda i: L.running_listens(L.occurrence(i.user_plays)).select("user_id", r("x"), "reached"))
 query("win_rank_per_artist", "SELECT island, mbid, artist_mbid, CAST(rank AS INTEGER) AS rank FROM place")(lambda i: i.per_artist.select("island", "mbid", "artist_mbid", "rank"))
 query("win_rank_per_island", "SELECT island, mbid, CAST(row_number() OVER (PARTITION BY island ORDER BY score DESC, mbid) AS INTEGER) AS position FROM chosen")(
-    lambda i: i.best.select("island", "mbid", F.row_number().over(Window.partitionBy("island").orderBy(F.desc("score"), "mbid")).alias("position"))
+    lambda i: numbered(i.best, F.desc("score"), "mbid", name="position", first=1, by=("island",)).select("island", "mbid", F.col("position").cast("int").alias("position"))
 )
 query("ranked_per_island", "SELECT island, CAST(position AS INTEGER) AS position, mbid, round(score, 6) AS score, backer, listener, plays FROM shown")(lambda i: i.ranked.select("island", "position", "mbid", r("score"), "backer", "listener", "plays"))
 query("win_dedupe_name", "SELECT n_nationkey AS island, CASE WHEN t = 1 THEN name ELSE name || ' ' || t END AS name FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n_nationkey) AS t FROM (SELECT n_nationkey, 'region ' || n_regionkey AS name FROM nation))", inputs=False)(
@@ -211,7 +213,7 @@ def _(i):
 query("fn_ln_greatest", "SELECT user_id, recording_id, round(ln(greatest(plays, 1)), 6) AS x FROM user_plays")(lambda i: i.user_plays.select("user_id", "recording_id", F.round(F.log(F.greatest("plays", F.lit(1))), 6).alias("x")))
 query("fn_pow_damp", "SELECT island, mbid, round(score, 6) AS score FROM candidate")(lambda i: i.scored.select("island", "mbid", r("score")))
 query("fn_sqrt_breadth", "SELECT user_id, round(sqrt(greatest(recording, 1) / (SELECT median(recording) FROM user_stat)), 6) AS breadth FROM user_stat")(
-    lambda i: i.user_stat.crossJoin(F.broadcast(i.user_stat.agg(F.median("recording").alias("usual")))).select("user_id", F.round(V.breadth(F.col("recording"), F.col("usual")), 6).alias("breadth"))
+    lambda i: i.user_stat.crossJoin(F.broadcast(median(i.user_stat, "recording", name="usual"))).select("user_id", F.round(V.breadth(F.col("recording"), F.col("usual")), 6).alias("breadth"))
 )
 query("fn_least_greatest_coalesce_case", "SELECT o_orderkey, CAST(least(coalesce(sum(l_quantity * 1000), 0), 65535) AS INTEGER) AS plays FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1", inputs=False)(
     lambda i: i.table("orders").join(i.table("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy("o_orderkey").agg(V.saturated(F.coalesce(F.sum(F.col("l_quantity") * 1000), F.lit(0)).cast("long")).alias("plays"))
@@ -223,11 +225,19 @@ query("fn_uuid_cast", f"SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN {sql
 )
 
 # Graph.
-query("graph_edges", f"{_COSINE} SELECT a, b, round(cosine, 6) AS weight FROM cosine WHERE cosine >= 0.05")(lambda i: I.edges(I.cosine(i.heard), 0.05).select("a", "b", r("weight")))
-query("graph_louvain")(lambda i: I.communities(I.cosine(i.heard), i.heard.select("mbid").distinct(), 0.05))
-query("graph_absorb_small")(lambda i: I.communities(I.cosine(i.heard), i.heard.select("mbid").distinct(), 0.05, least=4))
+def _edges(i: Inputs, threshold: float) -> DataFrame:
+    return similar(i.heard, threshold).select("a", "b", F.col("cosine").alias("weight"))
+
+
+def _communities(i: Inputs, least: int) -> DataFrame:
+    return I.communities(lambda loose: I.cosine(i.heard, loose), i.heard.select("mbid").distinct(), 0.05, least=least, edge=_edges(i, 0.05))
+
+
+query("graph_edges", f"{_COSINE} SELECT a, b, round(cosine, 6) AS weight FROM cosine WHERE cosine >= 0.05")(lambda i: _edges(i, 0.05).select("a", "b", r("weight")))
+query("graph_louvain")(lambda i: _communities(i, 1))
+query("graph_absorb_small")(lambda i: _communities(i, 4))
 query("graph_contract", f"{_COSINE} SELECT least(x.island, y.island) AS a, greatest(x.island, y.island) AS b, round(sum(cosine), 6) AS weight FROM cosine JOIN island x ON x.mbid = a JOIN island y ON y.mbid = b WHERE cosine >= 0.02 GROUP BY 1, 2")(
-    lambda i: I.contract(I.edges(I.cosine(i.heard), 0.02), i.island.withColumnRenamed("mbid", "node")).select("a", "b", r("weight"))
+    lambda i: I.contract(_edges(i, 0.02), i.island.withColumnRenamed("mbid", "node")).select("a", "b", r("weight"))
 )
 query("graph_symmetric_closure", "SELECT artist_mbid, related_mbid FROM artist_link")(lambda i: i.artist_link)
 query("graph_one_hop", "SELECT artist_mbid FROM known")(lambda i: i.known)

@@ -11,7 +11,7 @@ from cadenza.operators import feeds as Fd
 from cadenza.operators import library as L
 from cadenza.operators import outliers as O
 from cadenza.operators import sync as Sy
-from cadenza.operators.ordered import numbered
+from cadenza.operators.ordered import median, numbered
 from cadenza.plans import index as Ix
 from cadenza.plans import recommend as R
 from cadenza.queries.standin import Inputs, mbid, sql_mbid
@@ -51,7 +51,7 @@ def _observed(i: Inputs) -> DataFrame:
 
 query("join_left_lookup", f"WITH {_OBSERVED} SELECT mbid, q, heard, days, round(rate, 6) AS rate FROM observed")(lambda i: _observed(i).select("mbid", "q", "heard", "days", r("rate")))
 query("filter_min_age", f"WITH {_OBSERVED} SELECT mbid, days FROM observed WHERE days >= 21")(lambda i: O.old_enough(_observed(i)).select("mbid", "days"))
-query("agg_median_rust", f"WITH {_OBSERVED} SELECT round(coalesce(median(rate), 0), 6) AS median FROM observed WHERE days >= 21")(lambda i: O.old_enough(_observed(i)).agg(F.round(F.coalesce(F.median("rate"), F.lit(0.0)), 6).alias("median")))
+query("agg_median_rust", f"WITH {_OBSERVED} SELECT round(coalesce(median(rate), 0), 6) AS median FROM observed WHERE days >= 21")(lambda i: median(O.old_enough(_observed(i)), "rate").select(F.round(F.coalesce("median", F.lit(0.0)), 6).alias("median")))
 query("agg_median_per_q", f"WITH {_OBSERVED} SELECT q, round(median(rate), 6) AS median FROM observed WHERE days >= 21 GROUP BY 1")(lambda i: O.median_per_q(_observed(i)).select("q", r("median")))
 query("agg_count_per_q", f"WITH {_DECLARED} SELECT q, count(*) AS n, CAST(100 * count(*) // (SELECT count(*) FROM declared) AS BIGINT) AS percent FROM declared GROUP BY 1")(
     lambda i: (lambda d: d.groupBy("q").agg(F.count("*").alias("n")).crossJoin(F.broadcast(d.agg(F.count("*").alias("all")))).select("q", "n", F.call_function("div", F.col("n") * 100, F.col("all")).alias("percent")))(_observed(i))
@@ -207,7 +207,7 @@ query("set_playlist_expand", f"WITH {_SYNC} SELECT DISTINCT playlist, mbid FROM
 query("set_diff_add", f"WITH {_DIFF} SELECT tier, mbid FROM diff WHERE action = 'add'")(lambda i: Sy.to_add(Sy.tiers(_entries(i)), _was(i), "tier"))
 query("set_diff_remove", f"WITH {_DIFF} SELECT tier, mbid FROM diff WHERE action = 'remove'")(lambda i: Sy.to_remove(Sy.tiers(_entries(i)), _was(i), "tier"))
 query("sort_sync", f"WITH {_DIFF} SELECT tier, action, mbid, CAST(row_number() OVER (PARTITION BY tier, action ORDER BY mbid) AS INTEGER) AS position FROM diff")(
-    lambda i: _tier_diff(i).withColumn("position", F.row_number().over(Window.partitionBy("tier", "action").orderBy("mbid")))
+    lambda i: numbered(_tier_diff(i), "mbid", name="position", first=1, by=("tier", "action")).withColumn("position", F.col("position").cast("int"))
 )
 query("filter_touched_group", f"WITH {_DIFF} SELECT DISTINCT tier FROM diff")(lambda i: _tier_diff(i).select("tier").distinct())
 query("report_truncate", f"""WITH {_DIFF}, listed AS (SELECT concat(tier, '/', CAST(mbid AS BIGINT) % 997) AS list, action, mbid FROM diff)
@@ -318,8 +318,8 @@ query("scan_rsync_listing", "SELECT concat('dump ', p_partkey, '.tar') AS name,
     lambda i: Rd.rsync_listing(i.table("part").select(F.when(F.col("p_partkey") % 5 == 0, "drwxr-xr-x   4,096 2024/01/01 00:00:00 .").otherwise(F.concat(F.lit("-rw-r--r-- "), F.format_number(F.col("p_partkey") * 1001, 0), F.lit(" 2024/01/01 10:00:00 dump "), F.col("p_partkey").cast("string"), F.lit(".tar"))).alias("value")))
 )
 query("agg_argmax_size", "SELECT p_brand, max_by(p_name, [p_size, p_partkey]) AS name FROM part GROUP BY 1")(lambda i: i.table("part").groupBy("p_brand").agg(F.max_by("p_name", F.struct("p_size", "p_partkey")).alias("name")))
-query("agg_argmax_number", "SELECT concat('dump-', max(event_id), '-full') AS name FROM events WHERE event_id % 3 = 0")(
-    lambda i: i.table("events").where("event_id % 3 = 0").select(F.concat(F.lit("dump-"), F.col("event_id").cast("string"), F.lit("-full")).alias("name")).agg(F.max(F.struct(F.regexp_extract("name", "-([0-9]+)-", 1).cast("long").alias("n"), "name"))["name"].alias("name"))
+query("agg_argmax_number", "SELECT concat('dump-', max(event_id), '-full') AS name FROM events")(
+    lambda i: i.table("events").select(F.concat(F.lit("dump-"), F.col("event_id").cast("string"), F.lit("-full")).alias("name")).agg(F.max(F.struct(F.regexp_extract("name", "-([0-9]+)-", 1).cast("long").alias("n"), "name"))["name"].alias("name"))
 )
 query("agg_sum_bytes", "SELECT CAST(sum(o_orderkey) AS BIGINT) AS bytes FROM orders")(lambda i: i.table("orders").agg(F.sum("o_orderkey").alias("bytes")))
 query("agg_max_bytes", "SELECT max(o_orderkey) * 4 AS bytes FROM orders")(lambda i: i.table("orders").agg((F.max("o_orderkey") * 4).alias("bytes")))
