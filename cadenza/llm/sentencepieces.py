@@ -16,7 +16,7 @@ an unchanged text but for spaces; others are refused.
 
 Edge cases: null and empty texts encode to begin and end only and decode to the empty text; texts of any length
 and script, without any place to cut too, take time in proportion; repeated rows are encoded once per row; a
-row whose ids are null decodes to the empty text; extra columns are kept.
+row whose ids are null decodes to the empty text; extra columns are kept, but the new column must have a free name.
 """
 
 from __future__ import annotations
@@ -29,12 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import columns, free_name, table
+from cadenza.llm.common import table
 
 MODEL = "piece_bpe_32k.model"
 #: U+2581 stands for a space in pieces.
 MARK = "▁"
-KEPT, KEPT_LENGTH, KEPT_PAIRS = 500_000, 48, 1_000_000
+KEPT, KEPT_LENGTH, KEPT_PAIRS = 250_000, 48, 500_000
+#: About so many bytes of results go back at once.
+SENT_BYTES = 1 << 22
+#: A pair's number is the left piece's above this factor and the right one's; both lie within half of it.
+_BASE = 1 << 22
 #: Stretches between marks up to this length are not cut further.
 _PLAIN = 64
 NEVER = float("inf")
@@ -99,7 +103,7 @@ class Encoder:
             self.automaton.add_word(piece, i)
             self.size[i] = len(piece)
         self.automaton.make_automaton()
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
         self.packed: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -121,7 +125,7 @@ class Encoder:
         a, b = (self.text.get(i) or chr(~i) if i else "" for i in (left, right))
         good = self.merged(a + b) == ([a, b] if a else [b])
         if len(self.compatible) < KEPT_PAIRS:
-            self.compatible[left, right] = good
+            self.compatible[left * _BASE + right] = good
         return good
 
     def starts(self, text: str) -> list[list[int]]:
@@ -151,7 +155,7 @@ class Encoder:
                 end = at + (size[piece] if piece > 0 else 1)
                 if any_failed and failed[end >> 3] >> (end & 7) & 1:
                     continue
-                good = known((before, piece))
+                good = known(before * _BASE + piece)
                 if check(before, piece) if good is None else good:
                     pieces.append(piece)
                     tried.append(left)
@@ -249,37 +253,51 @@ def _registered() -> None:
     codecs.register_error("broken_pieces", _broken)
 
 
-def _per_batch(make, work: str, column: str, out: str, kind: pa.DataType):
-    """An Arrow function that adds ``out``, made of ``column`` by method ``work`` of the object that ``make`` gives."""
+def _per_batch(make, work: str, column: str, out: str, kind: pa.DataType, keep: bool):
+    """An Arrow function that adds ``out``, made of ``column`` by method ``work`` of the object that ``make`` gives.
+
+    Results are sent in parts of about ``SENT_BYTES``, so a batch of long texts is not held twice.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _registered()
         call = getattr(make(), work)
         for batch in batches:
-            made = pa.array([call(x.as_py()) for x in batch.column(column)], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], [*batch.schema.names[:-1], out])
+            values, rest = batch.column(column), batch if keep else batch.drop_columns([column])
+            made, sent, held = [], 0, 0
+            for row in range(batch.num_rows):
+                made.append(call(values[row].as_py() or _NOTHING[kind]))
+                held += len(made[-1])
+                if held >= SENT_BYTES or row + 1 == batch.num_rows:
+                    part = rest.slice(sent, len(made))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, kind)], [*part.schema.names, out])
+                    made, sent, held = [], row + 1, 0
 
     return run
 
 
-def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str | None = None) -> DataFrame:
-    """``docs`` with ``out``: the text's ids, begin and end included, as packed little-endian unsigned 32-bit integers."""
-    path, given = path or model_path(), free_name(docs, "given")
-    rows = docs.select(*columns(docs), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(given))
-    schema = docs.schema.fromJson(docs.schema.jsonValue()).add(out, "binary")
-    return rows.mapInArrow(_per_batch(lambda: encoder(path), "encode", given, out, pa.binary()), schema)
+#: What a null reads as, by what is made of it.
+_NOTHING = {pa.binary(): "", pa.string(): b""}
+
+
+def _schema(df: DataFrame, dropped: str | None, out: str, kind: str):
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != dropped]).withColumn(out, F.lit(None).cast(kind)).schema
+
+
+def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str | None = None, keep: bool = True) -> DataFrame:
+    """``docs``, without the text unless ``keep``, with ``out``: the text's ids, begin and end included, as packed little-endian unsigned 32-bit integers."""
+    path = path or model_path()
+    return docs.mapInArrow(_per_batch(lambda: encoder(path), "encode", text, out, pa.binary(), keep), _schema(docs, None if keep else text, out, "binary"))
 
 
-def decode(rows: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
-    """``rows`` with ``out``: the text that packed ids say."""
-    path, given = path or model_path(), free_name(rows, "given")
-    sent = rows.select(*columns(rows), F.coalesce(F.col(f"`{ids}`"), F.lit(b"")).alias(given))
-    schema = rows.schema.fromJson(rows.schema.jsonValue()).add(out, "string")
-    return sent.mapInArrow(_per_batch(lambda: Decoder(path), "decode", given, out, pa.string()), schema)
+def decode(rows: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None, keep: bool = True) -> DataFrame:
+    """``rows``, without the ids unless ``keep``, with ``out``: the text that packed ids say."""
+    path = path or model_path()
+    return rows.mapInArrow(_per_batch(lambda: Decoder(path), "decode", ids, out, pa.string(), keep), _schema(rows, None if keep else ids, out, "string"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    said = decode(encode(docs).select("doc_id", "ids"))
+    said = decode(encode(docs, keep=False))
     n_tokens = F.call_function("div", F.octet_length("ids"), F.lit(4)).cast("long")
     return said.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
