@@ -345,9 +345,6 @@ query("stream_late_data", f"WITH {_DUMPS} SELECT name, start, covered FROM told
 query("stream_gap_repair", f"WITH {_DUMPS} SELECT name, covered AS gap_from, CASE WHEN start > covered THEN start ELSE \"end\" END AS gap_to FROM told WHERE start > covered OR (start < covered AND \"end\" > covered)")(
     lambda i: _folds(i).where("gap_to IS NOT NULL").select("name", "gap_from", "gap_to")
 )
-query("stream_pool_frozen", "SELECT user_id, event_type AS mbid, CAST(least(count(*), 65535) AS INTEGER) AS plays FROM events SEMI JOIN (SELECT c_custkey AS user_id FROM customer WHERE c_custkey % 2 = 0) USING (user_id) GROUP BY 1, 2")(
-    lambda i: L.count_plays(i.table("events").withColumnRenamed("event_type", "recording_mbid")).join(i.table("customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id")), "user_id", "left_semi")
-)
 query("stream_windows", "SELECT CAST(ts::DATE AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")(lambda i: _windowed(i))
 
 

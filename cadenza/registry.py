@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.queries import core, files, flows, text_values
+from cadenza.queries import core, files, flows, streams, text_values
 
-_MODULES = (core, text_values, flows, files)
+_MODULES = (core, text_values, flows, files, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
