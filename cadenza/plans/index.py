@@ -1,17 +1,16 @@
 """Build, absorb and open the index.
 
-A version of the index is a folder of complete tables.  Stages are skipped if their table is complete, and
-a version's folder is named by what it was made from, so a changed input never meets stale stages.  Readers
-follow the index's newest pointer, which is written last.
+Every stage of a build lies in a folder of its own, named by what it was made from (:mod:`cadenza.plans.manifest`), so a
+changed input never meets stale stages and an unchanged one is not built again.  Readers follow the index's newest
+pointer, which is written last and says where each part lies.
 
-Plays and user statistics lie in buckets of users.  A fold writes only the buckets that its dumps touch; the
-pointer says in which version's folder each bucket is.  Folders that neither the newest pointer nor the one
-before it names are deleted.
+Plays and user statistics lie in buckets of users.  A fold writes only the buckets that its dumps touch, new keys and
+new credits as parts of their own, and points to everything else where it is.  Folders that neither the newest pointer
+nor the one before it names are deleted.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,34 +20,38 @@ from cadenza import schema as S
 from cadenza.functions import values as V
 from cadenza.operators import library as L
 from cadenza.operators.ordered import running_max
+from cadenza.plans.manifest import Manifest, fingerprint, parts_of, stamp
 from cadenza.sources import sinks
 
 BUCKETED = ("user_plays", "user_stat")
 PARTS = ("recording", "recording_artist", "user_plays", "user_stat", "recording_listener", "artist_link")
 
 
-def stamp(*facts: object) -> str:
-    return hashlib.sha256(repr(facts).encode()).hexdigest()[:16]
-
-
 def build(spark: SparkSession, listens: DataFrame, declared: DataFrame, links: DataFrame, index: str, dump: str, known_own: int | None = None) -> dict:
-    """Build all parts and publish them; returns the meta record."""
-    work = f"{index}/{stamp('library', dump)}"
-    library = sinks.step(lambda: L.count_plays(listens), spark, f"{work}/library")
+    """Build what is not built yet and publish it; returns the meta record, in which ``rebuilt`` names the stages that were made.
+
+    Another own user keeps the scan of the library, its keys and its credits; other links keep all but the links.
+    """
+    made = Manifest(spark, index)
+    heard, linked = fingerprint(listens), fingerprint(links)
+    library = made.stage("library", [heard], lambda: L.count_plays(listens))
     own = L.own_user(library, declared, known_own).first()  # one row
     if own is None or own["own"] is None:
         raise ValueError("the declaration singles out no user")
-    version = f"{index}/{stamp('pooled', dump, own['own'])}"  # another own user: the library scan stays valid
     own_row = spark.createDataFrame([(own["own"],)], "own long")
-    recording = sinks.step(lambda: L.surrogate_keys(library), spark, f"{version}/recording")
-    members = sinks.step(lambda: L.pool(library, own_row), spark, f"{version}/pool")
-    if not sinks.done(spark, f"{version}/user_plays"):
-        sinks.write_buckets(L.user_plays(library, recording, members), f"{version}/user_plays")
-    sinks.step(lambda: L.artist_bridge(listens, recording), spark, f"{version}/recording_artist")
-    sinks.step(lambda: L.symmetric_links(links), spark, f"{version}/artist_link")
-    derive(spark, version)
-    buckets = {part: {b: f"{version}/{part}" for b in sinks.buckets(spark, f"{version}/{part}")} for part in BUCKETED}
-    return _publish(spark, index, version, {"dump": dump, "own": own["own"], "reached": None, "gap": [], "absorbed": 0, "buckets": buckets, "held": []})
+    recording = made.stage("recording", ["library"], lambda: L.surrogate_keys(library))
+    members = made.stage("pool", ["library", f"own {own['own']}"], lambda: L.pool(library, own_row))
+    plays = made.stage("user_plays", ["library", "recording", "pool"], lambda: L.user_plays(library, recording, members), sinks.write_buckets, S.USER_PLAYS)
+    made.stage("user_stat", ["user_plays"], lambda: L.user_stat(plays), sinks.write_buckets, S.USER_STAT)
+    made.stage("recording_listener", ["user_plays"], lambda: L.recording_listener(plays))
+    made.stage("recording_artist", [heard, "recording"], lambda: L.artist_bridge(listens, recording))
+    made.stage("artist_link", [linked], lambda: L.symmetric_links(links))
+    version = made.version(PARTS)
+    buckets = {part: {b: made.folder(part) for b in sinks.buckets(spark, made.folder(part))} for part in BUCKETED}
+    parts = {part: [made.folder(part)] for part in PARTS if part not in BUCKETED}
+    stages = [made.folder(stage) for stage in ("library", "pool")]
+    meta = {"dump": dump, "own": own["own"], "reached": None, "gap": [], "absorbed": 0, "buckets": buckets, "parts": parts, "stages": stages, "held": []}
+    return _publish(spark, index, version, meta) | {"rebuilt": [stage for stage, fresh in made.built.items() if fresh]}
 
 
 def derive(spark: SparkSession, version: str) -> None:
@@ -62,25 +65,34 @@ def derive(spark: SparkSession, version: str) -> None:
 def _part(spark: SparkSession, meta: dict, part: str, only: Sequence[str] | None = None) -> DataFrame:
     """A part of the published version; of a bucketed one all buckets, or those of ``only``."""
     if part not in BUCKETED:
-        return spark.read.parquet(f"{meta['version']}/{part}")
+        return spark.read.parquet(*meta["parts"][part])
     found = [f"{folder}/bucket={b}" for b, folder in sorted(meta["buckets"][part].items()) if only is None or b in only]
     schema = S.USER_PLAYS if part == "user_plays" else S.USER_STAT
     return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
 
 
+def _folders(index: str, meta: dict) -> set[str]:
+    """The folders of the index that a meta record names."""
+    places = [meta["version"], *meta["stages"], *(f for of in meta["parts"].values() for f in of), *(f for of in meta["buckets"].values() for f in of.values())]
+    return {f"{index}/{place.removeprefix(index).lstrip('/').split('/')[0]}" for place in places}
+
+
 def _publish(spark: SparkSession, index: str, version: str, meta: dict) -> dict:
-    held = sorted({*meta["held"], version})
-    meta = meta | {"version": version, "held": held}
-    meta |= {p: _part(spark, meta, p).count() for p in ("recording", "user_plays", "user_stat")}
     before = sinks.meta(spark, index)
-    named = {folder for m in (meta, before) if m for folder in (m["version"], *(f.rpartition("/")[0] for part in m["buckets"].values() for f in part.values()))}
-    sinks.publish(spark, index, version, meta | {"held": sorted(named & {*held, version})})
+    meta = meta | {"version": version}
+    mine = _folders(index, meta)
+    held = sorted({*meta["held"], *(before["held"] if before else ()), *mine})
+    meta |= {p: _part(spark, meta, p).count() for p in ("recording", "user_plays", "user_stat")}
+    named = mine | (_folders(index, before) if before else set())
+    meta["held"] = sorted(named & set(held))
+    sinks.publish(spark, index, version, meta)
     sinks.delete(spark, *(folder for folder in held if folder not in named))
     return meta
 
 
 def completeness(spark: SparkSession, version: str) -> str:
-    have = {p for p in PARTS if sinks.done(spark, f"{version}/{p}")}
+    places = parts_of(spark, version)
+    have = {p for p in PARTS if (sinks.complete(spark, places[p]) if p in places else sinks.done(spark, f"{version}/{p}"))}
     if set(PARTS) <= have:
         return "built"
     if {"recording", "recording_artist", "user_plays"} <= have:
@@ -137,8 +149,12 @@ def absorb_all(spark: SparkSession, delta: DataFrame, index: str, dumps: Sequenc
     windows = F.broadcast(spark.createDataFrame([(r["start"], r["end"]) for r in folded], "start long, end long").distinct())
     rows = delta.join(windows, ["start", "end"], "left_semi").drop("start", "end")
     plays = sinks.staged(L.count_plays(rows), "delta")
-    # Ids that were given never move, so a retried fold must find the same table of ids.
-    recording = sinks.step(lambda: L.extend_keys(old["recording"], plays.select("mbid").distinct()), spark, f"{version}/recording")
+    # Ids that were given never move, so a retried fold must find the same table of new ids.
+    taken = old["recording"].agg(F.coalesce(F.max("recording_id"), F.lit(0))).first()[0]
+    sinks.step(lambda: L.extend_keys(old["recording"], plays.select("mbid").distinct()).where(F.col("recording_id") > taken), spark, f"{version}/recording")
+    parts = {part: list(of) for part, of in meta["parts"].items()}
+    parts["recording"].append(f"{version}/recording")
+    recording = spark.read.parquet(*parts["recording"])
     frozen = sinks.staged(L.user_plays(plays, recording, old["user_stat"]), "frozen")  # the pool admits nobody new
     touched = [str(r["bucket"]) for r in frozen.select(V.bucket(F.col("user_id")).alias("bucket")).distinct().collect()]  # at most as many as there are buckets
     was = _part(spark, meta, "user_plays", touched)
@@ -155,11 +171,12 @@ def absorb_all(spark: SparkSession, delta: DataFrame, index: str, dumps: Sequenc
         less = L.recording_listener(was).select("recording_id", (-F.col("listener")).alias("listener"), (-F.col("plays")).alias("plays"))
         sums = old["recording_listener"].unionByName(less).unionByName(L.recording_listener(now)).groupBy("recording_id").agg(F.sum("listener").alias("listener"), F.sum("plays").alias("plays"))
         sinks.step(lambda: sums.where("listener > 0"), spark, f"{version}/recording_listener")
-    else:
-        sinks.step(lambda: old["recording_listener"], spark, f"{version}/recording_listener")
-    sinks.step(lambda: old["recording_artist"].unionByName(L.artist_bridge(rows, recording)).distinct(), spark, f"{version}/recording_artist")
-    sinks.step(lambda: old["artist_link"], spark, f"{version}/artist_link")
-    return _publish(spark, index, version, meta | {"absorbed": meta["absorbed"] + len(folded), "buckets": buckets})
+        parts["recording_listener"] = [f"{version}/recording_listener"]
+    credits = L.artist_bridge(rows, recording)
+    known = old["recording_artist"].join(credits.select("recording_id").distinct(), "recording_id", "left_semi")
+    sinks.step(lambda: credits.join(known, ["recording_id", "artist_mbid"], "left_anti"), spark, f"{version}/recording_artist")
+    parts["recording_artist"].append(f"{version}/recording_artist")
+    return _publish(spark, index, version, meta | {"absorbed": meta["absorbed"] + len(folded), "buckets": buckets, "parts": parts})
 
 
 def pending(dumps: DataFrame, covered: int) -> DataFrame:

@@ -69,6 +69,27 @@ def _(i: Inputs) -> DataFrame:
     return i.spark.createDataFrame(told, "step int, state string")
 
 
+@query("invalidate_on_stamp", with_inputs(""", some AS (SELECT * FROM listens WHERE part % 2 = 0), link AS (SELECT * FROM artist_link)
+SELECT step, part, rebuilt, CAST(n AS BIGINT) AS n FROM (
+  SELECT step, 'recording' AS part, step IN (0, 2) AS rebuilt, CASE WHEN step < 2 THEN (SELECT count(DISTINCT recording_mbid) FROM some) ELSE (SELECT count(DISTINCT recording_mbid) FROM listens) END AS n FROM range(4) t(step)
+  UNION ALL SELECT step, 'recording_artist', step IN (0, 2), CASE WHEN step < 2 THEN (SELECT count(*) FROM (SELECT DISTINCT recording_mbid, unnest(credits) FROM some)) ELSE (SELECT count(*) FROM (SELECT DISTINCT recording_mbid, unnest(credits) FROM listens)) END FROM range(4) t(step)
+  UNION ALL SELECT step, 'artist_link', step IN (0, 3), CASE WHEN step < 3 THEN (SELECT count(*) FROM link) ELSE (SELECT count(*) FROM link WHERE artist_mbid LIKE '%ECONOMY%') END FROM range(4) t(step))"""))
+def _(i: Inputs) -> DataFrame:
+    """Four builds under one dump's name: the rows of even parts, the same again, all rows, and other links.
+
+    Each says which parts were built again, and how many rows they have.
+    """
+    index, told = _place(i, "index"), []
+    listens = Sk.staged(i.listens.select("user_id", "recording_mbid", "artist_credit_mbids", "part"), "listens")
+    links = Sk.staged(i.artist_link, "links")
+    some, fewer = listens.where("part % 2 = 0"), links.where("artist_mbid LIKE '%ECONOMY%' AND related_mbid LIKE '%ECONOMY%'")
+    for step, (heard, linked) in enumerate(((some, links), (some, links), (listens, links), (listens, fewer))):
+        meta = Ix.build(i.spark, heard.drop("part"), i.declared, linked, index, "20240101000000", known_own=1)
+        parts = Ix.open_index(i.spark, index)
+        told += [(step, part, part in meta["rebuilt"], parts[part].count()) for part in ("recording", "recording_artist", "artist_link")]
+    return i.spark.createDataFrame(told, "step int, part string, rebuilt boolean, n long")
+
+
 @query("scan_tsv", "SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 5 <> 0 THEN concat('\"', c_name) END AS gid FROM customer")
 def _(i: Inputs) -> DataFrame:
     place = _place(i, "tsv")

@@ -28,6 +28,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def complete(spark: SparkSession, path: str) -> bool:
+    """A table written by ``write_atomic`` is complete as soon as it has its name and its committer's mark."""
+    return exists(spark, f"{path}/_SUCCESS")
+
+
 def done(spark: SparkSession, path: str) -> bool:
     """A table is complete if its committer said so and its schema can be read."""
     if not exists(spark, f"{path}/_SUCCESS"):
@@ -39,15 +44,25 @@ def done(spark: SparkSession, path: str) -> bool:
 
 
 def write_atomic(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """zstd parquet under a temporary name, renamed when complete; a failure leaves no table of that name."""
+    """zstd parquet under a temporary name, renamed when complete; a failure leaves the table of that name that there was, or none.
+
+    The table before makes way by a rename and is deleted when the new one is in place.
+    """
     spark = df.sparkSession
     part = f"{path}.writing-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(part)
     fs, target = _hadoop(spark, path)
-    fs.delete(target, True)
+    old = _hadoop(spark, f"{path}.old-{uuid.uuid4().hex}")[1]
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):
+        raise OSError(f"cannot replace {path}")
     if not fs.rename(_hadoop(spark, part)[1], target):
+        if had:
+            fs.rename(old, target)  # as it was
         raise OSError(f"cannot publish {path}")
+    if had:
+        fs.delete(old, True)
 
 
 def step(df_of, spark: SparkSession, path: str, **kw) -> DataFrame:
@@ -57,20 +72,23 @@ def step(df_of, spark: SparkSession, path: str, **kw) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: The folder of a session on one machine that names none: one per process, since a running session's setting cannot be changed.
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset and the session runs on one machine (tests), a folder of our own is made and set.
+    Only where that is unset and the session runs on one machine (tests), a folder of our own is made and kept here.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        own = tempfile.mkdtemp(prefix="cadenza-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        folder = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="cadenza-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+        folder = f"file://{_own[0]}"
     return folder.rstrip("/")
 
 
@@ -124,7 +142,7 @@ def delete(spark: SparkSession, *paths: str) -> None:
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small new file, written under a temporary name first: it is whole or absent."""
     fs, target = _hadoop(spark, path)
-    _, part = _hadoop(spark, f"{path}.writing")
+    _, part = _hadoop(spark, f"{path}.writing-{uuid.uuid4().hex}")
     out = fs.create(part, True)
     out.write(bytearray(text.encode()))
     out.close()
