@@ -69,10 +69,10 @@ def _(i: Inputs) -> DataFrame:
     return i.spark.createDataFrame(told, "step int, state string")
 
 
-@query("invalidate_on_stamp", with_inputs(""", some AS (SELECT * FROM listens WHERE part % 2 = 0), link AS (SELECT * FROM artist_link)
+@query("invalidate_on_stamp", with_inputs(""", half AS (SELECT * FROM listens WHERE part % 2 = 0), link AS (SELECT * FROM artist_link)
 SELECT step, part, rebuilt, CAST(n AS BIGINT) AS n FROM (
-  SELECT step, 'recording' AS part, step IN (0, 2) AS rebuilt, CASE WHEN step < 2 THEN (SELECT count(DISTINCT recording_mbid) FROM some) ELSE (SELECT count(DISTINCT recording_mbid) FROM listens) END AS n FROM range(4) t(step)
-  UNION ALL SELECT step, 'recording_artist', step IN (0, 2), CASE WHEN step < 2 THEN (SELECT count(*) FROM (SELECT DISTINCT recording_mbid, unnest(credits) FROM some)) ELSE (SELECT count(*) FROM (SELECT DISTINCT recording_mbid, unnest(credits) FROM listens)) END FROM range(4) t(step)
+  SELECT step, 'recording' AS part, step IN (0, 2) AS rebuilt, CASE WHEN step < 2 THEN (SELECT count(DISTINCT recording_mbid) FROM half) ELSE (SELECT count(DISTINCT recording_mbid) FROM listens) END AS n FROM range(4) t(step)
+  UNION ALL SELECT step, 'recording_artist', step IN (0, 2), CASE WHEN step < 2 THEN (SELECT count(*) FROM (SELECT DISTINCT recording_mbid, unnest(credits) FROM half)) ELSE (SELECT count(*) FROM (SELECT DISTINCT recording_mbid, unnest(credits) FROM listens)) END FROM range(4) t(step)
   UNION ALL SELECT step, 'artist_link', step IN (0, 3), CASE WHEN step < 3 THEN (SELECT count(*) FROM link) ELSE (SELECT count(*) FROM link WHERE artist_mbid LIKE '%ECONOMY%') END FROM range(4) t(step))"""))
 def _(i: Inputs) -> DataFrame:
     """Four builds under one dump's name: the rows of even parts, the same again, all rows, and other links.
