@@ -2,14 +2,16 @@
 
 A source's target divided by its words is the number of times each of its documents should be taken.
 The whole part is taken outright; the rest is a fractional probability ``p`` per document, and documents
-carry the mass ``size * p``.  Two fractional documents are paired: mass is moved from one to the other, in
-a random direction chosen so that each keeps its expected probability, until one of the two is taken
-whole or not at all.  The pair's residual meets the next document.  Mass is only moved, never made, so a
-source's taken words differ from its target by less than its last residual document.
+carry the mass ``size * p``.  Of the fractional documents the largest is settled first: chance decides by ``p``
+whether it is taken, and the mass that this asks for or sets free is transferred from or to its smaller partners, each
+in the share that keeps its expected probability.  Then the next largest is settled, and so on.  Mass is only moved,
+never made, so what is left at the end is a part of one of the smallest documents.
 
-The pairs form a reduction tree: documents are dealt by hash into groups of about ``FAN_IN``, each group
-is settled by a fold down to one residual, and the residuals of a source go through the same step until
-a source has one group left.  No group ever grows with its source.
+The transfers form a reduction tree: documents are dealt by hash into groups of about ``FAN_IN``, each group
+is settled down to one residual, and the residuals of a source go through the same step until
+a source has one group left.  No group ever grows with its source.  Where a document is so large that its partners
+together cannot make up for it (a source of few documents), expectations give way to the target: it goes the way
+that ends nearer.
 
 Equal rows form a class, which is one document of that tree: it takes its rows' copies together, and they share
 them evenly.  So a row that is repeated a million times is one member of one group.
@@ -22,9 +24,9 @@ seed, so reruns agree.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import columns, comparable, each_of, free_name, marks, materialize, sieve, split, table
@@ -66,33 +68,70 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: fl
     return ranked.select("source", "source_size", F.least(target, F.col("limit")).alias("target"))
 
 
-#: Settle one group: a fold over its members, largest first, that carries the one fractional document.
-#: rest is the carried document (null: none), done the settled ones.
-_FOLD = """
-aggregate(members, named_struct('rest', cast(null AS {item}), 'done', cast(array() AS array<{item}>)), (acc, x) ->
-  CASE WHEN acc.rest IS NULL THEN named_struct('rest', x, 'done', acc.done)
-  ELSE aggregate(array(named_struct('r', acc.rest, 'x', x, 'up', least(acc.rest.size * (1 - acc.rest.p), x.size * x.p), 'down', least(acc.rest.size * acc.rest.p, x.size * (1 - x.p)))), acc, (unused, d) ->
-    CASE WHEN x.u * (d.up + d.down) < d.down THEN
-      {up} ELSE {down} END) END)
-"""
+#: Probabilities this near to 0 or 1 are that.
+_NEAR = 1e-9
 
 
-def _settled(which: str, p: str) -> str:
-    """The document ``which`` with its probability replaced."""
-    return f"named_struct('size', {which}.size, 'p', cast({p} AS double), 'u', {which}.u, 'id', {which}.id)"
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
 
 
-def _fold_sql(item: str) -> str:
-    # Moving `up` from x to the rest: either the rest becomes 1 or x becomes 0; `down` the other way round.
-    def moved(full_if: str, first: str, first_p: str, second_p: str, second: str, other_end: str, first_end: str) -> str:
-        return (
-            f"CASE WHEN {full_if} THEN named_struct('rest', {_settled(second, second_p)}, 'done', concat(acc.done, array({_settled(first, first_end)})))"
-            f" ELSE named_struct('rest', {_settled(first, first_p)}, 'done', concat(acc.done, array({_settled(second, other_end)}))) END"
-        )
+def _pivot(items: Column, i: Column, last: Column) -> Column:
+    """The members of a group, largest first, after the i-th was settled against all behind it.
 
-    up = moved("d.r.size * (1 - d.r.p) <= d.x.size * d.x.p", "d.r", "d.r.p + d.up / d.r.size", "d.x.p - d.up / d.x.size", "d.x", "0", "1")
-    down = moved("d.r.size * d.r.p <= d.x.size * (1 - d.x.p)", "d.r", "d.r.p - d.down / d.r.size", "d.x.p + d.down / d.x.size", "d.x", "1", "0")
-    return _FOLD.format(item=item, up=up, down=down)
+    Taking it whole asks for size * (1 - p) of the others' mass, leaving it out gives them size * p.  Where the
+    others can do either in the shares that keep everyone's expectation, chance decides by p.  Where they can do either
+    only otherwise, chance decides still and they give or take in proportion to what they have or lack.  Where they
+    cannot, they go as far as they can, and the member stays open; in a source's last group it then goes the way
+    that ends nearer to the target.
+    """
+    zero = F.lit(0.0)
+    me, others = F.element_at(items, i), F.slice(items, i + 1, F.size(items))
+    total = lambda part: F.aggregate(others, zero, lambda acc, x: acc + x["size"] * part(x))
+    even = lambda x, p: F.least(x["p"], (1 - x["p"]) * (1 - p) / p)
+
+    def settled(f: Column) -> Column:
+        p, size = f["me"]["p"], f["me"]["size"].cast("double")
+        up, down = size * (1 - p), size * p
+        fair, able = f["cap"] >= up, (f["low"] >= up) & (f["room"] >= down)
+        chance = f["me"]["u"] < F.when(fair | able, p).otherwise(f["room"] / F.greatest(f["low"] + f["room"], F.lit(_NEAR)))
+        rises = F.when(~(fair | able) & last, up - f["low"] <= down - f["room"]).otherwise(chance)
+        moved = F.when(rises, F.least(up, F.when(fair, up).otherwise(f["low"]))).otherwise(F.least(down, F.when(fair, down).otherwise(f["room"])))
+
+        def with_all(g: Column) -> Column:
+            def shifted(x: Column) -> Column:
+                # Fair shares: a member that gives a share on the way up takes p / (1 - p) of it on the way down.
+                step = F.when(fair, even(x, p) * F.when(g["rises"], -up / f["cap"]).otherwise(p / (1 - p) * up / f["cap"])).otherwise(
+                    F.when(g["rises"], -x["p"] * g["moved"] / F.greatest(f["low"], F.lit(_NEAR))).otherwise((1 - x["p"]) * g["moved"] / F.greatest(f["room"], F.lit(_NEAR)))
+                )
+                return x.withField("p", _snapped(x["p"] + F.when((x["p"] > 0) & (x["p"] < 1), step).otherwise(zero)))
+
+            own = _snapped(p + F.when(g["rises"], g["moved"]).otherwise(-g["moved"]) / size)
+            ended = F.when(last, F.when(g["rises"], 1.0).otherwise(0.0)).otherwise(own)
+            return F.concat(F.slice(items, F.lit(1), i - 1), F.array(f["me"].withField("p", ended)), F.transform(others, shifted))
+
+        return F.when((p > 0) & (p < 1), _let(F.struct(rises.alias("rises"), moved.alias("moved")), with_all)).otherwise(items)
+
+    # Members that are settled have nothing to give and no room: their p is 0 or 1.
+    open_ = lambda x: (x["p"] > 0) & (x["p"] < 1)
+    p = F.greatest(F.least(me["p"], F.lit(1 - _NEAR)), F.lit(_NEAR))
+    facts = F.struct(
+        me.alias("me"),
+        total(lambda x: F.when(open_(x), even(x, p)).otherwise(zero)).alias("cap"),
+        total(lambda x: F.when(open_(x), x["p"]).otherwise(zero)).alias("low"),
+        total(lambda x: F.when(open_(x), 1 - x["p"]).otherwise(zero)).alias("room"),
+    )
+    return _let(facts, settled)
+
+
+def _snapped(p: Column) -> Column:
+    return F.when(p < _NEAR, 0.0).when(p > 1 - _NEAR, 1.0).otherwise(p)
+
+
+def settled_group(members: Column, last: Column) -> Column:
+    """The members (size, p, u, id), largest first, of which one at most stays open, and none if ``last``."""
+    return F.aggregate(F.sequence(F.lit(1), F.size(members)), members, lambda items, i: _pivot(items, i, last))
 
 
 def rounded(items: DataFrame, seed: int = SEED, fan_in: int = FAN_IN) -> DataFrame:
@@ -100,7 +139,6 @@ def rounded(items: DataFrame, seed: int = SEED, fan_in: int = FAN_IN) -> DataFra
 
     ``item`` is a struct (size, p, u, id).  Items with p of 0 or 1 or without size are passed through.
     """
-    kind = items.schema["item"].dataType.simpleString()
     open_ = (F.col("item.p") > 0) & (F.col("item.p") < 1) & (F.col("item.size") > 0)
     out = items.where(~open_)
     left, level = items.where(open_), 0
@@ -112,17 +150,12 @@ def rounded(items: DataFrame, seed: int = SEED, fan_in: int = FAN_IN) -> DataFra
             "grp", F.pmod(F.xxhash64(F.col("item.id"), F.col("item.size"), F.col("item.u"), F.lit(seed + level)), groups)
         )
         dealt = dealt.withColumn("item", F.col("item").withField("u", F.shiftrightunsigned(F.xxhash64("item.id", F.lit(seed + level)), 11) / F.lit(float(1 << 53))))
-        grouped = dealt.groupBy("source", "grp").agg(F.sort_array(F.collect_list("item"), asc=False).alias("members"))
-        folded = materialize(grouped.select("source", F.expr(_fold_sql(kind)).alias("f")), "rounded")
-        out = out.unionByName(folded.select("source", F.explode("f.done").alias("item")))
-        rest = folded.where("f.rest IS NOT NULL").select("source", F.col("f.rest").alias("item"))
-        snapped = F.when(F.col("item.p") < 1e-9, 0.0).when(F.col("item.p") > 1 - 1e-9, 1.0).otherwise(F.col("item.p"))
-        rest = rest.withColumn("item", F.col("item").withField("p", snapped))
-        if largest <= fan_in:  # a source's last residual is one Bernoulli draw
-            last = F.when(F.xxhash64(F.col("item.id"), F.lit(seed)) / F.lit(2.0**64) + 0.5 < F.col("item.p"), 1.0).otherwise(0.0)
-            return out.unionByName(rest.withColumn("item", F.col("item").withField("p", last)))
-        out = out.unionByName(rest.where(~open_))
-        left, level = rest.where(open_), level + 1
+        grouped = dealt.groupBy("source", "grp").agg(F.sort_array(F.collect_list("item"), asc=False).alias("members"), (F.max("n") <= fan_in).alias("last"))
+        folded = materialize(grouped.select("source", F.explode(settled_group(F.col("members"), F.col("last"))).alias("item")), "rounded")
+        out = out.unionByName(folded.where(~open_))
+        if largest <= fan_in:  # every source had its last group
+            return out
+        left, level = folded.where(open_), level + 1
 
 
 def _classes(docs: DataFrame, weights: Sequence[float], max_repeat: float, seed: int, fan_in: int) -> tuple[DataFrame, DataFrame]:

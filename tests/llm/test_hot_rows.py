@@ -39,33 +39,66 @@ def test_many_equal_rows_share_their_copies(spark):
     assert all(r["n"] == r["slots"] == r["high"] + 1 and r["low"] == 0 for r in slots)
 
 
-def fold(members, draws):
-    """The pivotal fold of one group, document by document; draws[i] is the uniform number of the i-th member."""
-    done, rest = {}, None
-    for i, (name, size, p) in enumerate(members):
-        if rest is None:
-            rest = [name, size, p]
+def settle(members, last):
+    """One group, largest first, as the docstring tells it: [size, p, u] of each member, p changed in place."""
+
+    def near(p):
+        return 0.0 if p < 1e-9 else 1.0 if p > 1 - 1e-9 else p
+
+    for i, (size, p, u) in enumerate(members):
+        if not 0 < p < 1:
+            continue
+        others = [x for x in members[i + 1 :] if 0 < x[1] < 1]
+        fair = [min(x[1], (1 - x[1]) * (1 - p) / p) for x in others]
+        cap, low, room = sum(x[0] * f for x, f in zip(others, fair, strict=True)), sum(x[0] * x[1] for x in others), sum(x[0] * (1 - x[1]) for x in others)
+        up, down = size * (1 - p), size * p
+        if cap >= up:
+            rises = u < p
+            for x, f in zip(others, fair, strict=True):
+                x[1] = near(x[1] + f * (-up / cap if rises else p / (1 - p) * up / cap))
+            members[i][1] = 1.0 if rises else 0.0
             continue
-        up, down = min(rest[1] * (1 - rest[2]), size * p), min(rest[1] * rest[2], size * (1 - p))
-        mass = up if draws[i] * (up + down) < down else -down
-        a, b = rest[2] + mass / rest[1], p - mass / size
-        first_ends = (rest[1] * (1 - rest[2]) <= size * p) if mass > 0 else (rest[1] * rest[2] <= size * (1 - p))
-        if first_ends:
-            done[rest[0]], rest = round(a), [name, size, b]
-        else:
-            done[name], rest = round(b), [rest[0], rest[1], a]
-    return done, rest
-
-
-def test_the_fold_equals_a_plain_loop(spark):
-    rng = np.random.default_rng(4)
-    members = sorted([(int(rng.integers(1, 50)), float(rng.uniform(0.05, 0.95)), float(rng.uniform()), (i, i)) for i in range(40)], reverse=True)
-    kind = "size bigint, p double, u double, id struct<k1: bigint, k2: bigint>"
-    item = spark.createDataFrame([(s, p, u, i) for s, p, u, i in members], kind).select(F.struct("size", "p", "u", "id").alias("item"))
-    got = item.groupBy().agg(F.sort_array(F.collect_list("item"), asc=False).alias("members")).select(F.expr(mixing._fold_sql(item.schema["item"].dataType.simpleString())).alias("f")).first()["f"]
-    done, rest = fold([(i[0], s, p) for s, p, _, i in members], [u for _, _, u, _ in members])
-    assert {d["id"]["k1"]: d["p"] for d in got["done"]} == done
-    assert (got["rest"]["id"]["k1"], got["rest"]["p"]) == (rest[0], pytest.approx(rest[2]))
+        able = low >= up and room >= down
+        rises = u < p if able else up - low <= down - room if last else u < room / max(low + room, 1e-9)
+        moved = min(up, low) if rises else min(down, room)
+        for x in others:
+            x[1] = near(x[1] - x[1] * moved / low if rises else x[1] + (1 - x[1]) * moved / room)
+        members[i][1] = float(rises) if last else near(p + moved / size * (1 if rises else -1))
+
+
+@pytest.mark.parametrize("last", [False, True])
+def test_a_group_is_settled_as_a_plain_loop_does(spark, last):
+    rng = np.random.default_rng(4 + last)
+    kind = "g int, size bigint, p double, u double, id int"
+    groups = {g: sorted([[int(rng.integers(1, 400) ** 2 // 900 + 1), float(rng.uniform(0.05, 0.95)), float(rng.uniform()), i] for i in range(1 + g)], reverse=True) for g in range(25)}
+    items = spark.createDataFrame([(g, *m) for g, members in groups.items() for m in members], kind).select("g", F.struct("size", "p", "u", "id").alias("item"))
+    settled = items.groupBy("g").agg(mixing.settled_group(F.sort_array(F.collect_list("item"), asc=False), F.lit(last)).alias("all")).collect()
+    for r in settled:
+        members = [m[:3] for m in groups[r["g"]]]
+        mass = sum(m[0] * m[1] for m in members)
+        settle(members, last)
+        assert [x["p"] for x in r["all"]] == pytest.approx([m[1] for m in members])
+        assert sum(0 < m[1] < 1 for m in members) <= (0 if last else 1)
+        assert last or sum(m[0] * m[1] for m in members) == pytest.approx(mass)
+
+
+def test_settling_keeps_expectations(spark):
+    """A group whose small members can make up for its large one: each is taken as often as its p says."""
+    sizes = [300, *[10 + i for i in range(40)]]
+    items = spark.range(3000).select(F.col("id").alias("g"), F.posexplode(F.array(*map(F.lit, sizes))).alias("k", "size"))
+    item = F.struct(F.col("size").cast("long").alias("size"), F.lit(0.3).alias("p"), F.rand(5).alias("u"), F.col("k").alias("id"))
+    drawn = items.select("g", item.alias("item")).groupBy("g").agg(mixing.settled_group(F.sort_array(F.collect_list("item"), asc=False), F.lit(True)).alias("all"))
+    got = {r["k"]: r["mean"] for r in drawn.select(F.explode("all").alias("x")).groupBy(F.col("x.id").alias("k")).agg(F.avg("x.p").alias("mean")).collect()}
+    assert got[0] == pytest.approx(0.3, abs=0.03) and all(got[k] == pytest.approx(0.3, abs=0.05) for k in range(12, 41))
+    # The few smallest settle what is left, so theirs may be off; what all take together is not.
+    assert sum(size * got[k] for k, size in enumerate(sizes)) == pytest.approx(0.3 * sum(sizes), rel=0.01)
+
+
+@pytest.mark.parametrize(("folder", "most"), [("sf0.01", 0.02), ("sf0.1", 0.01)])
+def test_every_source_is_near_its_target(spark, folder, most):
+    docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")
+    got = mixing.report(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert len(got) > 10 and all(abs(r["taken"] - r["target"]) <= most * r["target"] for r in got)
 
 
 def test_one_component_of_many_nodes(spark):
