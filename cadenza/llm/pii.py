@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import heapq
 import math
 import re
 import zlib
@@ -72,7 +73,8 @@ _WIDE = {
 #: What may stand inside a base run that fails as a whole.
 _CARD_INSIDE = re.compile(r"(?<![0-9])(?:[0-9]{12,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])")
 _GROUP_END = re.compile(r"[0-9](?=[^0-9]|$)")
-_MAY = {"email": re.compile(r"[@＠]|[\[({ ]at[\])} ]", re.IGNORECASE), "ip": re.compile(r"[0-9](?:\[\.\]|\(\.\)| \. )[0-9]"), "card": re.compile(r"[0-9]{4}[ ./_-]{1,2}[0-9]{4}"), "phone": re.compile(r"\(0?[0-9]{2,4}\)|(?<![0-9])0[0-9]")}
+#: What a text must hold for any of the wide spellings; " at " alone, which most texts hold, needs a " dot " behind it.
+_MAY = {"email": re.compile(r"[\[({]at[\])}]|＠| @ | dot ", re.IGNORECASE), "ip": re.compile(r"[0-9](?:\[\.\]|\(\.\)| \. )[0-9]"), "card": re.compile(r"[0-9]{4}[ ./_-]{1,2}[0-9]{4}"), "phone": re.compile(r"\(0?[0-9]{2,4}\)|(?<![0-9])0[0-9]")}
 
 #: Words that speak for a kind, words that speak against any, and gazetteers.
 _FOR = {
@@ -124,13 +126,29 @@ def base_runs(kind: str, text: str) -> tuple[list[tuple[int, int]], list[tuple[i
     return spans, failed
 
 
-def _inside(kind: str, text: str, start: int, end: int, others: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans inside a failed run; ``others`` are base spans of other kinds."""
+class _Spans:
+    """Disjoint spans in order, to be asked for those that meet a stretch: two bisections, however many there are."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.ends = [s for s, _ in spans], [e for _, e in spans]
+
+    def meet(self, start: int, end: int) -> bool:
+        at = bisect.bisect_right(self.ends, start)
+        return at < len(self.starts) and self.starts[at] < end
+
+    def next_start(self, start: int, end: int) -> int:
+        """The first start behind ``start``, at most ``end``."""
+        at = bisect.bisect_right(self.starts, start)
+        return min(end, self.starts[at]) if at < len(self.starts) else end
+
+
+def _inside(kind: str, text: str, start: int, end: int, others: list[_Spans]) -> list[tuple[int, int]]:
+    """Spans inside a failed run; ``others`` are the base spans of each other kind."""
     if kind == "card":
-        return [m.span() for m in _CARD_INSIDE.finditer(text, start, end) if valid(kind, m[0]) and not any(s < m.end() and m.start() < e for s, e in others)]
+        return [m.span() for m in _CARD_INSIDE.finditer(text, start, end) if valid(kind, m[0]) and not any(o.meet(*m.span()) for o in others)]
     if kind == "phone":
         # A number ends where something else begins, or else with the last group that it can hold.
-        upto = min([s for s, _ in others if start < s < end], default=end)
+        upto = min(o.next_start(start, end) for o in others)
         ends = [m.end() for m in _GROUP_END.finditer(text, start, min(upto, start + 40))]
         fits = [e for e in ends if 9 <= len(_digits(text[start:e])) <= 15]
         return [(start, fits[-1])] if fits else []
@@ -206,22 +224,17 @@ def _features(kind: str, text: str, start: int, end: int) -> list[int]:
 def candidates(text: str) -> list[tuple[str, int, int, int]]:
     """(kind, start, end, code) of base spans and others, by start and kind; odd codes are base."""
     runs = {kind: base_runs(kind, text) for kind in KINDS}
+    bases = {kind: _Spans(base) for kind, (base, _) in runs.items()}
     out = []
     for kind, (base, failed) in runs.items():
         out += [(kind, s, e, _code(kind, _votes(kind, text, s, e), e - s, True)) for s, e in base]
-        more = []
-        if failed:
-            others = [x for k in KINDS if k != kind for x in runs[k][0]]
-            for s, e in failed:
-                more += _inside(kind, text, s, e, [x for x in others if x[0] < e and s < x[1]])
-        if _MAY[kind].search(text):
-            more += [m.span() for m in _WIDE[kind].finditer(text)]
-        taken = sorted(base)
-        for s, e in more:
-            at = bisect.bisect_left(taken, (s, s))
-            if not (at < len(taken) and taken[at][0] < e or at and taken[at - 1][1] > s):
-                taken.insert(at, (s, e))
-                out.append((kind, s, e, _code(kind, _votes(kind, text, s, e), e - s, False)))
+        # Runs of a kind are disjoint, so what is found inside failed ones meets neither a base span nor each other.
+        others = [spans for k, spans in bases.items() if k != kind]
+        inside = [x for s, e in failed for x in _inside(kind, text, s, e, others)]
+        taken = _Spans(list(heapq.merge(base, inside)))
+        wide = [m.span() for m in _WIDE[kind].finditer(text)] if _MAY[kind].search(text) else []
+        more = inside + [x for x in wide if not taken.meet(*x)]
+        out += [(kind, s, e, _code(kind, _votes(kind, text, s, e), e - s, False)) for s, e in more]
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
