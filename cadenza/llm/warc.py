@@ -95,16 +95,20 @@ def decode_records(frame: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
 
 
 class _Bundle:
-    """Writes frames as they come, to a hidden file; a bundle that is finished gets its content's hash as name."""
+    """Writes frames as they come, to a hidden file; a bundle that is finished gets a name of its own.
 
-    def __init__(self, folder: str, level: int):
+    A task that is tried again, or twice at once, leaves bundles under other names: only those count that the
+    committed index names.
+    """
+
+    def __init__(self, folder: str, write_id: str, level: int):
         import zstandard
 
         self.compress = zstandard.ZstdCompressor(level=level, write_checksum=True).compress
         self.fs, self.root = _filesystem(folder)
-        self.part = f"{self.root}/.{uuid.uuid4().hex}.writing"
+        self.name = f"{write_id}-{uuid.uuid4().hex}.warc.zst"
+        self.part = f"{self.root}/.{self.name}.writing"
         self.out = self.fs.open_output_stream(self.part)
-        self.sha = hashlib.sha1()
         self.sizes: list[tuple[int, int]] = []
         self.index: list[tuple[int, int, str, int]] = []  # frame, start of the frame, record, its offset
         self.written = 0
@@ -116,7 +120,6 @@ class _Bundle:
             start += len(record)
         packed = self.compress(plain)
         self.out.write(packed)
-        self.sha.update(packed)
         self.sizes.append((len(packed), len(plain)))
         self.written += len(packed)
 
@@ -127,13 +130,12 @@ class _Bundle:
     def save(self) -> pd.DataFrame:
         self.out.write(self.seek_table())
         self.out.close()
-        name = f"{self.sha.hexdigest()}.warc.zst"
-        self.fs.move(self.part, f"{self.root}/{name}")
+        self.fs.move(self.part, f"{self.root}/{self.name}")
         packed = [self.sizes[f][0] for f, *_ in self.index]
-        return pd.DataFrame([(name, f, at, size, r, start) for (f, at, r, start), size in zip(self.index, packed, strict=True)], columns=[c.split()[0] for c in _INDEX.split(", ")])
+        return pd.DataFrame([(self.name, f, at, size, r, start) for (f, at, r, start), size in zip(self.index, packed, strict=True)], columns=[c.split()[0] for c in _INDEX.split(", ")])
 
 
-def _writer(folder: str, frame_bytes: int, bundle_bytes: int, level: int):
+def _writer(folder: str, write_id: str, frame_bytes: int, bundle_bytes: int, level: int):
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bundle, frame, held = None, [], 0
         for rows in batches:
@@ -142,14 +144,14 @@ def _writer(folder: str, frame_bytes: int, bundle_bytes: int, level: int):
                 frame.append((id_ or "", record))
                 held += len(record)
                 if held >= frame_bytes:
-                    bundle = bundle or _Bundle(folder, level)
+                    bundle = bundle or _Bundle(folder, write_id, level)
                     bundle.add_frame(frame)
                     frame, held = [], 0
                     if bundle.written >= bundle_bytes:
                         yield bundle.save()
                         bundle = None
         if frame:
-            bundle = bundle or _Bundle(folder, level)
+            bundle = bundle or _Bundle(folder, write_id, level)
             bundle.add_frame(frame)
         if bundle:
             yield bundle.save()
@@ -157,11 +159,14 @@ def _writer(folder: str, frame_bytes: int, bundle_bytes: int, level: int):
     return write
 
 
-def write_bundles(records: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, level: int = LEVEL) -> DataFrame:
-    """Write ``records`` (id, url, payload) as bundles below ``folder`` and return the index table.
+def write_bundles(records: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, level: int = LEVEL, write_id: str | None = None) -> DataFrame:
+    """Write ``records`` (id, url, payload) as bundles below ``folder`` and return the index table of this write.
 
-    Payloads stay in the task that reads them, unless their record may be a revisit.
+    Payloads stay in the task that reads them, unless their record may be a revisit.  The index is committed to
+    ``folder``/index when all tasks are done; bundles of this write that it does not name, which lost or repeated
+    attempts of tasks have left, are deleted.  Several writes may share a folder.
     """
+    write_id = write_id or uuid.uuid4().hex[:12]
     fs, root = _filesystem(folder)
     fs.create_dir(root, recursive=True)
     records = records.select("id", "url", F.coalesce("payload", F.lit("")).alias("payload"))
@@ -172,7 +177,25 @@ def write_bundles(records: DataFrame, folder: str, frame_bytes: int = FRAME_BYTE
     found = maybe.join(revisits.drop("mark"), (F.col("id") == F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left")
     both = rest.withColumn("refers_to", F.lit(None).cast("string")).unionByName(found.drop("r_id", "r_digest"))
     rows = both.select(F.col("id").cast("string").alias("id"), "url", "payload", "digest", "refers_to")
-    return materialize(rows.mapInPandas(_writer(folder, frame_bytes, bundle_bytes, level), _INDEX), "warc-index")
+    index = materialize(rows.mapInPandas(_writer(folder, write_id, frame_bytes, bundle_bytes, level), _INDEX), "warc-index")
+    index.write.mode("append").parquet(f"{folder}/index")
+    sweep(records.sparkSession, folder, write_id)
+    return index
+
+
+def committed(spark: SparkSession, folder: str) -> DataFrame:
+    """The index of everything that was written to ``folder``."""
+    return spark.read.schema(_INDEX).parquet(f"{folder}/index")
+
+
+def sweep(spark: SparkSession, folder: str, write_id: str) -> None:
+    """Delete the bundles of a write that is over and that its index does not name."""
+    # Only names are read here: the binary source leaves out the content column.
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"{write_id}-*.warc.zst").load(folder)
+    orphans = files.select(F.element_at(F.split("path", "/"), -1).alias("bundle")).join(committed(spark, folder).select("bundle").distinct(), "bundle", "left_anti")
+    fs, root = _filesystem(folder)
+    for r in orphans.toLocalIterator():  # as many as attempts were lost
+        fs.delete_file(f"{root}/{r['bundle']}")
 
 
 def read_seek_table(source) -> list[tuple[int, int, int]]:
@@ -227,13 +250,12 @@ def _frame_reader(folder: str):
 
 
 def read_bundles(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record of the bundles below ``folder``; a task reads single frames by their footers' offsets.
+    """Every record of the bundles that ``folder``'s index names; a task reads single frames by their footers' offsets.
 
     Columns: id, url, record_type, payload_bytes, payload_digest (hex), refers_to, payload (binary, null for revisits).
     """
-    # Only names are read here: the binary source leaves out the content column.
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("bundle"))
-    frames = materialize(files.mapInPandas(_frame_lister(folder), "bundle string, start long, packed long, plain long"), "warc-frames")
+    bundles = committed(spark, folder).select("bundle").distinct()
+    frames = materialize(bundles.mapInPandas(_frame_lister(folder), "bundle string, start long, packed long, plain long"), "warc-frames")
     spread = frames.repartition(F.col("bundle"), F.col("start"))
     return spread.mapInPandas(_frame_reader(folder), "id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary")
 

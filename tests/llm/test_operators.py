@@ -85,6 +85,23 @@ def test_warc_round_trip(spark, tmp_path):
     assert [r["id"] for r in warc.lookup(index, asked, folder).collect()] == ["7"]
 
 
+def test_bundles_of_lost_attempts_are_not_read(spark, tmp_path):
+    """Two attempts of a task saw the rows in another order; one was committed.  A second write shares the folder."""
+    import pandas as pd
+
+    folder = f"file://{tmp_path}/bundles"
+    texts = {str(i): f"page {i} " * 40 for i in range(199)}
+    records = spark.createDataFrame([(i, f"http://x/{i}", t) for i, t in texts.items()], "id string, url string, payload string")
+    (tmp_path / "bundles").mkdir()
+    lost = pd.DataFrame([(i, "u", t, hashlib.sha1(t.encode()).hexdigest(), None) for i, t in reversed(texts.items())], columns=["id", "url", "payload", "digest", "refers_to"])
+    assert sum(map(len, warc._writer(folder, "first", 2000, 4000, 3)(iter([lost])))) == 199
+    index = warc.write_bundles(records, folder, frame_bytes=2000, bundle_bytes=4000, write_id="first")
+    assert Counter(r["id"] for r in warc.read_bundles(spark, folder).collect()) == Counter(texts.keys())
+    assert len(list((tmp_path / "bundles").glob("*.warc.zst"))) == index.select("bundle").distinct().count()
+    warc.write_bundles(records, folder)
+    assert Counter(r["id"] for r in warc.read_bundles(spark, folder).collect()) == Counter([*texts, *texts])
+
+
 def test_warc_of_nothing(spark, tmp_path):
     empty = spark.createDataFrame([], "id long, url string, payload string")
     warc.write_bundles(empty, f"file://{tmp_path}/none")
