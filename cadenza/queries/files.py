@@ -43,8 +43,7 @@ def _(i: Inputs) -> DataFrame:
     """Statistics that were written by bucket, as one table."""
     place = _place(i, "stat")
     Sk.write_buckets(i.user_stat, place)
-    one = Sk.staged(i.spark.read.parquet(place).drop("bucket").coalesce(8), "compacted")
-    return one.select("user_id", *[F.round(c, 6).alias(c) for c in ("center", "low", "high")], "recording")
+    return Sk.compact(i.spark, place, f"{place}-compacted").select("user_id", *[F.round(c, 6).alias(c) for c in ("center", "low", "high")], "recording")
 
 
 @query("backfill_part", with_inputs("SELECT recording_id, listener, plays FROM recording_listener"))
@@ -120,17 +119,27 @@ def _(i: Inputs) -> DataFrame:
     return Rd.declared(i.spark, [(r["mbid"], r["q"], r["playlist"]) for r in rows]).select("s", "q")
 
 
-@query("scan_git_log", f"SELECT o_orderkey * 1000 AS commit, 1600000000 + o_orderkey AS at, o_orderkey * 1000 + l_linenumber AS line, CASE WHEN l_returnflag = 'R' THEN '-' ELSE '+' END AS sign, {sql_mbid('l_partkey')} AS mbid FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+_LOG = f"""log AS (SELECT o_orderkey * 1000 AS k, NULL AS sign, NULL AS mbid, 1600000000 + o_orderkey AS at FROM orders
+  UNION ALL SELECT o_orderkey * 1000 + l_linenumber, CASE WHEN l_returnflag = 'R' THEN '-' ELSE '+' END, {sql_mbid('l_partkey')}, NULL FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  UNION ALL SELECT o_orderkey * 1000 + 999, NULL, NULL, NULL FROM orders),
+line AS (SELECT *, row_number() OVER (ORDER BY k, sign, mbid) - 1 AS number FROM log)"""
+
+
+@query("scan_git_log", f"WITH {_LOG} SELECT h.number AS commit, h.at, l.number AS line, l.sign, l.mbid FROM line l JOIN line h ON h.at IS NOT NULL AND h.k = l.k // 1000 * 1000 WHERE l.sign IS NOT NULL")
 def _(i: Inputs) -> DataFrame:
-    """Each order is a commit: its time on a line of its own, then its lines."""
-    orders = i.table("orders").select("o_orderkey")
+    """A written log: each order is a commit, its time on a line of its own, then its lines.
+
+    It is written in ranges of orders; what is read back are files of lines, which the reader numbers.
+    """
+    orders, place = i.table("orders").select("o_orderkey"), _place(i, "log")
     heads = orders.select((F.col("o_orderkey") * 1000).alias("number"), (F.col("o_orderkey") + 1_600_000_000).cast("string").alias("value"))
     lines = i.table("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     sign = F.when(F.col("l_returnflag") == "R", "-").otherwise("+")
     entry = F.concat(sign, F.lit('  (s: "'), mbid(F.col("l_partkey")), F.lit('", q: 3),'))
     noise = orders.select((F.col("o_orderkey") * 1000 + 999).alias("number"), F.lit("+++ b/list").alias("value"))
     text = heads.unionByName(lines.select((F.col("o_orderkey") * 1000 + F.col("l_linenumber")).alias("number"), entry.alias("value"))).unionByName(noise)
-    return Rd.git_log(text).select("commit", "at", "line", "sign", "mbid")
+    text.repartitionByRange("number", "value").sortWithinPartitions("number", "value").select("value").write.text(place)
+    return Rd.git_log_file(i.spark, place).select("commit", "at", "line", "sign", "mbid")
 
 
 @query("scan_dir_ext", "SELECT count(*) AS files FROM (SELECT DISTINCT c_nationkey FROM customer)")

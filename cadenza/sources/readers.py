@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,35 +45,95 @@ def tsv(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
     return spark.read.csv(path, sep="\t", quote="", escape="", nullValue="\\N", schema=schema)
 
 
-_TOKEN = re.compile(r'(?P<skip>\s+|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)|(?P<text>"(?:[^"\\]|\\.)*")|(?P<word>[A-Za-z_]\w*|[0-9]+)|(?P<sign>[()\[\],:])', re.DOTALL)
-_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "0": "\0"}
+_BLANK = re.compile(r"(?:\s|//[^\n]*)*")
+_COMMENT = re.compile(r"/\*|\*/")
+_RAW = re.compile(r'r(#*)"')
+_TEXT = re.compile(r'"((?:[^"\\]|\\.)*)"', re.DOTALL)
+_NUMBER = re.compile(r"[+-]?(?:0x[0-9A-Fa-f_]+|0b[01_]+|0o[0-7_]+|[0-9][0-9_]*)(?![\w.])")
+_WORD = re.compile(r"(?:r#)?[A-Za-z_]\w*")
+_SIGN = re.compile(r"[()\[\],:#!]")
+_ESCAPE = re.compile(r"\\(?:x([0-9A-Fa-f]{2})|u\{([0-9A-Fa-f]{1,6})\}|(.))", re.DOTALL)
+#: What a character behind a backslash stands for.
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "0": "\0", "\\": "\\", '"': '"', "'": "'"}
+#: Names that may be enabled at the head of a declaration; none of them changes what a list of entries means.
+_EXTENSIONS = ("implicit_some", "unwrap_newtypes", "unwrap_variant_newtypes", "explicit_struct_names")
+
+
+class DeclarationError(Exception):
+    def __init__(self, message: str, place: int):
+        super().__init__(message)
+        self.message, self.place = message, place
+
+
+def _past_blanks(text: str, at: int) -> int:
+    """The next place that is no white space and in no comment; block comments hold others."""
+    while True:
+        at = _BLANK.match(text, at).end()
+        if not text.startswith("/*", at):
+            return at
+        start, depth = at, 0
+        for mark in _COMMENT.finditer(text, at):
+            depth += 1 if mark[0] == "/*" else -1
+            if depth == 0:
+                at = mark.end()
+                break
+        else:
+            raise DeclarationError("comment without an end", start)
+
+
+def _unescaped(text: str, at: int) -> str:
+    def said(m: re.Match) -> str:
+        if m[3] is not None and m[3] not in _ESCAPES:
+            raise DeclarationError(f"unknown escape {m[0]}", at + m.start())
+        code = int(m[1] or m[2] or "0", 16)
+        if m[3] is None and (code > 0x10FFFF or 0xD800 <= code < 0xE000):
+            raise DeclarationError(f"no character: {m[0]}", at + m.start())
+        return chr(code) if m[3] is None else _ESCAPES[m[3]]
+
+    return _ESCAPE.sub(said, text)
 
 
 def _tokens(text: str) -> Iterator[tuple[str, str, int]]:
     """(kind, value, place) of a declaration's tokens; blanks and comments are left out, the end is a token too."""
-    at = 0
-    while at < len(text):
-        found = _TOKEN.match(text, at)
-        if not found:
+    at = 1 if text.startswith("\ufeff") else 0
+    while (at := _past_blanks(text, at)) < len(text):
+        if raw := _RAW.match(text, at):
+            end = text.find('"' + raw[1], raw.end())
+            if end < 0:
+                raise DeclarationError("text without an end", at)
+            yield "text", text[raw.end() : end], at
+            at = end + 1 + len(raw[1])
+        elif found := _TEXT.match(text, at):
+            yield "text", _unescaped(found[1], at + 1), at
+            at = found.end()
+        elif found := _NUMBER.match(text, at):
+            yield "number", str(int(found[0].replace("_", ""), 0) if found[0].lstrip("+-")[:1] == "0" and found[0].lstrip("+-")[1:2] in ("x", "b", "o") else int(found[0].replace("_", ""))), at
+            at = found.end()
+        elif found := _WORD.match(text, at) or _SIGN.match(text, at):
+            yield "sign" if found.re is _SIGN else "word", found[0].removeprefix("r#"), at
+            at = found.end()
+        else:
             raise DeclarationError("unexpected character", at)
-        if found.lastgroup != "skip":
-            value = found[0]
-            if found.lastgroup == "text":
-                value = re.sub(r"\\(.)", lambda m: _ESCAPES.get(m[1], m[1]), value[1:-1], flags=re.DOTALL)
-            yield found.lastgroup, value, at
-        at = found.end()
     yield "end", "", at
 
 
-class DeclarationError(Exception):
-    def __init__(self, message: str, place: int):
-        super().__init__(message)
-        self.message, self.place = message, place
+def _id(value: str) -> str | None:
+    """An id in any of its forms (with or without hyphens, in braces, as a URN), as it is compared; None if it is none."""
+    plain = value.lower()
+    plain = plain.removeprefix("urn:uuid:") if plain.startswith("urn:uuid:") else plain[1:-1] if plain[:1] + plain[-1:] == "{}" else plain
+    if re.fullmatch("[0-9a-f]{32}", plain) and plain == value.lower():
+        plain = "-".join((plain[:8], plain[8:12], plain[12:16], plain[16:20], plain[20:]))
+    return plain if re.fullmatch(X.UUID, plain) else None
 
 
-def parse_declaration(text: str) -> list[tuple[str, int, list[str]]]:
+def parse_declaration(text: str, needs_playlist: bool = False) -> list[tuple[str, int, list[str]]]:
     """(s, q, playlist) of the entries of a declaration: a list of (s: "uuid", q: 0..4, playlist: ["a", "b"]), over as
-    many lines as one likes, fields in any order, with // and /* */ comments and commas behind last items."""
+    many lines as one likes, fields in any order, with // and (nested) /* */ comments and commas behind last items.
+
+    Texts may be raw (r#"..."#) or hold escapes, numbers may be signed, hexadecimal, octal or binary and hold underscores,
+    entries may bear the name ``Entry``, and extensions may be enabled at the head.  An entry without playlist has an
+    empty one, or is an error if ``needs_playlist``.
+    """
     tokens = list(_tokens(text))
     at = 0
 
@@ -110,26 +170,42 @@ def parse_declaration(text: str) -> list[tuple[str, int, list[str]]]:
         if name not in ("s", "q", "playlist"):
             raise DeclarationError(f"unknown field {name}", place)
         place = tokens[at][2]
-        return name, texts() if name == "playlist" else need("text" if name == "s" else "word"), place
+        return name, texts() if name == "playlist" else need("text" if name == "s" else "number"), place
 
     def entry() -> tuple[str, int, list[str]]:
         place = tokens[at][2]
+        if (called := take("word")) not in (None, "Entry"):
+            raise DeclarationError(f"expected Entry, not {called}", place)
         need("sign", "(")
         fields: dict = {}
         for name, value, where in items(")", field):
             if name in fields:
                 raise DeclarationError(f"duplicate field {name}", where)
-            if name == "s" and not re.fullmatch(X.UUID, value.lower()):
-                raise DeclarationError(f"no id: {value}", where)
+            if name == "s":
+                given, value = value, _id(value)
+                if value is None:
+                    raise DeclarationError(f"no id: {given}", where)
             fields[name] = value, where
-        for name in ("s", "q"):
+        for name in ("s", "q", "playlist") if needs_playlist else ("s", "q"):
             if name not in fields:
                 raise DeclarationError(f"missing field {name}", place)
         (s, _), (q, where) = fields["s"], fields["q"]
-        if not q.isdigit() or int(q) > 4:
+        if not 0 <= int(q) <= 4:
             raise DeclarationError(f"{s}: q {q} out of range 0..=4", where)
-        return s.lower(), int(q), fields.get("playlist", ([], 0))[0]
+        return s, int(q), fields.get("playlist", ([], 0))[0]
 
+    def extension() -> None:
+        place = tokens[at][2]
+        if (name := need("word")) not in _EXTENSIONS:
+            raise DeclarationError(f"unknown extension {name}", place)
+
+    while take("sign", "#"):
+        need("sign", "!")
+        need("sign", "[")
+        need("word", "enable")
+        need("sign", "(")
+        items(")", extension)
+        need("sign", "]")
     need("sign", "[")
     out = items("]", entry)
     need("end")
@@ -225,6 +301,25 @@ def rsync_listing(lines: DataFrame, value: str = "value") -> DataFrame:
     return rows.where(~F.col("name").isin(".", ".."))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(number, value): the lines of a text file, or of a folder's files in the order of their names, numbered from 0.
+
+    Files are read in ranges of bytes; a line belongs to the range where it starts.  A task numbers the lines of its
+    ranges as it reads them, and the counts of the ranges before, one row per range, say where a range begins.
+    """
+    place = {"_path": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"), "_read": F.monotonically_increasing_id()}
+    lines = staged(spark.read.text(path).select("value", *[c.alias(n) for n, c in place.items()]), "lines")
+    ranges = lines.groupBy("_path", "_start").agg(F.count("*").alias("_n"), F.min("_read").alias("_first"))
+    before = Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return lines.join(offsets.drop("_n"), ["_path", "_start"]).select((F.col("_before") + F.col("_read") - F.col("_first")).alias("number"), "value")
+
+
+def git_log_file(spark: SparkSession, path: str) -> DataFrame:
+    """:func:`git_log` of a written log; lines and commits are named by their numbers in it."""
+    return git_log(numbered_lines(spark, path))
+
+
 def git_log(lines: DataFrame, number: str = "number", value: str = "value") -> DataFrame:
     """(commit, at, line, sign, mbid, rest) from `git log -p` text: seconds on a line of their own, then a diff.
 

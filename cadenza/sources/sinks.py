@@ -6,10 +6,12 @@ All paths go through Hadoop's file system, so they may lie in any store that Spa
 from __future__ import annotations
 
 import atexit
+import bisect
 import json
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,6 +135,63 @@ def buckets(spark: SparkSession, path: str) -> list[str]:
     return sorted(n.removeprefix("bucket=") for n in names if n.startswith("bucket="))
 
 
+def files(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """(path without scheme, length) of a table's files, in all its folders; contents are not read."""
+    fs, place = _hadoop(spark, folder)
+    found, listed = [], fs.listFiles(place, True)
+    while listed.hasNext():
+        status = listed.next()
+        path = status.getPath().toUri().getPath()
+        if not any(part.startswith(("_", ".")) for part in path.removeprefix(place.toUri().getPath()).split("/")):
+            found.append((path, status.getLen()))
+    return found
+
+
+def dealt(lengths: Sequence[tuple[str, int]], aim: int) -> list[tuple[str, int, int]]:
+    """(file, first output, how many outputs) so that outputs hold about ``aim`` bytes.
+
+    Files above the aim are spread over outputs of their own.  The others are packed in decreasing order of size, each
+    into the output with the least room that it fits: at most one output stays less than half full.
+    """
+    plan, outputs = [], 0
+    room: list[tuple[int, int]] = []  # (bytes left, output), sorted
+    for path, length in sorted(lengths, key=lambda f: (-f[1], f[0])):
+        if length > aim:
+            n = max(1, round(length / aim))
+            plan.append((path, outputs, n))
+            outputs += n
+            continue
+        at = bisect.bisect_left(room, (length, -1))
+        if at < len(room):
+            left, output = room.pop(at)
+        else:
+            left, output = aim, outputs
+            outputs += 1
+        plan.append((path, output, 1))
+        bisect.insort(room, (left - length, output))
+    return plan
+
+
+def compact(spark: SparkSession, folder: str, target: str, aim: int = 256 << 20, drop: Sequence[str] = ("bucket",)) -> DataFrame:
+    """The rows of ``folder``, whatever its files are like, as one table of files of about ``aim`` bytes.
+
+    Rows go straight to the output that their file was dealt to; rows of a large file are spread by a hash of all columns.
+    """
+    plan = dealt(files(spark, folder), aim)
+    rows = spark.read.parquet(folder)
+    if not plan:
+        write_atomic(rows.drop(*drop), target)
+        return spark.read.parquet(target)
+    # One row per file: paths and two numbers.
+    told = F.broadcast(spark.createDataFrame(plan, "_file string, _output int, _n int"))
+    path = F.regexp_replace(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), "^[A-Za-z0-9]+:(?://[^/]*)?", "")
+    spread = F.pmod(F.xxhash64(*[F.to_json(F.struct(f"`{c}`")) for c in rows.columns]), F.col("_n")).cast("int")
+    placed = rows.withColumn("_file", path).join(told, "_file").withColumn("_output", F.col("_output") + spread)
+    outputs = max(first + n for _, first, n in plan)
+    write_atomic(placed.repartitionById(outputs, "_output").drop("_file", "_output", "_n", *drop), target)
+    return spark.read.parquet(target)
+
+
 def delete(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         fs, target = _hadoop(spark, path)
