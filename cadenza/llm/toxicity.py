@@ -2,15 +2,13 @@
 
 Training rows are labelled documents outside the held-out fifth, at most about ``MAX_TRAIN`` of them, taken
 by a hash of their id, class by class: each class may fill half of them and what the other leaves, and weights
-restore the classes' shares.  They are dealt by another hash into three parts, so that no step is fitted on
-what the step before has seen:
+restore the classes' shares.  They are dealt into ``FOLDS`` folds, class by class, and every step is cross-fitted, at
+every size alike, so that no step is fitted on what the step before has seen:
 
-1.  a lexicon: words and word stems whose document frequency in toxic rows is far above that in others;
-2.  boosted trees over the features of ``FEATURES``;
-3.  an isotonic map from the trees' probability to the share of toxic rows.
-
-Where a part has fewer than ``MIN_CLASS`` // 5 rows of a class, no lexicon is learned: the fixed one stands
-alone, the trees are fitted on all training rows and the isotonic map on what trees of the other folds say.
+1.  a lexicon: words and word stems whose document frequency in toxic rows is far above that in others; a fold's
+    rows are valued by what the other folds' rows teach, documents to be scored by what all teach;
+2.  boosted trees over the features of ``FEATURES``, fitted on all rows so valued;
+3.  an isotonic map to the share of toxic rows, from what trees of the other folds say of each fold.
 
 Features of a text: densities of the learned and of a fixed lexicon, nearness of hits to second-person
 pronouns, capitals, punctuation and obfuscation (signs or digits inside words, letters set apart,
@@ -40,7 +38,6 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import materialize, table
 
 MAX_TRAIN = 20_000
-MIN_CLASS = 20
 HELD_OUT = 5
 FOLDS = 2
 LEXICON_TERMS = 600
@@ -213,23 +210,28 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, seed:
     of_class = lambda x: F.when(F.col("toxic") == 1, F.lit(x[1])).otherwise(F.lit(x[0]))
     truth = truth.where(F.pmod(F.xxhash64("l_id", F.lit(seed)), F.lit(steps)) < of_class(share)).withColumn("weight", of_class({y: steps / share[y] for y in (0, 1)}))
     # About ``max_train`` ids at most, whatever the input: broadcast, so that no text is shuffled.
-    rows = docs.select("doc_id", "text").join(F.broadcast(truth), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "toxic", "weight", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(20)).alias("part"))
-    rows = materialize(rows, "toxic-train")
-    parts = {"lexicon": F.col("part") < 9, "trees": F.col("part").between(9, 15), "scale": F.col("part") > 15}
-    tally = rows.groupBy(F.expr("CASE WHEN part < 9 THEN 'lexicon' WHEN part < 16 THEN 'trees' ELSE 'scale' END").alias("name"), "toxic").agg(F.count("*").alias("n")).collect()
-    found = {(r["name"], r["toxic"]): r["n"] for r in tally}
-    n = {y: sum(v for k, v in found.items() if k[1] == y) for y in (0, 1)}
-    if not min(n.values()):
-        return Model({}, constant=float(n[1] > 0))
-    if min(found.get((p, y), 0) for p in parts for y in (0, 1)) < MIN_CLASS // 5:
-        return _train_in_folds(rows, min(n.values()), seed)
-    lexicon = learn_lexicon(rows.where(parts["lexicon"]), {y: found["lexicon", y] for y in (0, 1)})
-    valued = materialize(with_features(rows.where(~parts["lexicon"]), lexicon), "toxic-values").withColumn("vector", array_to_vector("values"))
-    trees = _fit_trees(valued.where(parts["trees"]), seed)
-    return Model(lexicon, trees, _fit_scale(_raw(trees, valued.where(parts["scale"]))))
-
-
-def _fit_trees(rows: DataFrame, seed: int, leaf: int = 10):
+    rows = docs.select("doc_id", "text").join(F.broadcast(truth), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "toxic", "weight")
+    # The sample is bounded, so one task can number a class; classes start at different folds, so that none is left without rows.
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id"))
+    rows = materialize(rows.withColumn("fold", (place + F.col("toxic")) % FOLDS), "toxic-train")
+    n = {(r["fold"], r["toxic"]): r["n"] for r in rows.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
+    count = lambda y, without=None: sum(v for (fold, toxic), v in n.items() if toxic == y and fold != without)
+    if not min(count(0), count(1)):
+        return Model({}, constant=float(count(1) > 0))
+    taught = [learn_lexicon(rows.where(F.col("fold") != k), {y: count(y, k) for y in (0, 1)}) for k in range(FOLDS)]
+    valued = None
+    for k, lexicon in enumerate(taught):
+        part = with_features(rows.where(F.col("fold") == k), lexicon)
+        valued = part if valued is None else valued.unionByName(part)
+    valued = materialize(valued, "toxic-values").withColumn("vector", array_to_vector("values"))
+    leaf, raw = max(1, min(10, min(count(0), count(1)) // 4)), None
+    for k in range(FOLDS):
+        told = _raw(_fit_trees(valued.where(F.col("fold") != k), seed, leaf), valued.where(F.col("fold") == k)).select("raw", "toxic", "weight")
+        raw = told if raw is None else raw.unionByName(told)
+    return Model(learn_lexicon(rows, {y: count(y) for y in (0, 1)}), _fit_trees(valued, seed, leaf), _fit_scale(raw))
+
+
+def _fit_trees(rows: DataFrame, seed: int, leaf: int):
     # The sample is bounded, so a few partitions hold it.
     learnt = rows.coalesce(4).cache()
     trees = GBTClassifier(featuresCol="vector", labelCol="toxic", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, minInstancesPerNode=leaf, seed=seed).fit(learnt)
@@ -241,19 +243,6 @@ def _fit_scale(raw: DataFrame):
     return IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight").fit(raw.select("raw", F.col("toxic").cast("double").alias("label"), "weight"))
 
 
-def _train_in_folds(rows: DataFrame, fewest: int, seed: int) -> Model:
-    """The fixed lexicon alone; every row trains the trees, and its fold's other trees say what scales them."""
-    # The sample is bounded, so one task can number a class; classes start at different folds, so that none is left without rows.
-    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(seed + 2)), "doc_id"))
-    valued = materialize(with_features(rows.withColumn("fold", (place + F.col("toxic")) % FOLDS), {}), "toxic-values").withColumn("vector", array_to_vector("values"))
-    leaf = max(1, min(10, fewest // 4))
-    raw = None
-    for k in range(FOLDS):
-        told = _raw(_fit_trees(valued.where(F.col("fold") != k), seed, leaf), valued.where(F.col("fold") == k)).select("raw", "toxic", "weight")
-        raw = told if raw is None else raw.unionByName(told)
-    return Model({}, _fit_trees(valued, seed, leaf), _fit_scale(raw))
-
-
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without documents that score ``threshold`` or more: one pass, in which each row is judged where it is read."""
     # Renamed by place, so that no extra column meets a name that the model uses.
