@@ -138,6 +138,32 @@ def test_ties_go_to_the_smaller_id():
         assert len(set(scores.tolist())) == 1
 
 
+def test_products_that_overflow_lose_no_neighbour(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((90, 8))
+    x[:30] *= 1e160  # products beyond the largest number, of either sign
+    x[30:60] *= 1e-160
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(vectors, vectors.where("vec_id % 3 = 0"), shard_rows=30, recall=1.0).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for q in range(0, 90, 3):
+        assert len(found[q]) == 20 and all(not np.isnan(s) for _, s in found[q])
+        scores = [s for _, s in found[q]]
+        assert scores == sorted(scores, reverse=True)
+        if q < 30:  # the infinite ones come first, ties to the smaller id
+            far = [v for v in range(30) if v != q and float(np.dot(x[q] * 2.0**-600, x[v] * 2.0**-500)) > 0]
+            assert [v for v, s in found[q] if np.isinf(s)] == far[:20]
+
+
+def test_a_shard_of_which_no_share_suffices_is_searched_whole():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((400, 48))
+    forest = ann.Forest.of(np.arange(400), x, 1, 0)
+    assert ann.share_needed(forest, 20, 1.0, (0.05, 0.1), 16) == 1.0
+
+
 def test_repeated_ids_leave_out_their_own_row_only(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((60, 8)).astype(np.float32)
