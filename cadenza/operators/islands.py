@@ -204,8 +204,11 @@ def affinity(heard: DataFrame, island: DataFrame) -> DataFrame:
 
 
 def cohort(shared: DataFrame, size: int = S.COHORT_SIZE) -> DataFrame:
-    """The ``size`` users of each island with the most affinity above zero; ties to the smaller id."""
-    rank = F.row_number().over(Window.partitionBy("island").orderBy(F.desc("weight"), "user_id"))
+    """The ``size`` users of each island with the most affinity above zero; ties to the smaller id.
+
+    Affinities are sums of fractions, whose last digits depend on the order of summation: they are compared by nine digits.
+    """
+    rank = F.row_number().over(Window.partitionBy("island").orderBy(F.desc(F.round("weight", 9)), "user_id"))
     return shared.where("weight > 0").withColumn("rank", rank).where(F.col("rank") <= size).drop("rank")
 
 

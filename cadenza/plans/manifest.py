@@ -39,6 +39,16 @@ def _files(spark: SparkSession, paths: list[str]) -> list[tuple[str, int, int]]:
     return sorted(found)
 
 
+def listed(spark: SparkSession, folder: str) -> list[tuple[str, int, int]]:
+    """(name, length, time of change) of what a folder holds, itself and one level below."""
+    fs, place = sinks._hadoop(spark, folder)
+    found = []
+    for status in fs.listStatus(place):
+        inner = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        found += [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in inner]
+    return sorted(found)
+
+
 def fingerprint(df: DataFrame) -> str:
     """What tells a frame from one of other contents, at the price of a listing; frames without files are read once."""
     paths = sorted(df.inputFiles())

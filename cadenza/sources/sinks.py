@@ -247,11 +247,11 @@ def meta(spark: SparkSession, index: str) -> dict | None:
 
 def append_log(rows: DataFrame, path: str) -> None:
     """JSON lines, appended."""
-    rows.coalesce(1).write.mode("append").json(path)
+    rows.write.mode("append").json(path)
 
 
 def append_declined(ids: DataFrame, path: str) -> None:
-    ids.select("mbid").coalesce(1).write.mode("append").text(path)
+    ids.select("mbid").write.mode("append").text(path)
 
 
 def read_declined(spark: SparkSession, path: str) -> DataFrame:
@@ -264,12 +264,12 @@ def read_declined(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_playlist(spark: SparkSession, entries: DataFrame, path: str, extension: str = "opus") -> None:
-    """Sorted file names; an empty playlist has no file."""
+    """Sorted file names, in files whose names keep the order; an empty playlist has none."""
     if entries.isEmpty():
         fs, target = _hadoop(spark, path)
         fs.delete(target, True)
         return
-    entries.select(F.concat("mbid", F.lit(f".{extension}")).alias("value")).distinct().orderBy("value").coalesce(1).write.mode("overwrite").text(path)
+    entries.select(F.concat("mbid", F.lit(f".{extension}")).alias("value")).distinct().repartitionByRange("value").sortWithinPartitions("value").write.mode("overwrite").text(path)
 
 
 def edit_q(lines: DataFrame, mbid: str, q: int, value: str = "value") -> DataFrame:

@@ -35,7 +35,11 @@ def start(spark: SparkSession, folder: str, index: str, checkpoint: str) -> Stre
 
 
 def plays_per_window(listens: DataFrame, late: str = "1 day", width: str = "1 day") -> DataFrame:
-    """Listens per day and kind from an event stream (ts, event_type); rows later than ``late`` are dropped."""
+    """Plays per day and kind from an event stream (ts, event_type).
+
+    In complete mode all windows are kept and late rows still count; windows that close, with rows that are dropped, are
+    those of :mod:`cadenza.streaming.windows`.
+    """
     return listens.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
 
 
