@@ -61,6 +61,32 @@ class Trie:
     def __init__(self, words: bytes, counts: bytes, first: bytes, labels: bytes, targets: bytes, ends: bytes):
         self.words = words.decode().split("\n")
         self.counts, self.first, self.labels, self.targets, self.ends = (array(kind, part) for kind, part in zip("qiiii", (counts, first, labels, targets, ends), strict=True))
+        # What may follow a node, as one bit per letter modulo 64: most edges beside a word are left at once by it.
+        bits = [1 << (label & 63) for label in self.labels]
+        self.follows = array("Q", bytes(8 * len(self.ends)))
+        for node, start in enumerate(self.first[:-1]):
+            all_ = 0
+            for bit in bits[start : self.first[node + 1]]:
+                all_ |= bit
+            self.follows[node] = all_
+        # At the root nearly every letter goes on, so what is behind each first letter is found by the three letters
+        # after it; words that branch off alone before that are found by all that follows their first letter.
+        self.deep: dict[str, list[tuple[int, int]]] = {}
+        self.early: dict[str, list[int]] = {}
+        open_ = [(0, "", 0)]
+        while open_:
+            node, path, lead = open_.pop()
+            if len(path) == 4:
+                self.deep.setdefault(path[1:], []).append((lead, node))
+                continue
+            if self.ends[node] >= 0:
+                self.early.setdefault(path[1:], []).append(self.ends[node])
+            for edge in range(self.first[node], self.first[node + 1]):
+                label, target = self.labels[edge], self.targets[edge]
+                if target < 0:
+                    self.early.setdefault(self.words[~target][1:], []).append(~target)
+                else:
+                    open_.append((target, path + chr(label), lead or label))
 
     def exact(self, node: int, word: str, at: int, shift: int) -> int:
         """The word that reads ``word[at:]`` below a node of depth ``at + shift``, or -1: the automaton whose edit is spent."""
@@ -82,20 +108,41 @@ class Trie:
         The walk follows the word itself and, at each node, spends the edit on every edge beside it.  Of equal
         edits in a run of one letter the last one is taken.
         """
-        words, first, labels, targets, exact, upto = self.words, self.first, self.labels, self.targets, self.exact, len(word)
+        words, first, labels, targets, follows, ends, exact, upto = self.words, self.first, self.labels, self.targets, self.follows, self.ends, self.exact, len(word)
         found, node = {-1}, 0
+        bits = [1 << (ord(c) & 63) for c in word]
         for at in range(upto + 1):
             label = ord(word[at]) if at < upto else -1
             if at < upto and word[at + 1 : at + 2] != word[at]:
                 found.add(exact(node, word, at + 1, -1))
             onward = None
-            for edge in range(first[node], first[node + 1]):
+            if at == 0 and upto > 4:
+                for lead, target in self.deep.get(word[1:4], ()):
+                    if lead != label:
+                        found.add(exact(target, word, 4, 0))
+                for lead, target in self.deep.get(word[:3], ()):
+                    if lead != label:
+                        found.add(exact(target, word, 3, 1))
+                for rest in (word, word[1:]):
+                    found.update(place for place in self.early.get(rest, ()) if words[place][0] != word[0])
+                edge = bisect_left(labels, label, 0, first[1])
+                if edge == first[1] or labels[edge] != label:
+                    break
+                onward = targets[edge]
+            for edge in range(first[node], first[node + 1]) if onward is None else ():
                 target = targets[edge]
                 if labels[edge] == label:
                     onward = target
                 elif target >= 0:
-                    found.add(exact(target, word, at, 1))
-                    if at < upto:
+                    after = follows[target]
+                    if at == upto:
+                        found.add(ends[target])
+                        continue
+                    if after & bits[at]:
+                        found.add(exact(target, word, at, 1))
+                    if at + 1 == upto:
+                        found.add(ends[target])
+                    elif after & bits[at + 1]:
                         found.add(exact(target, word, at + 1, 0))
                 else:
                     only = words[~target]
