@@ -32,24 +32,45 @@ def _title_pairs(declared: DataFrame, listened: DataFrame) -> DataFrame:
     return both.select("entry", "mbid", "level", X.artists_compatible(F.col("d_artists"), F.col("artists"), F.col("level") == EXACT).alias("agree"))
 
 
+def _classes(songs: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
+    """(classes, members): songs that are matched alike, because keys and artists are equal, as one row each.
+
+    A class has its keys, its artists, its number of songs and the smallest of their ids; a member (class, mbid) is a song.
+    """
+    named = songs.select("mbid", "exact_key", "stripped_key", "artists", F.xxhash64("exact_key", "stripped_key", "artists").alias("h1"), F.xxhash64("artists", "stripped_key", "exact_key", F.lit(1)).alias("h2"))
+    named = staged(named.withColumn(side, F.struct("h1", "h2")).drop("h1", "h2"), f"songs-{side}")
+    facts = [F.first(c).alias(f"{side}_{c}") for c in ("exact_key", "stripped_key", "artists")]
+    return named.groupBy(side).agg(*facts, F.count("*").alias(f"{side}_n"), F.min("mbid").alias(f"{side}_least")), named.select(side, "mbid")
+
+
 def assign(declared: DataFrame, listened: DataFrame) -> DataFrame:
     """(entry, mbid, step): which declared entries each listened recording counts for.
 
     Step 0: the same id.  1: every entry at the best level at which title and artist match.  2: the only
     entry of that exact title, else of that stripped title.
+
+    What is compared are classes of songs with equal keys and artists; only what is assigned becomes pairs of songs again.
     """
     same = listened.join(declared.select("mbid"), "mbid", "left_semi").select(F.col("mbid").alias("entry"), "mbid", F.lit(0).alias("step"))
     left = listened.join(declared.select("mbid"), "mbid", "left_anti")
-    pairs = _title_pairs(declared.where("title IS NOT NULL"), left)
-    best = F.max("level").over(Window.partitionBy("mbid"))
-    matched = pairs.where("agree").withColumn("best", best).where("level = best").select("entry", "mbid", F.lit(1).alias("step"))
+    d, entries = _classes(declared, "d")
+    l, heard = _classes(left, "l")  # noqa: E741
+    # An entry without a title takes no part in the first ladder, but counts where stripped titles must be unique.
+    titled = _classes(declared.where("title IS NOT NULL"), "d")[0]
+    exact = titled.join(l, F.col("d_exact_key") == F.col("l_exact_key")).where("l_exact_key <> ''").withColumn("level", F.lit(EXACT))
+    stripped = titled.join(l, F.col("d_stripped_key") == F.col("l_stripped_key")).where("l_stripped_key <> '' AND d_exact_key <> l_exact_key AND d_exact_key <> ''").withColumn("level", F.lit(STRIPPED))
+    both = exact.unionByName(stripped)
+    pairs = staged(both.select("d", "l", "level", "d_n", "d_least", X.artists_compatible(F.col("d_artists"), F.col("l_artists"), F.col("level") == EXACT).alias("agree")), "song-pairs")
+    best = F.max("level").over(Window.partitionBy("l"))
+    matched = pairs.where("agree").withColumn("best", best).where("level = best").select("d", "l")
+    first = matched.join(entries.withColumnRenamed("mbid", "entry"), "d").join(heard, "l").select("entry", "mbid", F.lit(1).alias("step"))
     # Titles alone: an exact title is stripped-equal too, so the stripped count includes exact ones.
-    open_ = pairs.join(matched.select("mbid").distinct(), "mbid", "left_anti")
-    d, l = declared.select(F.col("mbid").alias("entry"), F.col("stripped_key").alias("key")), left.select("mbid", F.col("stripped_key").alias("key"))  # noqa: E741
-    unique_exact = open_.where(F.col("level") == EXACT).groupBy("mbid").agg(F.count("*").alias("n"), F.min("entry").alias("entry")).where("n = 1").select("entry", "mbid")
-    by_stripped = d.join(l, "key").where("key <> ''").join(matched.select("mbid").distinct(), "mbid", "left_anti").groupBy("mbid").agg(F.count("*").alias("n"), F.min("entry").alias("entry")).where("n = 1").select("entry", "mbid")
-    unique = unique_exact.unionByName(by_stripped.join(unique_exact, "mbid", "left_anti")).select("entry", "mbid", F.lit(2).alias("step"))
-    return same.unionByName(matched).unionByName(unique)
+    done = matched.select("l").distinct()
+    only = lambda rows: rows.groupBy("l").agg(F.sum("d_n").alias("n"), F.min("d_least").alias("entry")).where("n = 1").select("l", "entry")
+    unique_exact = only(pairs.where(F.col("level") == EXACT).join(done, "l", "left_anti"))
+    by_stripped = only(d.join(l, F.col("d_stripped_key") == F.col("l_stripped_key")).where("d_stripped_key <> ''").join(done, "l", "left_anti"))
+    unique = unique_exact.unionByName(by_stripped.join(unique_exact, "l", "left_anti"))
+    return same.unionByName(first).unionByName(unique.join(heard, "l").select("entry", "mbid", F.lit(2).alias("step")))
 
 
 def observations(declared: DataFrame, counts: DataFrame, age: DataFrame) -> DataFrame:
