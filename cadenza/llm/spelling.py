@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import ascii_lower, materialize, table
 
 MIN_LENGTH, MIN_COUNT, RATIO, DROP_EVERY = 7, 2, 10, 31
-SHARD_WORDS, SHARD_BYTES, WORDS_A_TASK = 50_000, 1 << 20, 20_000
+SHARD_WORDS, SHARD_BYTES, WORDS_A_TASK = 200_000, 4 << 20, 20_000
 MAX_BROADCAST_BYTES = 32 << 20
 _SHARD = "bytes long, words binary, counts binary, first binary, labels binary, targets binary, ends binary"
 _PARTS = ["words", "counts", "first", "labels", "targets", "ends"]
@@ -253,7 +253,7 @@ def neighbours(vocabulary: DataFrame, max_broadcast_bytes: int = MAX_BROADCAST_B
     tries = materialize(shards(vocabulary, n_words, shard_words), "tries")
     passes: list[list[int]] = []
     room = 0
-    for shard in tries.select("shard", "bytes").orderBy("shard").toLocalIterator():  # two numbers for some 50,000 words
+    for shard in tries.select("shard", "bytes").orderBy("shard").toLocalIterator():  # two numbers a shard
         if not passes or shard["bytes"] > room:
             passes.append([])
             room = max_broadcast_bytes
