@@ -120,9 +120,11 @@ query("fn_fmt_duration", "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN '?:??
     lambda i: i.table("events").select("event_id", V.duration(F.when(F.col("event_id") % 9 != 0, F.col("event_id"))).alias("duration"))
 )
 _BIG = "CAST(o_orderkey AS BIGINT) * CAST(o_orderkey AS BIGINT) * CAST(CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 997 WHEN 2 THEN 1000003 ELSE 100000007 END AS BIGINT)"
+#: The same number where it passes 64 bits, as it does for keys above some 303,700: up to 38 digits.
+_WIDE = "CAST(o_orderkey AS DECIMAL(15,0)) * CAST(o_orderkey AS DECIMAL(15,0)) * CAST(CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 997 WHEN 2 THEN 1000003 ELSE 100000007 END AS DECIMAL(9,0))"
 _SCALED = " ".join(f"WHEN n >= {10**p} THEN concat(CAST(n // {10**p} AS VARCHAR), CASE WHEN n // {10**(p - 1)} % 10 > 0 THEN concat('.', n // {10**(p - 1)} % 10) ELSE '' END, '{u}')" for p, u in ((18, "E"), (15, "P"), (12, "T"), (9, "B"), (6, "M")))
 query("fn_human_number", f"SELECT o_orderkey, CASE {_SCALED} WHEN n >= 1000 THEN concat(n // 1000, ' ', lpad(CAST(n % 1000 AS VARCHAR), 3, '0')) ELSE CAST(n AS VARCHAR) END AS number FROM (SELECT o_orderkey, {_BIG} AS n FROM orders)")(
-    lambda i: i.table("orders").select("o_orderkey", V.human_number(F.expr(_BIG)).alias("number"))
+    lambda i: i.table("orders").select("o_orderkey", V.human_number(F.expr(_WIDE)).alias("number"))
 )
 query("fn_q_floor", "SELECT p_brand, CAST(floor(avg(p_partkey % 5)) AS INTEGER) AS tier FROM part GROUP BY 1")(lambda i: i.table("part").groupBy("p_brand").agg(V.q_floor(F.avg(F.col("p_partkey") % 5)).alias("tier")))
 query("proj_rate", "SELECT o_orderkey, round(o_custkey / greatest(o_orderkey % 40, 1), 6) AS rate FROM orders")(lambda i: i.table("orders").select("o_orderkey", F.round(V.rate(F.col("o_custkey"), F.col("o_orderkey") % 40), 6).alias("rate")))
