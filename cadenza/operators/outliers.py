@@ -16,6 +16,8 @@ from cadenza.operators.ordered import median, numbered
 from cadenza.sources.sinks import staged
 
 EXACT, STRIPPED = 2, 1
+#: Ids in a row, and pairs of songs that a task is to return, while classes become songs again.
+BLOCK, PER_TASK, MAX_TASKS = 1024, 5_000_000, 20_000
 
 
 def songs(rows: DataFrame) -> DataFrame:
@@ -23,54 +25,97 @@ def songs(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"exact_key": X.normalize_words(F.col("title")), "stripped_key": X.strip_version(F.col("title")), "artists": X.split_artists(F.col("artist"))})
 
 
-def _title_pairs(declared: DataFrame, listened: DataFrame) -> DataFrame:
-    """(entry, mbid, level, agree) of titles that are equal, or equal without versions."""
-    d = declared.select(F.col("mbid").alias("entry"), F.col("exact_key").alias("d_exact"), F.col("stripped_key").alias("d_stripped"), F.col("artists").alias("d_artists"))
-    exact = d.join(listened, F.col("d_exact") == F.col("exact_key")).where("exact_key <> ''").withColumn("level", F.lit(EXACT))
-    stripped = d.join(listened, F.col("d_stripped") == F.col("stripped_key")).where("stripped_key <> '' AND d_exact <> exact_key AND d_exact <> ''").withColumn("level", F.lit(STRIPPED))
+def _named(songs: DataFrame, side: str) -> DataFrame:
+    """(class, mbid, keys, artists, titled): songs that are matched alike, because keys and artists are equal, share a class."""
+    h1, h2 = F.xxhash64("exact_key", "stripped_key", "artists"), F.xxhash64("artists", "stripped_key", "exact_key", F.lit(1))
+    named = songs.select("mbid", "exact_key", "stripped_key", "artists", F.col("title").isNotNull().alias("titled"), h1.alias("h1"), h2.alias("h2"))
+    return staged(named.withColumn(side, F.struct("h1", "h2")).drop("h1", "h2"), f"songs-{side}")
+
+
+def _classes(named: DataFrame, side: str) -> DataFrame:
+    """Classes as one row each: keys, artists, the number of songs and the smallest of their ids."""
+    facts = [F.first(c).alias(f"{side}_{c}") for c in ("exact_key", "stripped_key", "artists")]
+    return named.groupBy(side).agg(*facts, F.count("*").alias(f"{side}_n"), F.min("mbid").alias(f"{side}_least"))
+
+
+def _class_pairs(declared: DataFrame, listened: DataFrame) -> DataFrame:
+    """(d, l, level, d_n, d_least, l_n, agree) of classes whose titles are equal, or equal without versions."""
+    exact = declared.join(listened, F.col("d_exact_key") == F.col("l_exact_key")).where("l_exact_key <> ''").withColumn("level", F.lit(EXACT))
+    stripped = declared.join(listened, F.col("d_stripped_key") == F.col("l_stripped_key")).where("l_stripped_key <> '' AND d_exact_key <> l_exact_key AND d_exact_key <> ''").withColumn("level", F.lit(STRIPPED))
     both = exact.unionByName(stripped)
-    return both.select("entry", "mbid", "level", X.artists_compatible(F.col("d_artists"), F.col("artists"), F.col("level") == EXACT).alias("agree"))
+    return staged(both.select("d", "l", "level", "d_n", "d_least", "l_n", X.artists_compatible(F.col("d_artists"), F.col("l_artists"), F.col("level") == EXACT).alias("agree")), "song-pairs")
+
+
+def _blocks(members: DataFrame, side: str) -> DataFrame:
+    """(class, ids): the songs of each class, some ``BLOCK`` ids a row, so that no row holds a large class."""
+    blocks = members.groupBy(side).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    block = F.pmod(F.xxhash64("mbid"), F.col("blocks")).alias("block")
+    return members.join(blocks, side).groupBy(side, block).agg(F.collect_list("mbid").alias(f"{side}_ids")).drop("block")
 
 
-def _classes(songs: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
-    """(classes, members): songs that are matched alike, because keys and artists are equal, as one row each.
+def _song_pairs(pairs: DataFrame, entries: DataFrame, heard: DataFrame) -> DataFrame:
+    """(entry, mbid): the songs of pairs (d, l, d_n, l_n) of classes.
 
-    A class has its keys, its artists, its number of songs and the smallest of their ids; a member (class, mbid) is a song.
+    Blocks of ids are joined and dealt evenly, and become pairs of songs in the task that returns them: what is
+    shuffled grows with the songs, and a title that many songs share is spread over many tasks.
     """
-    named = songs.select("mbid", "exact_key", "stripped_key", "artists", F.xxhash64("exact_key", "stripped_key", "artists").alias("h1"), F.xxhash64("artists", "stripped_key", "exact_key", F.lit(1)).alias("h2"))
-    named = staged(named.withColumn(side, F.struct("h1", "h2")).drop("h1", "h2"), f"songs-{side}")
-    facts = [F.first(c).alias(f"{side}_{c}") for c in ("exact_key", "stripped_key", "artists")]
-    return named.groupBy(side).agg(*facts, F.count("*").alias(f"{side}_n"), F.min("mbid").alias(f"{side}_least")), named.select(side, "mbid")
+    spark = pairs.sparkSession
+    n = pairs.agg(F.sum(F.col("d_n").cast("double") * F.col("l_n"))).first()[0] or 0.0
+    tasks = min(max(spark.sparkContext.defaultParallelism, int(n / PER_TASK) + 1), MAX_TASKS)
+    both = pairs.select("d", "l").join(_blocks(entries, "d"), "d").join(_blocks(heard, "l"), "l").select("d_ids", "l_ids").repartition(tasks)
+    return both.select(F.explode("d_ids").alias("entry"), "l_ids").select("entry", F.explode("l_ids").alias("mbid"))
 
 
-def assign(declared: DataFrame, listened: DataFrame) -> DataFrame:
-    """(entry, mbid, step): which declared entries each listened recording counts for.
+def title_matches(declared: DataFrame, listened: DataFrame, level: int) -> DataFrame:
+    """(entry, mbid): declared and listened songs of other ids whose titles match at ``level`` and whose artists agree."""
+    entries, heard = _named(declared, "d"), _named(listened.join(declared.select("mbid"), "mbid", "left_anti"), "l")
+    return _song_pairs(_class_pairs(_classes(entries, "d"), _classes(heard, "l")).where(F.col("agree") & (F.col("level") == level)), entries, heard)
 
-    Step 0: the same id.  1: every entry at the best level at which title and artist match.  2: the only
-    entry of that exact title, else of that stripped title.
 
-    What is compared are classes of songs with equal keys and artists; only what is assigned becomes pairs of songs again.
+def _ladder(declared: DataFrame, listened: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The steps of :func:`assign`: (same, matched, unique, entries, heard).
+
+    ``same`` are pairs of songs, ``matched`` pairs (d, l, d_n, l_n) of classes, ``unique`` rows (l, entry); the others are the
+    members of the classes.
     """
-    same = listened.join(declared.select("mbid"), "mbid", "left_semi").select(F.col("mbid").alias("entry"), "mbid", F.lit(0).alias("step"))
+    same = listened.join(declared.select("mbid"), "mbid", "left_semi").select(F.col("mbid").alias("entry"), "mbid")
     left = listened.join(declared.select("mbid"), "mbid", "left_anti")
-    d, entries = _classes(declared, "d")
-    l, heard = _classes(left, "l")  # noqa: E741
+    entries, heard = _named(declared, "d"), _named(left, "l")
+    d, l = _classes(entries, "d"), _classes(heard, "l")  # noqa: E741
     # An entry without a title takes no part in the first ladder, but counts where stripped titles must be unique.
-    titled = _classes(declared.where("title IS NOT NULL"), "d")[0]
-    exact = titled.join(l, F.col("d_exact_key") == F.col("l_exact_key")).where("l_exact_key <> ''").withColumn("level", F.lit(EXACT))
-    stripped = titled.join(l, F.col("d_stripped_key") == F.col("l_stripped_key")).where("l_stripped_key <> '' AND d_exact_key <> l_exact_key AND d_exact_key <> ''").withColumn("level", F.lit(STRIPPED))
-    both = exact.unionByName(stripped)
-    pairs = staged(both.select("d", "l", "level", "d_n", "d_least", X.artists_compatible(F.col("d_artists"), F.col("l_artists"), F.col("level") == EXACT).alias("agree")), "song-pairs")
+    titled = _classes(entries.where("titled"), "d")
+    pairs = _class_pairs(titled, l)
     best = F.max("level").over(Window.partitionBy("l"))
-    matched = pairs.where("agree").withColumn("best", best).where("level = best").select("d", "l")
-    first = matched.join(entries.withColumnRenamed("mbid", "entry"), "d").join(heard, "l").select("entry", "mbid", F.lit(1).alias("step"))
+    matched = pairs.where("agree").withColumn("best", best).where("level = best").select("d", "l", "d_n", "l_n")
     # Titles alone: an exact title is stripped-equal too, so the stripped count includes exact ones.
     done = matched.select("l").distinct()
     only = lambda rows: rows.groupBy("l").agg(F.sum("d_n").alias("n"), F.min("d_least").alias("entry")).where("n = 1").select("l", "entry")
     unique_exact = only(pairs.where(F.col("level") == EXACT).join(done, "l", "left_anti"))
     by_stripped = only(d.join(l, F.col("d_stripped_key") == F.col("l_stripped_key")).where("d_stripped_key <> ''").join(done, "l", "left_anti"))
     unique = unique_exact.unionByName(by_stripped.join(unique_exact, "l", "left_anti"))
-    return same.unionByName(first).unionByName(unique.join(heard, "l").select("entry", "mbid", F.lit(2).alias("step")))
+    return same, matched, unique, entries, heard
+
+
+def assign(declared: DataFrame, listened: DataFrame) -> DataFrame:
+    """(entry, mbid, step): which declared entries each listened recording counts for.
+
+    Step 0: the same id.  1: every entry at the best level at which title and artist match.  2: the only
+    entry of that exact title, else of that stripped title.
+
+    What is compared are classes of songs with equal keys and artists; only what is assigned becomes pairs of songs again.
+    """
+    same, matched, unique, entries, heard = _ladder(declared, listened)
+    first = _song_pairs(matched, entries, heard)
+    alone = unique.join(heard, "l").select("entry", "mbid")
+    steps = [rows.withColumn("step", F.lit(step)) for step, rows in enumerate((same, first, alone))]
+    return steps[0].unionByName(steps[1]).unionByName(steps[2])
+
+
+def assigned_once(declared: DataFrame, listened: DataFrame) -> DataFrame:
+    """(mbid): the listened recordings that :func:`assign` gives any entry, each once, without the pairs."""
+    same, matched, unique, _, heard = _ladder(declared, listened)
+    classes = matched.select("l").unionByName(unique.select("l")).distinct()
+    return same.select("mbid").unionByName(heard.join(classes, "l", "left_semi").select("mbid")).distinct()
 
 
 def observations(declared: DataFrame, counts: DataFrame, age: DataFrame) -> DataFrame:
