@@ -1,7 +1,8 @@
 """Several feeds merged as their pages arrive: one row of each living feed per turn.
 
 The state of a listener is whose turn it is, how many rows were read, how far each feed has come and where it ends,
-rows that came before their turn, and the keys already shown.  A row is read only when all feeds before it in
+rows that came before their turn (in blocks of ``BLOCK`` positions of a feed, since each call of the state costs a round trip), and
+the keys already shown.  A row is read only when all feeds before it in
 its turn have been read or have ended, so pages that arrive in any number of batches get the indexes of one batch.
 """
 
@@ -18,6 +19,8 @@ if TYPE_CHECKING:
 
 MERGED = "listener long, index long, feed string, mbid string"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Positions of a feed that wait as one entry of the state, and rows that are returned at once.
+BLOCK, ROWS = 4096, 50_000
 
 
 class Merge(StatefulProcessor):
@@ -32,7 +35,7 @@ class Merge(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.at = handle.getValueState("at", "turn int, read long, next array<long>, ends array<long>")
-        self.waiting = handle.getMapState("waiting", "feed int, position long", "mbid string, heard boolean")
+        self.waiting = handle.getMapState("waiting", "feed int, block long", "position array<long>, mbid array<string>, heard array<boolean>")
         self.shown = handle.getMapState("shown", "mbid string", "index long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -41,32 +44,51 @@ class Merge(StatefulProcessor):
         count = len(self.feeds)
         turn, read, next_, ends = self.at.get() if self.at.exists() else (0, 0, [0] * count, [-1] * count)
         next_, ends = list(next_), list(ends)
-        came: dict[tuple[int, int], tuple[str, bool]] = {}
+        blocks: dict[tuple[int, int], dict[int, tuple[str, bool]]] = {}  # those that this call has looked at
+
+        def block(at: tuple[int, int]) -> dict[int, tuple[str, bool]]:
+            if at not in blocks:
+                held = self.waiting.getValue(at) if self.waiting.containsKey(at) else ((), (), ())
+                blocks[at] = {int(p): (m, bool(h)) for p, m, h in zip(*held, strict=True)}
+            return blocks[at]
+
         for page in rows:
             for feed, position, mbid, heard in zip(page["feed"], page["position"], page["mbid"], page["heard"], strict=True):
                 if feed not in self.feeds:
                     raise ValueError(f"unknown feed: {feed!r}")
-                place = self.feeds.index(feed)
+                place, position = self.feeds.index(feed), int(position)
                 if mbid is None:
-                    ends[place] = int(position)
+                    ends[place] = position
                 elif position >= next_[place]:
-                    came[place, int(position)] = (mbid, bool(heard))
-        out = []
+                    block((place, position // BLOCK))[position] = (mbid, bool(heard))
+        out, shown = [], {}
         while (place := next((f for f in (*range(turn, count), *range(turn)) if next_[f] != ends[f]), None)) is not None:
-            spot = (place, next_[place])
-            row = came.pop(spot, None)
+            spot, at = next_[place], (place, next_[place] // BLOCK)
+            row = block(at).pop(spot, None)
             if row is None:
-                if not self.waiting.containsKey(spot):
-                    break  # this feed's next page is still to come
-                row = tuple(self.waiting.getValue(spot))
-                self.waiting.removeKey(spot)
-            read, turn, next_[place] = read + 1, place + 1, next_[place] + 1
-            if (self.unlistened and row[1]) or self.shown.containsKey((row[0],)):
+                break  # this feed's next page is still to come
+            read, turn, next_[place] = read + 1, place + 1, spot + 1
+            if next_[place] % BLOCK == 0:  # read to its end
+                del blocks[at]
+                self.waiting.removeKey(at)
+            mbid, heard = row
+            if self.unlistened and heard:
+                continue
+            if mbid not in shown:
+                shown[mbid] = self.shown.containsKey((mbid,))
+            if shown[mbid]:
                 continue
-            self.shown.updateValue((row[0],), (read,))
-            out.append((int(key[0]), read, self.feeds[place], row[0]))
-        for spot, row in came.items():
-            self.waiting.updateValue(spot, row)
+            shown[mbid] = True
+            self.shown.updateValue((mbid,), (read,))
+            out.append((int(key[0]), read, self.feeds[place], mbid))
+            if len(out) == ROWS:
+                yield pd.DataFrame(out, columns=["listener", "index", "feed", "mbid"])
+                out = []
+        for at, held in blocks.items():
+            if held:
+                self.waiting.updateValue(at, (list(held), [m for m, _ in held.values()], [h for _, h in held.values()]))
+            else:
+                self.waiting.removeKey(at)
         self.at.update((turn, read, next_, ends))
         yield pd.DataFrame(out, columns=["listener", "index", "feed", "mbid"])
 
