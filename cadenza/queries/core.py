@@ -93,7 +93,7 @@ query("join_semi_link", "SELECT artist_mbid, related_mbid FROM artist_link SEMI
     lambda i: i.artist_link.join(i.recording_artist.join(i.recording.join(i.declared, "mbid", "left_semi"), "recording_id", "left_semi"), "artist_mbid", "left_semi")
 )
 query("join_anti_fresh", "SELECT DISTINCT mbid FROM library ANTI JOIN (SELECT mbid FROM library WHERE user_id % 3 = 0) USING (mbid)")(
-    lambda i: i.library.select("mbid").distinct().join(i.library.where("user_id % 3 = 0").select("mbid"), "mbid", "left_anti")
+    lambda i: i.library.select("mbid").distinct().join(i.library.where("user_id % 3 = 0").select("mbid").distinct(), "mbid", "left_anti")
 )
 query("join_not_exists", "SELECT recording_id, island FROM support JOIN recording USING (recording_id) WHERE NOT EXISTS (SELECT 1 FROM declared d WHERE d.mbid = recording.mbid)")(
     lambda i: i.backing.join(i.recording, "recording_id").join(i.declared, "mbid", "left_anti").select("recording_id", "island")
@@ -105,7 +105,7 @@ _HALVES = "held AS (SELECT user_id, mbid, CAST(least(sum(n), 65535) AS INTEGER)
 
 
 def _halves(i: Inputs):
-    return L.count_plays(i.listens.where("n > 20"), "n"), L.count_plays(i.listens.where("n <= 20"), "n")
+    return i.counted(F.col("n") > 20), i.counted(F.col("n") <= 20)
 
 
 @query("join_full_outer_merge", f", {_HALVES} SELECT coalesce(h.user_id, d.user_id) AS user_id, coalesce(h.mbid, d.mbid) AS mbid, CAST(least(coalesce(h.plays, 0) + coalesce(d.plays, 0), 65535) AS INTEGER) AS plays FROM held h FULL JOIN delta d ON h.user_id = d.user_id AND h.mbid = d.mbid")
