@@ -27,3 +27,16 @@ def test_plays_are_counted_by_keys_and_get_the_same_ids(spark):
     assert rows(inputs.counted(F.col("n") > 20)) == rows(L.count_plays(inputs.listens.where("n > 20"), plays="n"))
     plan = inputs.counted()._jdf.queryExecution().optimizedPlan().toString()
     assert 0 <= plan.index("md5") < plan.index("Aggregate")  # ids are made above the count
+
+
+def test_the_library_lies_by_keys_and_its_parts_are_those_of_all_lines(spark):
+    inputs = Inputs(spark, DATA)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    held = spark.read.parquet(os.path.dirname(inputs.library.inputFiles()[0]))
+    assert "string" not in dict(held.dtypes).values()  # ids are made of keys when they are read
+    named = L.count_plays(inputs.listens, plays="n")
+    assert rows(inputs.library) == rows(named)
+    recording = L.surrogate_keys(named)
+    assert rows(inputs.recording) == rows(recording)
+    assert rows(inputs.user_plays) == rows(L.user_plays(named, recording, inputs.pool))
+    assert rows(inputs.recording_artist) == rows(L.artist_bridge(inputs.listens, recording))
