@@ -40,7 +40,7 @@ query("filter_not_null", "SELECT event_id, k FROM (SELECT event_id, CAST(json_ex
     lambda i: i.table("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")).where(F.col("k").isNotNull())
 )
 query("filter_list_not_null", "SELECT recording_mbid, count(*) AS n FROM listens WHERE credits IS NOT NULL GROUP BY 1")(
-    lambda i: i.listens.where(F.col("artist_credit_mbids").isNotNull()).groupBy("recording_mbid").agg(F.count("*").alias("n"))
+    lambda i: i.per_part.where(F.col("artist_credit_mbids").isNotNull()).groupBy("recording_mbid").agg(F.sum("n").alias("n"))
 )
 query("filter_play_floor", "SELECT user_id, mbid, plays FROM library WHERE plays >= 3 AND user_id <> 1")(lambda i: i.library.where((F.col("plays") >= S.MIN_PLAYS) & (F.col("user_id") != 1)))
 query("filter_bucket", "SELECT user_id, mbid, plays FROM library WHERE user_id % 8 = 3")(lambda i: i.library.where(V.bucket(F.col("user_id")) == 3))
@@ -63,7 +63,7 @@ def _placeholder(i: Inputs):
 
 # Joins.
 query("join_inner_mbid_text", "SELECT recording_id, count(*) AS n, CAST(sum(len(credits)) AS BIGINT) AS credits FROM listens JOIN recording ON mbid = recording_mbid GROUP BY 1")(
-    lambda i: i.listens.join(i.recording, F.col("mbid") == F.col("recording_mbid")).groupBy("recording_id").agg(F.count("*").alias("n"), F.sum(F.size("artist_credit_mbids")).alias("credits"))
+    lambda i: i.per_part.join(i.recording, F.col("mbid") == F.col("recording_mbid")).groupBy("recording_id").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.size("artist_credit_mbids")).alias("credits"))
 )
 query("join_inner_mbid", "SELECT user_id, recording_id, plays FROM library JOIN recording USING (mbid)")(lambda i: i.library.join(i.recording, "mbid").select("user_id", "recording_id", "plays"))
 query("join_using_stat", "SELECT user_id, recording_id, plays, round(center, 6) AS center, round(low, 6) AS low, round(high, 6) AS high, recording FROM user_plays JOIN user_stat USING (user_id)")(
@@ -219,7 +219,7 @@ query("fn_least_greatest_coalesce_case", "SELECT o_orderkey, CAST(least(coalesce
     lambda i: i.table("orders").join(i.table("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy("o_orderkey").agg(V.saturated(F.coalesce(F.sum(F.col("l_quantity") * 1000), F.lit(0)).cast("long")).alias("plays"))
 )
 query("fn_mod", "SELECT user_id, CAST(user_id % 8 AS INTEGER) AS bucket FROM events GROUP BY 1", inputs=False)(lambda i: i.table("events").select("user_id", V.bucket(F.col("user_id")).alias("bucket")).distinct())
-query("fn_unnest", "SELECT recording_mbid, artist FROM (SELECT DISTINCT recording_mbid, unnest(credits) AS artist FROM listens)")(lambda i: i.listens.select("recording_mbid", F.explode("artist_credit_mbids").alias("artist")).distinct())
+query("fn_unnest", "SELECT recording_mbid, artist FROM (SELECT DISTINCT recording_mbid, unnest(credits) AS artist FROM listens)")(lambda i: i.per_part.select("recording_mbid", F.explode("artist_credit_mbids").alias("artist")).distinct())
 query("fn_uuid_cast", f"SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN {sql_mbid('p_partkey')} END AS mbid FROM part", inputs=False)(
     lambda i: i.table("part").select("p_partkey", __import__("cadenza.functions.text", fromlist=["x"]).to_uuid(F.when(F.col("p_partkey") % 5 != 0, F.concat(F.lit(" "), F.upper(mbid(F.col("p_partkey"))))).otherwise("no id")).alias("mbid"))
 )

@@ -7,6 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from cadenza import registry
 from cadenza.operators import library as L
 from cadenza.queries.standin import Inputs
 
@@ -40,3 +41,12 @@ def test_the_library_lies_by_keys_and_its_parts_are_those_of_all_lines(spark):
     assert rows(inputs.recording) == rows(recording)
     assert rows(inputs.user_plays) == rows(L.user_plays(named, recording, inputs.pool))
     assert rows(inputs.recording_artist) == rows(L.artist_bridge(inputs.listens, recording))
+
+
+def test_lines_are_counted_by_parts_before_they_get_ids(spark):
+    for name in ("join_inner_mbid_text", "filter_list_not_null"):
+        top, *below = registry.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert "count(1)" not in top and any("count(1)" in line for line in below), name  # what is counted has no ids yet
+    inputs = Inputs(spark, DATA)
+    want = inputs.listens.select("recording_mbid", F.explode("artist_credit_mbids")).distinct()
+    assert sorted(map(tuple, registry.queries()["fn_unnest"](spark, DATA).collect())) == sorted(map(tuple, want.collect()))
