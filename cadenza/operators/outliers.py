@@ -180,8 +180,9 @@ def first_added(log: DataFrame) -> DataFrame:
     """
     lines = _lines(log)
     place = F.struct("commit", "line", "mbid").alias("place")
-    first = lines.where("sign = '+'").select("mbid", place, "at", "commit", "rest", "turn").groupBy("mbid").agg(F.min_by(F.struct("place", "at", "commit", "rest", "turn"), "place").alias("f")).select("mbid", "f.*")
-    first = staged(first, "first-added")
+    # Structs are aggregated by sorting: they hold each column once.
+    first = lines.where("sign = '+'").groupBy("mbid").agg(F.min(F.struct("commit", "line", "at", "rest", "turn")).alias("f")).select("mbid", "f.*")
+    first = staged(first.select("mbid", place, "at", "commit", "rest", "turn"), "first-added")
     old = lines.where("sign = '-'").select("commit", "rest", "turn", F.col("mbid").alias("parent"))
     earlier = first.select(F.col("mbid").alias("parent"), F.col("place").alias("parent_place"))
     swaps = staged(first.join(old, ["commit", "rest", "turn"]).join(earlier, "parent").where("parent_place < place").select("mbid", "parent"), "swaps")

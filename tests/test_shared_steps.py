@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cadenza import registry
 from cadenza.operators import library as L
+from cadenza.queries import flows
 from cadenza.queries.standin import Inputs
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -50,3 +51,12 @@ def test_lines_are_counted_by_parts_before_they_get_ids(spark):
     inputs = Inputs(spark, DATA)
     want = inputs.listens.select("recording_mbid", F.explode("artist_credit_mbids")).distinct()
     assert sorted(map(tuple, registry.queries()["fn_unnest"](spark, DATA).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_longer_log_has_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(flows, "LOG_LINES", 500)
+    log = flows._log(Inputs(spark, DATA), F.concat(F.lit("e"), F.col("l_partkey").cast("string")))
+    assert log.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by_many = sorted(map(tuple, registry.queries()["win_first_added"](spark, DATA).collect()))
+    monkeypatch.undo()
+    assert by_many == sorted(map(tuple, registry.queries()["win_first_added"](spark, DATA).collect()))
