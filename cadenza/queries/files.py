@@ -132,13 +132,16 @@ def _(i: Inputs) -> DataFrame:
     It is written in ranges of orders; what is read back are files of lines, which the reader numbers.
     """
     orders, place = i.table("orders").select("o_orderkey"), _place(i, "log")
-    heads = orders.select((F.col("o_orderkey") * 1000).alias("number"), (F.col("o_orderkey") + 1_600_000_000).cast("string").alias("value"))
     lines = i.table("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    sign = F.when(F.col("l_returnflag") == "R", "-").otherwise("+")
-    entry = F.concat(sign, F.lit('  (s: "'), mbid(F.col("l_partkey")), F.lit('", q: 3),'))
-    noise = orders.select((F.col("o_orderkey") * 1000 + 999).alias("number"), F.lit("+++ b/list").alias("value"))
-    text = heads.unionByName(lines.select((F.col("o_orderkey") * 1000 + F.col("l_linenumber")).alias("number"), entry.alias("value"))).unionByName(noise)
-    text.repartitionByRange("number", "value").sortWithinPartitions("number", "value").select("value").write.text(place)
+    # Keys are dealt by ranges; what they say is several times as long and is written where they arrive.
+    row = lambda rows, number, sign, key: rows.select(number.alias("number"), sign.alias("sign"), key.cast("long").alias("key"))
+    heads = row(orders, F.col("o_orderkey") * 1000, F.lit(""), F.col("o_orderkey") + 1_600_000_000)
+    entries = row(lines, F.col("o_orderkey") * 1000 + F.col("l_linenumber"), F.when(F.col("l_returnflag") == "R", "-").otherwise("+"), F.col("l_partkey"))
+    noise = row(orders, F.col("o_orderkey") * 1000 + 999, F.lit("+++ b/list"), F.lit(None))
+    entry = F.concat("sign", F.lit('  (s: "'), mbid(F.col("key")), F.lit('", q: 3),'))
+    value = F.when(F.col("sign") == "", F.col("key").cast("string")).when(F.col("key").isNull(), F.col("sign")).otherwise(entry)
+    text = heads.unionByName(entries).unionByName(noise).repartitionByRange("number").select("number", value.alias("value"))
+    text.sortWithinPartitions("number", "value").select("value").write.text(place)
     return Rd.git_log_file(i.spark, place).select("commit", "at", "line", "sign", "mbid")
 
 

@@ -301,35 +301,49 @@ def rsync_listing(lines: DataFrame, value: str = "value") -> DataFrame:
     return rows.where(~F.col("name").isin(".", ".."))
 
 
+#: A range of lines is sorted by one task when something is carried down a file.
+RANGE_LINES = 1 << 18
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(number, value): the lines of a text file, or of a folder's files in the order of their names, numbered from 0.
+    """(number, value): the lines of a text file, or of a folder's files in the order of their names, numbered from 0."""
+    return _ranged_lines(spark, path).select("number", "value")
+
+
+def _ranged_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(number, value, range): :func:`numbered_lines` with the number of the range that a line was read in.
 
     Files are read in ranges of bytes; a line belongs to the range where it starts.  A task numbers the lines of its
-    ranges as it reads them, and the counts of the ranges before, one row per range, say where a range begins.
+    ranges as it reads them, and the counts of the ranges before, one row per range, say where a range begins.  What
+    is counted as a range here has ``RANGE_LINES`` lines at most.
     """
     place = {"_path": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"), "_read": F.monotonically_increasing_id()}
     lines = staged(spark.read.text(path).select("value", *[c.alias(n) for n, c in place.items()]), "lines")
-    ranges = lines.groupBy("_path", "_start").agg(F.count("*").alias("_n"), F.min("_read").alias("_first"))
-    before = Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return lines.join(offsets.drop("_n"), ["_path", "_start"]).select((F.col("_before") + F.col("_read") - F.col("_first")).alias("number"), "value")
+    lines = lines.withColumn("_cut", F.call_function("div", F.col("_read"), F.lit(RANGE_LINES).cast("long")))
+    keys = ["_path", "_start", "_cut"]
+    ranges = lines.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_read").alias("_first"))
+    order = Window.orderBy(*keys)
+    above = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    offsets = ranges.withColumns({"_before": F.coalesce(above, F.lit(0)), "range": F.row_number().over(order)})
+    return lines.join(F.broadcast(offsets.drop("_n")), keys).select((F.col("_before") + F.col("_read") - F.col("_first")).alias("number"), "value", "range")
 
 
 def git_log_file(spark: SparkSession, path: str) -> DataFrame:
     """:func:`git_log` of a written log; lines and commits are named by their numbers in it."""
-    return git_log(numbered_lines(spark, path))
+    return git_log(_ranged_lines(spark, path), ranges="range")
 
 
-def git_log(lines: DataFrame, number: str = "number", value: str = "value") -> DataFrame:
+def git_log(lines: DataFrame, number: str = "number", value: str = "value", ranges: str | None = None) -> DataFrame:
     """(commit, at, line, sign, mbid, rest) from `git log -p` text: seconds on a line of their own, then a diff.
 
-    Each line's commit is the last one above it: a running maximum over ranges of lines.
+    Each line's commit is the last one above it: a running maximum over ranges of lines, those of the column ``ranges`` if
+    it is given.  Lines that are neither are left out first.
     """
     from cadenza.operators.ordered import running_max
 
-    at = F.when(F.col(value).rlike(r"^[0-9]{9,11}$"), F.struct(F.col(number), F.col(value).cast("long").alias("at")))
-    marked = running_max(lines, at, number, name="head")
-    entry = rf'^([+-])\s*\(.*s:\s*"({X.UUID})"(.*)$'
+    head, entry = r"^[0-9]{9,11}$", rf'^([+-])\s*\(.*s:\s*"({X.UUID})"(.*)$'
+    at = F.when(F.col(value).rlike(head), F.struct(F.col(number), F.col(value).cast("long").alias("at")))
+    marked = running_max(lines.where(F.col(value).rlike(head) | F.col(value).rlike(entry)), at, number, name="head", ranges=ranges)
     rows = marked.where(F.col(value).rlike(entry) & F.col("head").isNotNull())
     return rows.select(F.col(f"head.{number}").alias("commit"), "head.at", F.col(number).alias("line"), *[F.regexp_extract(value, entry, i).alias(n) for i, n in ((1, "sign"), (2, "mbid"), (3, "rest"))])
 

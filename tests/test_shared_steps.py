@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from cadenza import registry
 from cadenza.operators import library as L
 from cadenza.queries import flows
 from cadenza.queries.standin import Inputs
+from cadenza.sources import readers
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
@@ -53,6 +55,26 @@ def test_lines_are_counted_by_parts_before_they_get_ids(spark):
     assert sorted(map(tuple, registry.queries()["fn_unnest"](spark, DATA).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_what_a_range_takes_over_moves_no_rows(spark, tmp_path):
+    """Offsets of ranges are joined to lines where these lie, whatever Spark thinks of the sizes."""
+    heads = [n for n in range(3000) if n % 7 == 0]
+    text = [str(1_600_000_000 + n) if n % 7 == 0 else f'+  (s: "{uuid.UUID(int=n)}", q: 3),' if n % 7 < 5 else "+++ b/list" for n in range(3000)]
+    (tmp_path / "log.txt").write_text("\n".join(text))
+    before = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.files.maxPartitionBytes")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        found = readers.git_log_file(spark, str(tmp_path / "log.txt"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        rows = found.select("commit", "at", "line", "mbid").collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert "SortMergeJoin" not in plan and "rangepartitioning" not in plan
+    want = [(max(h for h in heads if h <= n), 1_600_000_000 + n // 7 * 7, n, str(uuid.UUID(int=n))) for n in range(3000) if 0 < n % 7 < 5]
+    assert sorted(map(tuple, rows)) == want
+
+
 def test_a_longer_log_has_more_tasks(spark, monkeypatch):
     monkeypatch.setattr(flows, "LOG_LINES", 500)
     log = flows._log(Inputs(spark, DATA), F.concat(F.lit("e"), F.col("l_partkey").cast("string")))
