@@ -67,7 +67,7 @@ query("join_inner_mbid_text", "SELECT recording_id, count(*) AS n, CAST(sum(len(
 )
 query("join_inner_mbid", "SELECT user_id, recording_id, plays FROM library JOIN recording USING (mbid)")(lambda i: i.library.join(i.recording, "mbid").select("user_id", "recording_id", "plays"))
 query("join_using_stat", "SELECT user_id, recording_id, plays, round(center, 6) AS center, round(low, 6) AS low, round(high, 6) AS high, recording FROM user_plays JOIN user_stat USING (user_id)")(
-    lambda i: i.user_plays.join(i.user_stat, "user_id").select("user_id", "recording_id", "plays", r("center"), r("low"), r("high"), "recording")
+    lambda i: i.drawn.select("user_id", "recording_id", "plays", r("center"), r("low"), r("high"), "recording")
 )
 query("join_cohort", "SELECT user_id, recording_id, plays, island FROM user_plays JOIN cohort USING (user_id)")(lambda i: i.user_plays.join(i.cohort, "user_id").select("user_id", "recording_id", "plays", "island"))
 query("join_multi_dim", "SELECT b.recording_id, island, round(weight, 6) AS weight, mbid, listener, l.plays FROM support b JOIN recording USING (recording_id) JOIN recording_listener l USING (recording_id)")(
@@ -188,7 +188,7 @@ _DRAWN = "(SELECT user_id, recording_id, plays, center, low, high FROM user_play
 
 
 def _drawn(i: Inputs):
-    return i.user_plays.join(i.user_stat, "user_id"), [F.col(c) for c in ("center", "low", "high")]
+    return i.drawn, [F.col(c) for c in ("center", "low", "high")]
 
 
 def _attraction(name, column, sql_column):

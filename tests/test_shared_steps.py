@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza import registry
+from cadenza.operators import islands as I
 from cadenza.operators import library as L
+from cadenza.operators import ordered
 from cadenza.queries import flows
 from cadenza.queries.standin import Inputs
 from cadenza.sources import readers
@@ -82,3 +84,32 @@ def test_a_longer_log_has_more_tasks(spark, monkeypatch):
     by_many = sorted(map(tuple, registry.queries()["win_first_added"](spark, DATA).collect()))
     monkeypatch.undo()
     assert by_many == sorted(map(tuple, registry.queries()["win_first_added"](spark, DATA).collect()))
+
+
+def test_more_rows_are_more_tasks_and_the_same_results(spark, monkeypatch):
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    few = Inputs(spark, DATA)
+    monkeypatch.setattr(ordered, "TASK_ROWS", 500)
+    many = Inputs(spark, DATA)
+    tasks = -(-many.lines // 500)
+    assert tasks > spark.sparkContext.defaultParallelism
+    assert many._bought.rdd.getNumPartitions() == many._keyed().rdd.getNumPartitions() == tasks
+    assert many.drawn.rdd.getNumPartitions() == -(-many.user_plays.count() // 500)
+    for part in ("library", "declared", "recording", "user_plays", "user_stat", "drawn", "recording_listener"):
+        assert rows(getattr(many, part)) == rows(getattr(few, part)), part
+    assert rows(I.ranked(many.best, 20).select("island", "position", "mbid")) == rows(I.ranked(few.best, 20).select("island", "position", "mbid"))
+
+
+def test_plays_are_dealt_once_for_statistics_and_not_at_all_for_few(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "TASK_ROWS", 500)
+    inputs = Inputs(spark, DATA)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(L.user_stat(inputs.user_plays)).count("Exchange hashpartitioning") == 1
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "32k")  # as files the few are smaller, by a guess at a join larger
+        heard = I.audience(inputs.user_plays, inputs.user_stat, inputs.recording, inputs.declared)
+        assert "hashpartitioning(recording_id" not in plan(heard)
+        assert "SortMergeJoin" not in plan(inputs.vote)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
