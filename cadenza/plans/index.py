@@ -34,14 +34,15 @@ def build(spark: SparkSession, listens: DataFrame, declared: DataFrame, links: D
     """
     made = Manifest(spark, index)
     heard, linked = fingerprint(listens), fingerprint(links)
-    library = made.stage("library", [heard], lambda: L.count_plays(listens))
-    own = L.own_user(library, declared, known_own).first()  # one row
+    recording = made.stage("recording", [heard], lambda: L.surrogate_keys(listens.where("recording_mbid IS NOT NULL").select(F.col("recording_mbid").alias("mbid"))))
+    library = made.stage("library", [heard, "recording"], lambda: L.count_numbered(listens, recording))
+    named = sinks.staged(recording.join(declared.select("mbid").distinct(), "mbid").select("recording_id", "mbid"), "declared")
+    own = L.own_user(library.join(named, "recording_id"), declared, known_own).first()  # one row
     if own is None or own["own"] is None:
         raise ValueError("the declaration singles out no user")
     own_row = spark.createDataFrame([(own["own"],)], "own long")
-    recording = made.stage("recording", ["library"], lambda: L.surrogate_keys(library))
     members = made.stage("pool", ["library", f"own {own['own']}"], lambda: L.pool(library, own_row))
-    plays = made.stage("user_plays", ["library", "recording", "pool"], lambda: L.user_plays(library, recording, members), sinks.write_buckets, S.USER_PLAYS)
+    plays = made.stage("user_plays", ["library", "pool"], lambda: L.of_members(library, members), sinks.write_buckets, S.USER_PLAYS)
     made.stage("user_stat", ["user_plays"], lambda: L.user_stat(plays), sinks.write_buckets, S.USER_STAT)
     made.stage("recording_listener", ["user_plays"], lambda: L.recording_listener(plays))
     made.stage("recording_artist", [heard, "recording"], lambda: L.artist_bridge(listens, recording))

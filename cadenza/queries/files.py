@@ -79,7 +79,7 @@ def _(i: Inputs) -> DataFrame:
     Each says which parts were built again, and how many rows they have.
     """
     index, told = _place(i, "index"), []
-    listens = Sk.staged(i.listens.select("user_id", "recording_mbid", "artist_credit_mbids", "part"), "listens")
+    listens = Sk.staged(i.dump, "listens")
     links = Sk.staged(i.artist_link, "links")
     some, fewer = listens.where("part % 2 = 0"), links.where("artist_mbid LIKE '%ECONOMY%' AND related_mbid LIKE '%ECONOMY%'")
     for step, (heard, linked) in enumerate(((some, links), (some, links), (listens, links), (listens, fewer))):

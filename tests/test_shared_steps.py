@@ -15,6 +15,7 @@ from cadenza.operators import ordered
 from cadenza.queries import flows
 from cadenza.queries.standin import Inputs
 from cadenza.sources import readers
+from cadenza.sources.sinks import staged
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
@@ -113,3 +114,32 @@ def test_plays_are_dealt_once_for_statistics_and_not_at_all_for_few(spark, monke
         assert "SortMergeJoin" not in plan(inputs.vote)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_ids_of_listens_are_shuffled_once(spark, monkeypatch):
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    inputs = Inputs(spark, DATA)
+    listens = staged(inputs.listens.select("user_id", F.when(F.col("part") % 13 != 0, F.col("recording_mbid")).alias("recording_mbid")), "listens")
+    recording = staged(L.surrogate_keys(L.count_plays(listens)), "recording")
+    want = rows(L.count_plays(listens).join(recording, "mbid").select("user_id", "recording_id", "plays"))
+    assert rows(L.count_numbered(listens, recording)) == want
+    monkeypatch.setattr(ordered, "TASK_ROWS", 500)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = L.count_numbered(listens, recording)
+        # One exchange of the listens, one of the recordings.
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert rows(found) == want
+    dump = Inputs(spark, DATA).dump
+    assert dump.rdd.getNumPartitions() == -(-inputs.lines // 500)
+    assert rows(dump.select("user_id", "recording_mbid", "artist_credit_mbids", "part")) == rows(inputs.listens.select("user_id", "recording_mbid", "artist_credit_mbids", "part"))
+
+
+def test_builds_over_dealt_listens_are_the_same(spark, monkeypatch):
+    rows = lambda: sorted(map(tuple, registry.queries()["invalidate_on_stamp"](spark, DATA).collect()))
+    few = rows()
+    monkeypatch.setattr(ordered, "TASK_ROWS", 500)
+    assert rows() == few
