@@ -6,94 +6,122 @@ taken is anti-joined before the next.  No step compares every heard with every s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza import schema as S
 from cadenza.functions import text as X
 from cadenza.functions import values as V
-from cadenza.operators.ordered import median, numbered
+from cadenza.operators.ordered import dealt, median, numbered
 from cadenza.sources.sinks import staged
 
 EXACT, STRIPPED = 2, 1
-#: Ids in a row, and pairs of songs that a task is to return, while classes become songs again.
-BLOCK, PER_TASK, MAX_TASKS = 1024, 5_000_000, 20_000
+#: Songs of a side that are paired in one place, and pairs of songs that a task is to return, while classes become songs again.
+BLOCK, PER_TASK, MAX_TASKS = 2048, 50_000_000, 20_000
 
 
 def songs(rows: DataFrame) -> DataFrame:
-    """(mbid, title, artist, ...) with the keys that songs are matched on."""
+    """(title, artist, ...) with the keys that songs are matched on."""
     return rows.withColumns({"exact_key": X.normalize_words(F.col("title")), "stripped_key": X.strip_version(F.col("title")), "artists": X.split_artists(F.col("artist"))})
 
 
-def _named(songs: DataFrame, side: str) -> DataFrame:
-    """(class, mbid, keys, artists, titled): songs that are matched alike, because keys and artists are equal, share a class."""
-    h1, h2 = F.xxhash64("exact_key", "stripped_key", "artists"), F.xxhash64("artists", "stripped_key", "exact_key", F.lit(1))
-    named = songs.select("mbid", "exact_key", "stripped_key", "artists", F.col("title").isNotNull().alias("titled"), h1.alias("h1"), h2.alias("h2"))
-    return staged(named.withColumn(side, F.struct("h1", "h2")).drop("h1", "h2"), f"songs-{side}")
+def _mark(*columns: str) -> Column:
+    """128 bits of hashes in place of the columns.  Nulls count."""
+    seen = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
+    return F.struct(F.xxhash64(*seen).alias("h1"), F.xxhash64(F.lit(1), *seen).alias("h2"))
 
 
-def _classes(named: DataFrame, side: str) -> DataFrame:
-    """Classes as one row each: keys, artists, the number of songs and the smallest of their ids."""
-    facts = [F.first(c).alias(f"{side}_{c}") for c in ("exact_key", "stripped_key", "artists")]
-    return named.groupBy(side).agg(*facts, F.count("*").alias(f"{side}_n"), F.min("mbid").alias(f"{side}_least"))
+def _members(songs: DataFrame) -> DataFrame:
+    """(mbid, name): songs with the mark of their title and artist."""
+    return songs.select("mbid", _mark("title", "artist").alias("name"))
+
+
+def _ids(declared: DataFrame) -> DataFrame:
+    """(mbid): declared ids, as many as songs, to be joined without a broadcast: the size of files underrates them."""
+    return declared.select("mbid").hint("merge")
+
+
+def _names(rows: DataFrame, side: str) -> DataFrame:
+    """(name, class, keys, artists, n): titles and artists, each pair once, with the number of their songs.
+
+    Keys are made per name, not per song, and behind a shuffle: by as many tasks as there are, however few files the
+    songs lie in.  Names that are matched alike, because keys and artists are equal, share a class.
+    """
+    named = songs(rows.groupBy("title", "artist").agg(F.count("*").alias("n")))
+    keys = ("exact_key", "stripped_key", "artists")
+    return staged(named.select(_mark("title", "artist").alias("name"), _mark(*keys).alias(side), *keys, "n"), f"names-{side}")
+
+
+def _classes(names: DataFrame, side: str) -> DataFrame:
+    """Classes as one row each: keys, artists and the number of songs."""
+    keys = ("exact_key", "stripped_key", "artists")
+    counted = names.groupBy(side, *keys).agg(F.sum("n").alias("n"))
+    return counted.select(side, *[F.col(c).alias(f"{side}_{c}") for c in (*keys, "n")])
 
 
 def _class_pairs(declared: DataFrame, listened: DataFrame) -> DataFrame:
-    """(d, l, level, d_n, d_least, l_n, agree) of classes whose titles are equal, or equal without versions."""
+    """(d, l, level, d_n, l_n, agree) of classes whose titles are equal, or equal without versions."""
     exact = declared.join(listened, F.col("d_exact_key") == F.col("l_exact_key")).where("l_exact_key <> ''").withColumn("level", F.lit(EXACT))
     stripped = declared.join(listened, F.col("d_stripped_key") == F.col("l_stripped_key")).where("l_stripped_key <> '' AND d_exact_key <> l_exact_key AND d_exact_key <> ''").withColumn("level", F.lit(STRIPPED))
     both = exact.unionByName(stripped)
-    return staged(both.select("d", "l", "level", "d_n", "d_least", "l_n", X.artists_compatible(F.col("d_artists"), F.col("l_artists"), F.col("level") == EXACT).alias("agree")), "song-pairs")
-
-
-def _blocks(members: DataFrame, side: str) -> DataFrame:
-    """(class, ids): the songs of each class, some ``BLOCK`` ids a row, so that no row holds a large class."""
-    blocks = members.groupBy(side).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    block = F.pmod(F.xxhash64("mbid"), F.col("blocks")).alias("block")
-    return members.join(blocks, side).groupBy(side, block).agg(F.collect_list("mbid").alias(f"{side}_ids")).drop("block")
+    return staged(both.select("d", "l", "level", "d_n", "l_n", X.artists_compatible(F.col("d_artists"), F.col("l_artists"), F.col("level") == EXACT).alias("agree")), "song-pairs")
 
 
-def _song_pairs(pairs: DataFrame, entries: DataFrame, heard: DataFrame) -> DataFrame:
-    """(entry, mbid): the songs of pairs (d, l, d_n, l_n) of classes.
+def _song_pairs(pairs: DataFrame, declared: DataFrame, listened: DataFrame, d_names: DataFrame, l_names: DataFrame) -> DataFrame:
+    """(entry, mbid): the songs of pairs (d, l, d_n, l_n) of classes, but for listened songs whose id is declared.
 
-    Blocks of ids are joined and dealt evenly, and become pairs of songs in the task that returns them: what is
-    shuffled grows with the songs, and a title that many songs share is spread over many tasks.
+    The listened songs of a class and all entries that it is paired with are cut into blocks.  Each pair of blocks is a
+    cell, and cells are dealt over the tasks, which sort and join their songs: a task holds a block beside a song at once,
+    and a title that many songs share is spread over many tasks.  A song is shuffled once for each block that it is paired
+    with; where classes are single songs, that is once for each pair.
     """
     spark = pairs.sparkSession
-    n = pairs.agg(F.sum(F.col("d_n").cast("double") * F.col("l_n"))).first()[0] or 0.0
-    tasks = min(max(spark.sparkContext.defaultParallelism, int(n / PER_TASK) + 1), MAX_TASKS)
-    both = pairs.select("d", "l").join(_blocks(entries, "d"), "d").join(_blocks(heard, "l"), "l").select("d_ids", "l_ids").repartition(tasks)
-    return both.select(F.explode("d_ids").alias("entry"), "l_ids").select("entry", F.explode("l_ids").alias("mbid"))
+    groups = pairs.groupBy("l").agg(F.sum("d_n").alias("d_all"), F.max("l_n").alias("l_n"))
+    blocks = {f"{side}_blocks": F.ceil(F.col(n) / BLOCK) for side, n in (("d", "d_all"), ("l", "l_n"))}
+    groups = staged(groups.withColumns(blocks).withColumn("group", F.monotonically_increasing_id()), "song-groups")
+    total = lambda n, times: F.coalesce(F.sum(F.col(n).cast("double") * F.col(times)), F.lit(0.0))
+    n, entries, heard = groups.agg(total("d_all", "l_n"), total("d_all", "l_blocks"), total("l_n", "d_blocks")).first()
+    tasks = min(max(4 * spark.sparkContext.defaultParallelism, int(n / PER_TASK) + 1), MAX_TASKS)
+
+    place = ("group", "d_blocks", "l_blocks")
+    d_wanted = staged(d_names.select("name", "d").join(pairs.select("d", "l"), "d").join(groups, "l").select("name", *place), "song-wanted")
+    l_wanted = staged(l_names.select("name", "l").join(groups, "l").select("name", *place), "song-wanted")
+    block = lambda of: F.pmod(F.xxhash64("mbid"), F.col(of))
+    each = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    # Rows are dealt before they become many.
+    left = dealt(_members(declared), int(entries), "mbid").join(d_wanted, "name").select("group", F.col("mbid").alias("entry"), block("d_blocks").alias("d_block"), "l_blocks", each("l_blocks").alias("l_block"))
+    others = dealt(_members(listened), int(heard), "mbid").join(l_wanted, "name").join(_ids(declared), "mbid", "left_anti")
+    right = others.select("group", "mbid", block("l_blocks").alias("l_block"), "l_blocks", each("d_blocks").alias("d_block"))
+    cell = (F.col("d_block") * F.col("l_blocks") + F.col("l_block")).alias("cell")
+    left, right = (rows.select("group", cell, column).repartition(tasks, "group", "cell") for rows, column in ((left, "entry"), (right, "mbid")))
+    return left.join(right.hint("merge"), ["group", "cell"]).select("entry", "mbid")
 
 
 def title_matches(declared: DataFrame, listened: DataFrame, level: int) -> DataFrame:
     """(entry, mbid): declared and listened songs of other ids whose titles match at ``level`` and whose artists agree."""
-    entries, heard = _named(declared, "d"), _named(listened.join(declared.select("mbid"), "mbid", "left_anti"), "l")
-    return _song_pairs(_class_pairs(_classes(entries, "d"), _classes(heard, "l")).where(F.col("agree") & (F.col("level") == level)), entries, heard)
+    d, l = _names(declared, "d"), _names(listened, "l")  # noqa: E741
+    return _song_pairs(_class_pairs(_classes(d, "d"), _classes(l, "l")).where(F.col("agree") & (F.col("level") == level)), declared, listened, d, l)
 
 
 def _ladder(declared: DataFrame, listened: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The steps of :func:`assign`: (same, matched, unique, entries, heard).
+    """The steps of :func:`assign`: (same, matched, unique, d_names, l_names).
 
-    ``same`` are pairs of songs, ``matched`` pairs (d, l, d_n, l_n) of classes, ``unique`` rows (l, entry); the others are the
-    members of the classes.
+    ``same`` are pairs of songs, ``matched`` pairs (d, l, d_n, l_n) of classes, ``unique`` rows (l, d) whose class d is a single
+    entry; classes l may hold listened songs that are in ``same``, which take no part in the later steps.
     """
-    same = listened.join(declared.select("mbid"), "mbid", "left_semi").select(F.col("mbid").alias("entry"), "mbid")
-    left = listened.join(declared.select("mbid"), "mbid", "left_anti")
-    entries, heard = _named(declared, "d"), _named(left, "l")
-    d, l = _classes(entries, "d"), _classes(heard, "l")  # noqa: E741
-    # An entry without a title takes no part in the first ladder, but counts where stripped titles must be unique.
-    titled = _classes(entries.where("titled"), "d")
-    pairs = _class_pairs(titled, l)
+    same = listened.join(_ids(declared), "mbid", "left_semi").select(F.col("mbid").alias("entry"), "mbid")
+    d_names, l_names = _names(declared, "d"), _names(listened, "l")
+    d, l = _classes(d_names, "d"), _classes(l_names, "l")  # noqa: E741
+    pairs = _class_pairs(d, l)
     best = F.max("level").over(Window.partitionBy("l"))
     matched = pairs.where("agree").withColumn("best", best).where("level = best").select("d", "l", "d_n", "l_n")
     # Titles alone: an exact title is stripped-equal too, so the stripped count includes exact ones.
     done = matched.select("l").distinct()
-    only = lambda rows: rows.groupBy("l").agg(F.sum("d_n").alias("n"), F.min("d_least").alias("entry")).where("n = 1").select("l", "entry")
+    only = lambda rows: rows.groupBy("l").agg(F.sum("d_n").alias("n"), F.min("d").alias("d")).where("n = 1").select("l", "d")
     unique_exact = only(pairs.where(F.col("level") == EXACT).join(done, "l", "left_anti"))
     by_stripped = only(d.join(l, F.col("d_stripped_key") == F.col("l_stripped_key")).where("d_stripped_key <> ''").join(done, "l", "left_anti"))
-    unique = unique_exact.unionByName(by_stripped.join(unique_exact, "l", "left_anti"))
-    return same, matched, unique, entries, heard
+    unique = staged(unique_exact.unionByName(by_stripped.join(unique_exact, "l", "left_anti")), "song-unique")
+    return same, matched, unique, d_names, l_names
 
 
 def assign(declared: DataFrame, listened: DataFrame) -> DataFrame:
@@ -104,18 +132,22 @@ def assign(declared: DataFrame, listened: DataFrame) -> DataFrame:
 
     What is compared are classes of songs with equal keys and artists; only what is assigned becomes pairs of songs again.
     """
-    same, matched, unique, entries, heard = _ladder(declared, listened)
-    first = _song_pairs(matched, entries, heard)
-    alone = unique.join(heard, "l").select("entry", "mbid")
+    same, matched, unique, d_names, l_names = _ladder(declared, listened)
+    first = _song_pairs(staged(matched, "song-matched"), declared, listened, d_names, l_names)
+    owner = staged(unique.join(d_names.select("name", "d"), "d").select("name", "l"), "song-unique")
+    entry = _members(declared).join(owner, "name").select(F.col("mbid").alias("entry"), "l")
+    owned = staged(entry.join(l_names.select("name", "l"), "l").select("entry", "name"), "song-unique")
+    alone = _members(listened).join(owned, "name").join(_ids(declared), "mbid", "left_anti").select("entry", "mbid")
     steps = [rows.withColumn("step", F.lit(step)) for step, rows in enumerate((same, first, alone))]
     return steps[0].unionByName(steps[1]).unionByName(steps[2])
 
 
 def assigned_once(declared: DataFrame, listened: DataFrame) -> DataFrame:
     """(mbid): the listened recordings that :func:`assign` gives any entry, each once, without the pairs."""
-    same, matched, unique, _, heard = _ladder(declared, listened)
+    same, matched, unique, _, l_names = _ladder(declared, listened)
     classes = matched.select("l").unionByName(unique.select("l")).distinct()
-    return same.select("mbid").unionByName(heard.join(classes, "l", "left_semi").select("mbid")).distinct()
+    taken = staged(l_names.join(classes, "l", "left_semi").select("name"), "song-taken")
+    return same.select("mbid").unionByName(_members(listened).join(taken, "name", "left_semi").select("mbid")).distinct()
 
 
 def observations(declared: DataFrame, counts: DataFrame, age: DataFrame) -> DataFrame:
